@@ -1,12 +1,12 @@
 """Near-duplicate documents by SuperMinHash signatures, banding, verification and union-find grouping.
 
-1. `shingle_sets`: each document's set of five-word shingles, as sorted 64-bit hashes. Documents with equal sets form
-   one class, whose smallest id stands for it from here on.
-2. `signatures`: SuperMinHash (Ertl 2017): in step j an element draws a value in [j, j + 1) and, by the next swap of a
+1. `sketches`: each document's set of five-word shingles, as sorted 64-bit hashes, gives a key and a signature.
+   Documents with equal sets form one class, whose smallest id stands for it from here on.
+2. `super_minhash`: SuperMinHash (Ertl 2017): in step j an element draws a value in [j, j + 1) and, by the next swap of a
    permutation of its own, a slot; a slot keeps its least value. The ranks of one element are a permutation, so slots
    share out the elements evenly and estimates vary less. Once each slot holds a value below j, later steps cannot
    lower any of them, and the document stops early.
-3. `candidate_pairs`: classes that agree on all rows of a band meet in a bucket. Within a bucket not all pairs are
+3. `links`: classes that agree on all rows of a band meet in a bucket. Within a bucket not all pairs are
    made: each member is paired with the bucket's hub, the member with the most company over all its buckets. Members
    that the hub did not link go on to further rounds with a hub among them, until no bucket holds two components
    that were not compared.
@@ -24,6 +24,7 @@ Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,28 +88,8 @@ def text_shingles(raw: bytes) -> np.ndarray:
     return np.unique(out).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, set_key, n_shingles, shingles): set_key is equal for equal sets; null ids are left out."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [text_shingles(x.as_buffer().to_pybytes()) if x.is_valid else np.zeros(0, np.int64) for x in part.column(1).cast(pa.large_binary())]
-                keys = [_set_key(s) for s in sets]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "set_key", "n_shingles", "shingles"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").mapInArrow(work, f"doc_id {kind}, set_key binary, n_shingles bigint, shingles array<bigint>")
-
-
-def _set_key(s: np.ndarray) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    return [text_shingles(x.as_buffer().to_pybytes()) if x.is_valid else np.zeros(0, np.int64) for x in texts.cast(pa.large_binary())]
 
 
 #: Steps whose swaps are followed back one by one; after them the few elements left get whole permutations.
@@ -162,42 +143,53 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(node, bands): the keys of the buckets of each class; sets has (node, shingles)."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, set_key, n_shingles, bands) of the rows with an id. set_key is equal for equal sets; bands are the keys
+    of the buckets. The sets themselves are not kept: they would outweigh the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = part.column(1)
-                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-                keys = _band_keys(super_minhash([values[a:b] for a, b in zip(offsets, offsets[1:])]))
-                cuts = pa.array(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cuts, pa.array(keys.reshape(-1)))], names=["node", "bands"])
+                sets = shingle_sets(part.column(1))
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                set_keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                bands = _band_keys(super_minhash(sets)).reshape(-1)
+                cuts = pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), set_keys, sizes, pa.ListArray.from_arrays(cuts, pa.array(bands))], names=["doc_id", "set_key", "n_shingles", "bands"])
 
-    kind = sets.schema["node"].dataType.simpleString()
-    return sets.select("node", "shingles").mapInArrow(work, f"node {kind}, bands array<bigint>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    return named.mapInArrow(work, f"doc_id {kind}, set_key binary, n_shingles bigint, bands array<bigint>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. The smaller side of each join is the pairs, so that a hub with
-    many partners is a skewed key of an inner join, which Spark splits."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+def verify(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; texts has (node, text). Both joins are inner joins of stored
+    tables, so that Spark can split the key of a hub with many partners."""
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[bytes, np.ndarray] = {}
+
+        def sets(x: pa.Scalar) -> np.ndarray:
+            raw = x.as_buffer().to_pybytes()
+            if raw not in recent:
+                if len(recent) >= 64:
+                    recent.pop(next(iter(recent)))
+                recent[raw] = text_shingles(raw)
+            return recent[raw]
+
         for batch in batches:
-            s, t = batch.column(2), batch.column(3)
-            so, sv, to, tv = s.offsets.to_numpy(), s.values.to_numpy(), t.offsets.to_numpy(), t.values.to_numpy()
             linked = []
-            for k in range(batch.num_rows):
-                x, y = sv[so[k] : so[k + 1]], tv[to[k] : to[k + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= similar * (len(x) + len(y) - both))
+            for s, t in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())):
+                x, y = sets(s), sets(t)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * common >= similar * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return two.select("a", "b", "s", "t").mapInArrow(work, f"a {kind}, b {kind}")
+    return two.select("a", "b", "s", "t").mapInArrow(work, f"a {kind}, b {kind}").distinct()
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -253,15 +245,17 @@ def components(edges: DataFrame) -> DataFrame:
     return members.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def links(nodes: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Links (a, b) between classes that connect the same nodes as all links do; nodes has (node, shingles)."""
-    buckets = signatures(nodes).select("node", F.explode("bands").alias("band"))
+def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links (a, b) between classes that connect the same nodes as all links do; nodes has (node, n_shingles, bands)
+    and docs (node, text)."""
+    buckets = nodes.select("node", F.explode("bands").alias("band"))
     buckets = materialize(buckets, "buckets")
     crowd = materialize(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
     buckets = materialize(buckets.join(crowd, "band"), "buckets")
     company = materialize(buckets.groupBy("node").agg(F.sum("n").alias("company")), "company")
     buckets = materialize(buckets.join(company, "node").select("band", "node", "company"), "buckets")
-    sets = materialize(nodes.join(company.select("node"), "node", "left_semi").select("node", "shingles"), "sets")
+    sizes = nodes.select("node", F.col("n_shingles").alias("size"))
+    texts = materialize(docs.join(company.select("node"), "node", "left_semi"), "texts")
     found = done = None
     for _ in range(HUB_ROUNDS):
         hubs = buckets.groupBy("band").agg(F.max(F.struct("company", F.negate("node").alias("node"))).alias("hub")).select("band", F.negate("hub.node").alias("hub"))
@@ -270,7 +264,7 @@ def links(nodes: DataFrame, similar: int = SIMILAR) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = materialize(verify(pairs, sets, similar), "links")
+        new = materialize(verify(pairs, texts, similar), "links")
         found = new if found is None else found.union(new)
         done = pairs if done is None else done.union(pairs)
         # Hubs have met all of their buckets; the rest of a bucket counts on only if it spans several components.
@@ -285,26 +279,26 @@ def links(nodes: DataFrame, similar: int = SIMILAR) -> DataFrame:
             return found
     # What is left: members of one bucket in different components that no hub linked. Sizes rule most pairs out.
     named = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(sets.select("node", F.size("shingles").alias("size")), "node")
+    named = named.join(sizes, "node")
     other = named.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"))
     apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")))
     pairs = apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    return found.union(verify(materialize(pairs, "pairs"), sets, similar))
+    return found.union(verify(materialize(pairs, "pairs"), texts, similar))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs with an id or without."""
-    sets = materialize(shingle_sets(docs, id_col, text_col), "shingles")
-    some = sets.where("n_shingles > 0")
-    classes = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    first = (some.set_key == classes.set_key) & (some.doc_id == classes.node)
-    nodes = some.join(classes, first).select("node", "shingles").dropDuplicates(["node"])
-    found = links(nodes, similar)
+    sketch = materialize(sketches(docs, id_col, text_col), "sketches")
+    some = sketch.where("n_shingles > 0")
+    first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first")
+    classes = materialize(some.groupBy("set_key").agg(first).select("set_key", F.col("first.doc_id").alias("node"), "first.n_shingles", "first.bands"), "classes")
+    named = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null and text is not null")
+    found = links(classes.select("node", "n_shingles", "bands"), named, similar)
     # An id that stands in two classes (rows that repeat it with other texts) ties the classes together.
-    member = some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node")
+    member = some.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
     tied = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     groups = components(found.union(tied.select("a", "b")))
-    ids = sets.select("doc_id", "n_shingles")
+    ids = sketch.select("doc_id", "n_shingles")
     known = ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     out = known.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     null = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("doc_id"), F.lit(None).cast("bigint").alias("n_shingles"), F.col(id_col).alias("component_id"), F.lit(False).alias("kept"))
