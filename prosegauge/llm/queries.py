@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import license_scan, minhash_dedup, quality_rules
+from prosegauge.llm import bpe, license_scan, minhash_dedup, quality_rules
 from prosegauge.llm.common import table
 
+#: A file of the public tokenizers, which lie at the same place on every machine.
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op3_bpe": op3_bpe,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
