@@ -59,9 +59,7 @@ class Vocabulary:
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.letters = byte_symbols()
         # Symbols: a letter, or a letter with the word end.
         self.symbols: dict[str, int] = {}
@@ -179,18 +177,28 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary and remembers chunks and pieces."""
+    """Encodes texts chunk by chunk and remembers chunks and pieces. With library, the ids of new pieces come from the
+    tokenizers library's own model; else from the dynamic program here."""
 
-    def __init__(self, path: str, cache: int = CACHE) -> None:
-        self.vocabulary, self.cache = Vocabulary(path), cache
-        self.rules = tokenizers.Tokenizer.from_file(path)  # for its normaliser and splitter alone
+    def __init__(self, path: str, cache: int = CACHE, library: bool = False) -> None:
+        self.cache = cache
+        self.rules = tokenizers.Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.rules.get_added_tokens_decoder().items()}
+        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.letters = byte_symbols()
+        if library:
+            tokenize = self.rules.model.tokenize
+            self.piece = lambda letters: [t.id for t in tokenize(letters)]
+        else:
+            self.vocabulary = Vocabulary(path)
+            self.piece = self.vocabulary.piece
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
         """The pieces of a chunk, in letters that stand for bytes."""
         if USUAL.fullmatch(text):
-            names = self.vocabulary.letters
+            names = self.letters
             return ["".join([names[b] for b in piece.encode()]) for piece in PIECES.findall(unicodedata.normalize("NFC", text).lower())]
         # For other letters the library's own normaliser and splitter rule, as versions of Unicode differ.
         rules = self.rules
@@ -201,7 +209,7 @@ class Encoder:
         for piece in self._split(text):
             ids = self.pieces.get(piece)
             if ids is None:
-                found = self.vocabulary.piece(piece)
+                found = self.piece(piece)
                 ids = struct.pack(f"<{len(found)}I", *found)
                 if len(piece) < 64:
                     if len(self.pieces) >= self.cache:
@@ -211,12 +219,12 @@ class Encoder:
         return b"".join(out)
 
     def _chunk(self, text: str) -> bytes:
-        special = self.vocabulary.special_pattern
+        special = self.special_pattern
         if special is None or not special.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in special.finditer(text):
-            out += [self._plain(text[at : m.start()]), struct.pack("<I", self.vocabulary.special[m[0]])]
+            out += [self._plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import bpe, license_scan, minhash_dedup, quality_rules
+from prosegauge.llm import bpe, license_scan, minhash_dedup, quality_rules, token_tables
 from prosegauge.llm.common import table
 
 #: A file of the public tokenizers, which lie at the same place on every machine.
@@ -31,12 +31,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "policy", "kept")
 
 
+def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op3_bpe": op3_bpe,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_token_tables": op10_token_tables,
     }
 
 
