@@ -2,11 +2,12 @@
 
 A shard holds a run of documents in key order:
 
-  block*   entries of (shared key bytes, own key bytes, key rest, number of ids, ids as little-endian uint32); the
-           first entry of a block spells its key in full, later ones only what differs from the key before
+  block*   entries of (shared key bytes, own key bytes, key rest, number of ids, ids as little-endian integers of two
+           bytes, or of four for vocabularies that need them); the first entry of a block spells its key in full,
+           later ones only what differs from the key before
   index    for each block its first key, offset and length (sparse: one key a block)
   filter   a Bloom filter of the keys
-  footer   offsets and lengths of index and filter, number of documents and ids, format version, magic
+  footer   offsets and lengths of index and filter, number of documents and ids, bytes an id, format version, magic
 
 A key is the document id as eight big-endian bytes with the sign bit flipped (so byte order is number order) and four
 bytes that number the rows of one id.
@@ -41,7 +42,7 @@ MAGIC, VERSION = b"PGSST\x00\r\n", 1
 BLOCK, SHARD = 64 << 10, 32 << 20
 BITS_PER_KEY, PROBES = 10, 7
 END_ID = 2
-FOOTER = struct.Struct("<QQQQQQI8s")
+FOOTER = struct.Struct("<QQQQQQII8s")
 
 
 def key_of(doc_id: int | None, copy: int = 0) -> bytes:
@@ -65,7 +66,8 @@ def _probes(doc_id: int | None, bits: int) -> Iterator[int]:
 class ShardWriter:
     """Collects one shard in memory; its size is bounded by SHARD and the longest document."""
 
-    def __init__(self) -> None:
+    def __init__(self, width: int) -> None:
+        self.width = width
         self.blocks: list[bytes] = []
         self.index: list[tuple[bytes, int, int]] = []
         self.ids: list[int | None] = []
@@ -83,10 +85,13 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        self.block += struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<I", len(ids) // 4) + ids
+        n = len(ids) // 4
+        if self.width == 2:
+            ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        self.block += struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<I", n) + ids
         self.last = key
         self.ids.append(doc_id)
-        self.n_ids += len(ids) // 4
+        self.n_ids += n
 
     def _close_block(self) -> None:
         self.index.append((self.first, self.size, len(self.block)))
@@ -106,12 +111,12 @@ class ShardWriter:
         for doc_id in self.ids:
             bloom[list(_probes(doc_id, bits))] = True
         bloom = np.packbits(bloom).tobytes()
-        footer = FOOTER.pack(self.size, len(index), self.size + len(index), len(bloom), len(self.ids), self.n_ids, VERSION, MAGIC)
+        footer = FOOTER.pack(self.size, len(index), self.size + len(index), len(bloom), len(self.ids), self.n_ids, self.width, VERSION, MAGIC)
         return b"".join([*self.blocks, index, bloom, footer])
 
 
-def block_entries(block: bytes) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, ids) of a block."""
+def block_entries(block: bytes, width: int) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids as little-endian uint32) of a block."""
     at, key = 0, b""
     while at < len(block):
         shared, own = block[at], block[at + 1]
@@ -119,8 +124,9 @@ def block_entries(block: bytes) -> Iterator[tuple[int | None, bytes]]:
         key = key[:shared] + block[at : at + own]
         (n,) = struct.unpack_from("<I", block, at + own)
         at += own + 4
-        yield id_of(key), block[at : at + 4 * n]
-        at += 4 * n
+        ids = block[at : at + width * n]
+        yield id_of(key), np.frombuffer(ids, "<u2").astype("<u4").tobytes() if width == 2 else ids
+        at += width * n
 
 
 class ShardReader:
@@ -131,7 +137,7 @@ class ShardReader:
         self.file = system.open_input_file(path)
         size = self.file.size()
         foot = self.file.read_at(FOOTER.size, size - FOOTER.size)
-        index_at, index_size, bloom_at, bloom_size, self.n_docs, self.n_ids, version, magic = FOOTER.unpack(foot)
+        index_at, index_size, bloom_at, bloom_size, self.n_docs, self.n_ids, self.width, version, magic = FOOTER.unpack(foot)
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"{uri} is not a shard of this format")
         raw, at, self.index = self.file.read_at(index_size, index_at), 0, []
@@ -143,7 +149,7 @@ class ShardReader:
 
     def entries(self) -> Iterator[tuple[int | None, bytes]]:
         for _, at, n in self.index:
-            yield from block_entries(self.file.read_at(n, at))
+            yield from block_entries(self.file.read_at(n, at), self.width)
 
     def get(self, doc_id: int | None) -> bytes | None:
         """The ids of a document (of the first row, if the id repeats), or None if the shard lacks it."""
@@ -155,7 +161,7 @@ class ShardReader:
         if k < 0:
             return None
         _, at, n = self.index[k]
-        return next((ids for found, ids in block_entries(self.file.read_at(n, at)) if found == doc_id), None)
+        return next((ids for found, ids in block_entries(self.file.read_at(n, at), self.width) if found == doc_id), None)
 
     def close(self) -> None:
         self.file.close()
@@ -173,7 +179,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, partitions: int, id_col:
         context = TaskContext.get()
         system, base = fs.FileSystem.from_uri(folder)
         encoder, end = Encoder(tokenizer, library=True), struct.pack("<I", end_id)
-        number, writer = 0, ShardWriter()
+        width = 2 if max(end_id, encoder.rules.get_vocab_size() - 1) < 1 << 16 else 4
+        number, writer = 0, ShardWriter(width)
         before, copy = object(), 0
 
         def flush() -> pa.RecordBatch:
@@ -194,7 +201,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, partitions: int, id_col:
                     writer.add(doc_id, copy, ids + end)
                     if writer.full():
                         yield flush()
-                        number, writer = number + 1, ShardWriter()
+                        number, writer = number + 1, ShardWriter(width)
         if writer.ids:
             yield flush()
 
