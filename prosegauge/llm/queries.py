@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import bpe, license_scan, minhash_dedup, quality_rules, token_tables
+from prosegauge.llm import bpe, license_scan, minhash_dedup, quality_rules, token_tables, warc
 from prosegauge.llm.common import table
 
 #: A file of the public tokenizers, which lie at the same place on every machine.
@@ -26,6 +26,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "policy", "kept")
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op3_bpe": op3_bpe,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op7_warc": op7_warc,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_tables": op10_token_tables,
     }
@@ -49,5 +54,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.sql(),
         "op4_minhash_dedup": minhash_dedup.sql(),
+        "op7_warc": warc.sql(),
         "op9_quality_rules": quality_rules.sql(),
     }
