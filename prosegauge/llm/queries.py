@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import bpe, license_scan, minhash_dedup, quality_rules, token_tables, warc
+from prosegauge.llm import bpe, language_id, license_scan, minhash_dedup, quality_classifier, quality_rules, token_tables, warc
 from prosegauge.llm.common import table
 
 #: A file of the public tokenizers, which lie at the same place on every machine.
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -30,6 +34,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "policy", "kept")
@@ -42,9 +50,11 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_language_id": op2_language_id,
         "op3_bpe": op3_bpe,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op7_warc": op7_warc,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_tables": op10_token_tables,
     }
