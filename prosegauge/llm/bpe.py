@@ -25,6 +25,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tokenizers
@@ -249,29 +250,34 @@ class Encoder:
         return " ".join([names[i] for (i,) in struct.iter_unpack("<I", ids)])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with texts also (ids, decoded), for each row of docs.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs, with ids also the ids (int array), with
+    decoded also the decoded text.
 
     path: the tokenizer file, at the same place on every machine.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * texts
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = Encoder(path)
         for batch in batches:
-            encoder = encoder or Encoder(path)
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = []
-                for text in part.column(1):
-                    ids = encoder.encode(text.as_py() or "")
-                    decoded = encoder.decode(ids)
-                    row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                    rows.append((*row, list(memoryview(ids).cast("I")), decoded) if texts else row)
-                columns = list(zip(*rows))
-                types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
-
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded string" * texts
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                packed = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+                texts = [encoder.decode(p) for p in packed]
+                columns = [
+                    part.column(0),
+                    pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string()),
+                ]
+                if ids:
+                    cuts = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                if decoded:
+                    columns.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)

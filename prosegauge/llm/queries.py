@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import bpe, language_id, license_scan, minhash_dedup, quality_classifier, quality_rules, token_tables, warc
+from prosegauge.llm import bpe, decontamination, html_text, language_id, license_scan, minhash_dedup, quality_classifier, quality_rules, token_tables, warc
 from prosegauge.llm.common import table
 
 #: A file of the public tokenizers, which lie at the same place on every machine.
@@ -30,6 +30,14 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_bpe": op3_bpe,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_decontamination": op5_decontamination,
+        "op6_html_text": op6_html_text,
         "op7_warc": op7_warc,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
