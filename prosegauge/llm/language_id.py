@@ -27,6 +27,8 @@ from prosegauge.llm.common import bounded_sample, id_bucket
 
 SAMPLE, WINDOWS, STEPS, HIDDEN = 1600, 5, 96, 8
 EPOCHS, BATCH, RATE = 5, 256, 0.03
+#: Small samples are gone through more often, up to so many steps in all.
+LEAST_STEPS = 150
 BLOCK = 8192
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -115,8 +117,10 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model | None:
     params = [scale(256, 3 * HIDDEN), scale(256, 3 * HIDDEN), scale(HIDDEN, 3 * HIDDEN), scale(HIDDEN, 3 * HIDDEN), scale(2 * HIDDEN, k), np.zeros(k, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    total = EPOCHS * -(-len(data) // BATCH)
-    for _ in range(EPOCHS):
+    each = -(-len(data) // BATCH)
+    epochs = max(EPOCHS, LEAST_STEPS // each)
+    total = epochs * each
+    for _ in range(epochs):
         order = rng.permutation(len(data))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
@@ -202,6 +206,6 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows whose language is known with a score of at least `least`; all columns of docs."""
     return predict(docs, fit(docs), carry=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

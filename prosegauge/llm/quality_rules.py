@@ -159,7 +159,10 @@ def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, version: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that a policy keeps, with all their columns and no shuffle."""
-    return apply_policy(ledger(docs, id_col, text_col, carry=True), version).where("kept").select("row.*")
+    rows = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
+    # A filter would be pushed below the projections of `measure`, which would then split a text again for each of its
+    # words; it stays above a column that isn't deterministic.
+    return rows.withColumn("at", F.monotonically_increasing_id()).where("kept and at >= 0").select("row.*")
 
 
 def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
