@@ -6,15 +6,16 @@
    permutation of its own, a slot; a slot keeps its least value. The ranks of one element are a permutation, so slots
    share out the elements evenly and estimates vary less. Once each slot holds a value below j, later steps cannot
    lower any of them, and the document stops early.
-3. `links`: classes that agree on all rows of a band meet in a bucket. Within a bucket not all pairs are
-   made: each member is paired with the bucket's hub, the member with the most company over all its buckets. Members
-   that the hub did not link go on to further rounds with a hub among them, until no bucket holds two components
-   that were not compared.
+3. `links`: classes that agree on all rows of a band meet in a bucket. Each member is paired with the bucket's hub, the
+   member with the most company over all its buckets, as the original of a group of copies has. Members of a bucket
+   that are in different components after that meet in a join whose condition compares sizes and digests of the
+   signatures, so that only pairs that may well be similar leave it.
 4. `verify`: 100 * intersection >= 85 * union on the full sets.
 5. `components`: union-find inside each partition contracts the links, then rounds of the large-star and small-star
    rules join what the partitions hold, until nothing changes.
 
-With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 7e-8.
+With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 7e-8; its digests differ too much
+with probability below 1e-6. More similar pairs are missed more rarely still.
 
 Cases: null or empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer
 than five words is one shingle. A null id is its own component (null) and never kept; rows that repeat an id count as
@@ -37,9 +38,10 @@ from prosegauge.llm.common import materialize
 
 SHINGLE, SIMILAR = 5, 85
 BANDS, ROWS = 28, 5
-SLOTS = BANDS * ROWS
-#: Rounds of hubs before what is left in a bucket is compared in full.
-HUB_ROUNDS = 3
+#: Slots of a signature; the bands take the first BANDS * ROWS of them, digests take all.
+SLOTS = 256
+#: Edges that one task contracts; components of fewer need no rounds between tasks.
+TASK_EDGES = 500_000
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -136,8 +138,9 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 #: Bits of each slot that a digest keeps, and slots in which two digests may differ. Sets at the threshold differ in
-#: 19.7 slots on average, with a deviation of at most 4.1: six deviations more are allowed.
-DIGEST_BITS, DIFFERENT = 4, 45
+#: 36 slots on average, with a deviation of at most 5.6 (less for sets of a few hundred shingles): five deviations more
+#: are allowed.
+DIGEST_BITS, DIFFERENT = 4, 64
 
 
 def _digests(least: np.ndarray) -> np.ndarray:
@@ -161,7 +164,7 @@ def _near_digests(a: str, b: str) -> Column:
 
 
 def _band_keys(least: np.ndarray) -> np.ndarray:
-    bits = least.view(np.uint64).reshape(len(least), BANDS, ROWS)
+    bits = least[:, : BANDS * ROWS].copy().view(np.uint64).reshape(len(least), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * U(_BASE), (len(least), BANDS))
     for r in range(ROWS):
         key = mix(key * U(_BASE) + bits[:, :, r])
@@ -250,7 +253,10 @@ def components(edges: DataFrame) -> DataFrame:
     of them. Neighbours are joined with an aggregate, never collected.
     """
     edges = materialize(_contract(edges.where("a <> b")), "edges")
-    while True:
+    tasks = -(-edges.count() // TASK_EDGES)
+    if tasks <= 1 or tasks < edges.rdd.getNumPartitions():
+        edges = materialize(_contract(edges.coalesce(max(1, tasks))), "edges")
+    while tasks > 1:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         least = materialize(least, "least")
@@ -281,30 +287,19 @@ def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFram
     buckets = materialize(buckets.join(company, "node").select("band", "node", "company"), "buckets")
     sizes = nodes.select("node", F.col("n_shingles").alias("size"), "digest")
     texts = materialize(docs.join(company.select("node"), "node", "left_semi"), "texts")
-    found = done = None
-    for _ in range(HUB_ROUNDS):
-        hubs = buckets.groupBy("band").agg(F.max(F.struct("company", F.negate("node").alias("node"))).alias("hub")).select("band", F.negate("hub.node").alias("hub"))
-        hubs = materialize(hubs, "hubs")
-        pairs = buckets.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        new = materialize(verify(pairs, texts, similar), "links")
-        found = new if found is None else found.union(new)
-        done = pairs if done is None else done.union(pairs)
-        # Hubs have met all of their buckets; the rest of a bucket counts on only if it spans several components.
-        rest = buckets.join(hubs, (buckets.band == hubs.band) & (buckets.node == hubs.hub), "left_anti")
-        rest = materialize(rest, "rest")
-        groups = materialize(components(found), "groups")
-        named = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        open_bands = materialize(open_bands, "open")
-        buckets = materialize(named.join(open_bands, "band").select("band", "node", "company"), "buckets")
-        if not buckets.limit(1).count():
-            return found
+    hubs = buckets.groupBy("band").agg(F.max(F.struct("company", F.negate("node").alias("node"))).alias("hub"))
+    hubs = materialize(hubs.select("band", F.negate("hub.node").alias("hub")), "hubs")
+    pairs = buckets.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    done = materialize(pairs, "pairs")
+    found = materialize(verify(done, texts, similar), "links")
+    # Hubs have met all of their buckets; the rest of a bucket counts on only if it spans several components.
+    rest = buckets.join(hubs, (buckets.band == hubs.band) & (buckets.node == hubs.hub), "left_anti")
+    groups = materialize(components(found), "groups")
+    named = materialize(rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
+    open_bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    named = named.join(materialize(open_bands, "open"), "band").select("band", "node", "component")
     # What is left: members of one bucket in different components that no hub linked. Sizes and digests rule most pairs
     # out where the rows meet, so only pairs that may well be similar leave the join.
-    named = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.join(sizes, "node"), "left")
     other = named.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("digest").alias("digest2"))
     apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2"))
