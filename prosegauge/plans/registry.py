@@ -5,11 +5,240 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prosegauge.functions import lexicon as lex
+from prosegauge.functions.text import CLOSERS, WS, config_hash, word_count
+from prosegauge.operators import governance
+from prosegauge.operators.sentences import sentences
+from prosegauge.operators.structure import Parsed
+from prosegauge.plans import carriers
+from prosegauge.plans.audit import OPERATORS, audit, files, totals
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+#: The rules whose findings in `documents` SQL can count too.
+COUNTED = ["sentence-length", "paragraph-length", "sentence-average", "complex-word"]
+
+
+def _rule(rule: str, corpus: Query, key: str = "doc_id") -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return OPERATORS[rule](Parsed(corpus(spark, sf_dir))).select(F.col("doc").alias(key), "line", "detail")
+
+    return query
+
+
+def acronym_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(carriers.documents(spark, sf_dir), only=["acronym-undefined"]).select(F.col("doc").alias("doc_id"), "line", "detail")
+
+
+def word_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = carriers.table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(word_count(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
+
+
+def sentence_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and words of each source. The counts of a document are worked out in its own rows."""
+    corpus = carriers.table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
+    rows = sentences(Parsed(corpus).blocks)
+    words = F.aggregate("most", F.lit(0), lambda a, x: a + x.getField("words"))
+    return rows.groupBy(F.col("doc.source").alias("source")).agg(F.sum(F.size("most")).alias("n_most"), F.sum(F.size("fewest")).alias("n_fewest"), F.sum(words).cast("long").alias("n_words"))
+
+
+def page_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = OPERATORS["link-text"](Parsed(carriers.pages(spark, sf_dir)))
+    return rows.groupBy(F.col("doc").alias("page_id"), "detail").agg(F.count("*").alias("n"))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    corpus = carriers.documents(spark, sf_dir)
+    return corpus, audit(corpus, only=COUNTED)
+
+
+def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals(_counted(spark, sf_dir)[1]).select(F.lit(config_hash()).alias("config_hash"), "rule", "n")
+
+
+def files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(*_counted(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
+def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seventeen rules over all carriers and documents; totals by corpus."""
+    parts = {"documents": carriers.documents, "phrases": carriers.phrases, "openings": carriers.openings, "enumerations": carriers.enumerations, "headings": carriers.headings, "tables": carriers.tables, "links": carriers.links, "pages": carriers.pages}
+    corpus = None
+    for name, f in parts.items():
+        one = f(spark, sf_dir).select(F.concat_ws("/", F.lit(name), "doc").alias("doc"), "text")
+        corpus = one if corpus is None else corpus.union(one)
+    rows = audit(corpus)
+    return rows.groupBy(F.substring_index("doc", "/", 1).alias("corpus"), "rule").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("n_docs"))
+
+
+NAMES = ("docs/style-guide/p", "docs/pull_request_template/p", ".github/workflows/lint", "site/training/p", "docs/Glossary-", "notes/p")
+
+
+def evidence_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = carriers.table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    path = F.concat(carriers.pick(NAMES, "page_id"), k.cast("string"), F.when(k % 4 == 2, ".yml").otherwise(".md"))
+    found = governance.evidence(pages.select(path.alias("path"), F.when(k % 8 == 2, F.lit("run: markdown-lint")).otherwise(F.lit("run: build")).alias("content")))
+    return governance.evidence_found(spark, found)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = carriers.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("organisation"))
+    each = customers.select("organisation", F.explode(governance.catalogue()).alias("m"))
+    met = (F.col("organisation") * (F.col("m.dim_ord") + 3) + F.col("m.level") * 7) % 5 != 0
+    return each.select("organisation", "m.dimension", "m.criterion", met.alias("met"))
+
+
+def maturity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.maturity(_answers(spark, sf_dir)).drop("dim_ord")
+
+
+def maturity_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.overall(governance.maturity(_answers(spark, sf_dir)))
+
+
+def trend_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of orders: one a month and priority, with the change since the one before."""
+    orders = carriers.table(spark, sf_dir, "orders")
+    shots = orders.groupBy(F.col("o_orderpriority").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("timestamp")).agg(F.count("*").alias("total"))
+    return governance.trend(shots)
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "sentence_length": _rule("sentence-length", carriers.documents),
+        "paragraph_length": _rule("paragraph-length", carriers.documents),
+        "sentence_average": _rule("sentence-average", carriers.documents),
+        "word_stats_by_lang": word_stats_by_lang,
+        "sentence_stats_by_source": sentence_stats_by_source,
+        "complex_word": _rule("complex-word", carriers.documents),
+        "acronym_undefined": acronym_undefined,
+        "legalese": _rule("legalese", carriers.phrases, "part"),
+        "double_negative": _rule("double-negative", carriers.phrases, "part"),
+        "wordy_phrase": _rule("wordy-phrase", carriers.phrases, "part"),
+        "doublet": _rule("doublet", carriers.phrases, "part"),
+        "filler_opening": _rule("filler-opening", carriers.openings, "part"),
+        "prose_enumeration": _rule("prose-enumeration", carriers.enumerations, "part"),
+        "heading_depth": _rule("heading-depth", carriers.headings, "part"),
+        "heading_skip": _rule("heading-skip", carriers.headings, "part"),
+        "heading_style": _rule("heading-style", carriers.headings, "part"),
+        "table_header": _rule("table-header", carriers.tables, "part"),
+        "link_text": _rule("link-text", carriers.links, "part"),
+        "image_alt": _rule("image-alt", carriers.links, "part"),
+        "page_link_text": page_link_text,
+        "rule_totals": rule_totals,
+        "files_summary": files_summary,
+        "full_audit": full_audit,
+        "evidence_sweep": evidence_sweep,
+        "maturity_score": maturity_score,
+        "maturity_overall": maturity_overall,
+        "trend_by_month": trend_by_month,
+    }
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(values) -> str:  # noqa: ANN001
+    return ", ".join(map(_q, values))
+
+
+def _pick(values, key: str = "p_partkey") -> str:  # noqa: ANN001
+    values = list(values)
+    return f"([{_list(values)}])[({key} % {len(values)} + 1)::int]"
+
+
+def _sentences() -> str:
+    """CTEs up to s: the fragments of documents, with verdicts and the numbers of the sentences they fall in."""
+    word = rf"[^{WS}]"
+    return rf"""
+f as (select doc_id, source, string_split(regexp_replace(coalesce(text, ''), {_q(f"([.!?][{CLOSERS}]*[{WS}]+)")}, '\1' || chr(1), 'g'), chr(1)) as parts from documents where regexp_matches(coalesce(text, ''), {_q(word)})),
+p as (select doc_id, source, unnest(parts) as t, generate_subscripts(parts, 1) as i from f),
+q as (select *, regexp_replace(regexp_extract(regexp_replace(lag(t) over o, {_q(f"[{WS}]+$")}, ''), {_q(word + "*$")}), {_q(f"[{CLOSERS}]+$")}, '') as token, regexp_extract(t, {_q(f"^[{WS}]*({word}*)")}, 1) as nxt,
+  len(regexp_extract_all(t, {_q(word + "+")})) as words, length(t) - length(replace(t, chr(10), '')) as ends from p window o as (partition by doc_id order by i)),
+r as (select *, lower(regexp_replace(replace(token, '.', ''), '^[^A-Za-z]+', '')) as word, regexp_matches(nxt, '^[^A-Za-z]*[A-Z]') as capital,
+  lower(regexp_replace(nxt, '[^A-Za-z]', '', 'g')) in ({_list(lex.STARTERS)}) as starting, regexp_replace(nxt, '[^A-Za-z0-9]', '', 'g') in ({_list(lex.LOWERCASE_NAMES)}) as named, regexp_matches(nxt, '^[^A-Za-z]*[a-z]') as low from q),
+v as (select *, case when i = 1 or not ends_with(token, '.') then 'split' when word in ({_list(lex.TITLES)}) then 'merge'
+  when regexp_matches(token, '^[^A-Za-z]*[A-Z]\.$') then case when capital and not starting then 'merge' else 'ambiguous' end
+  when word in ({_list(lex.ABBREVIATIONS)}) then case when regexp_matches(nxt, '^[^A-Za-z0-9]*[A-Z0-9][^A-Za-z]*$') then 'merge' when capital and starting then 'split' when named or capital then 'ambiguous' else 'merge' end
+  when regexp_matches(token, '^[^A-Za-z]*(?:[A-Za-z]\.){{2,}}$') then case when low and not named then 'merge' when capital and starting then 'split' else 'ambiguous' end
+  else 'split' end as verdict from r),
+s as (select *, sum((verdict <> 'merge')::int) over o as most, sum((verdict = 'split')::int) over o as fewest, coalesce(sum(ends) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as before from v window o as (partition by doc_id order by i)),
+a as (select doc_id, source, most, sum(words) as w, min(before) as before from s group by all having w > 0),
+b as (select doc_id, source, fewest, sum(words) as w from s group by all having w > 0),
+l as (select doc_id, (1 + before)::int as line, w::bigint || ' words (limit 30)' as detail from a where w > 30),
+g as (select doc_id, 1 as line, count(*) || ' sentences (limit 5)' as detail from b group by doc_id having count(*) > 5),
+h as (select a.doc_id, 1 as line, 'average ' || (round((sum(a.w)::double / count(*))::decimal(30, 18), 1)::decimal(20, 1)) || ' words across ' || count(*) || ' sentences (limit 20)' as detail from a
+  where doc_id in (select doc_id from b group by doc_id having count(*) >= 10 and sum(w) > 20 * count(*)) group by a.doc_id having count(*) >= 10 and sum(a.w) > 20 * count(*)),
+{_complex("c")}"""
+
+
+def _complex(name: str) -> str:
+    pairs = ", ".join(f"({_q(k)}, {_q(v)})" for k, v in lex.COMPLEX_WORDS.items())
+    return rf"""
+{name} as (select doc_id, line::int as line, '"' || w || '" where "' || plain || '" would do' as detail from (
+  select doc_id, line, unnest(regexp_extract_all(t, '[A-Za-z'']+')) as w from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)) x
+  join (values {pairs}) m(word, plain) on lower(w) = word)"""
+
+
+PHRASES = f"(select p_partkey, 'The ' || p_name || ' team ' || {_pick(lex.LEGALESE)} || ' ship the item ' || {_pick(lex.WORDY)} || ' the plan.' as t1, 'This is ' || {_pick(lex.DOUBLE_NEGATIVES)} || ' news about ' || {_pick(lex.DOUBLETS)} || ' for all.' as t2 from part)"
+
+
+def _phrases(phrases, detail: str) -> str:  # noqa: ANN001
+    """Findings of phrases in the carrier; detail may use w, the phrase as written."""
+    pattern = _q(r"(?i)\b(?:" + "|".join(sorted(phrases, key=len, reverse=True)) + r")\b")
+    return f"select part, line, {detail} as detail from (select p_partkey as part, 1 as line, unnest(regexp_extract_all(t1, {pattern})) as w from {PHRASES} union all select p_partkey, 2, unnest(regexp_extract_all(t2, {pattern})) from {PHRASES})"
+
+
+def _map(table: dict[str, str]) -> str:
+    return "map {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in table.items()) + "}[lower(w)]"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    s = _sentences()
+    lean = {k: v for k, v in lex.DOUBLETS.items() if v}
+    legal = _list(k for k, v in lex.DOUBLETS.items() if v is None)
+    union = "select doc_id, 'sentence-length' as rule from l union all select doc_id, 'paragraph-length' from g union all select doc_id, 'sentence-average' from h union all select doc_id, 'complex-word' from c"
+    categories = ", ".join(f"({_q(c)}, {_q(p)})" for c, p in lex.EVIDENCE.items())
+    model = ", ".join(f"({_q(d)}, {i}, {level}, {_q(c)})" for i, (d, cs) in enumerate(lex.MATURITY.items()) for level, c in enumerate(cs, 1))
+    maturity = f"""m(dimension, dim_ord, level, criterion) as (values {model}),
+x as (select c_custkey as organisation, m.*, (c_custkey * (dim_ord + 3) + level * 7) % 5 <> 0 as met from customer, m),
+y as (select organisation, dimension, min(case when not met then level end) as gap from x group by all),
+z as (select y.organisation, y.dimension, coalesce(gap - 1, 4)::int as level, coalesce(m.criterion, '') as missing from y left join m on m.dimension = y.dimension and m.level = y.gap)"""
+    vague = _list(lex.VAGUE_LINKS)
+    return {
+        "sentence_length": f"with {s} select doc_id, line, detail from l",
+        "paragraph_length": f"with {s} select doc_id, line, detail from g",
+        "sentence_average": f"with {s} select doc_id, line, detail from h",
+        "word_stats_by_lang": f"select lang, count(*) as n_docs, sum(len(regexp_extract_all(coalesce(text, ''), {_q(f'[^{WS}]+')})))::bigint as n_words from documents group by lang",
+        "sentence_stats_by_source": f"with {s} select source, n_most::bigint as n_most, n_fewest::bigint as n_fewest, n_words::bigint as n_words from (select source, count(*) as n_most, sum(w) as n_words from a group by source) join (select source, count(*) as n_fewest from b group by source) using (source)",
+        "complex_word": f"with {_complex('c')} select * from c",
+        "legalese": _phrases(lex.LEGALESE, "'banned term \"' || lower(w) || '\"'"),
+        "double_negative": _phrases(lex.DOUBLE_NEGATIVES, "'\"' || w || '\" makes the reader unpick two negatives'"),
+        "wordy_phrase": _phrases(lex.WORDY, f"'\"' || lower(w) || '\" says what \"' || {_map(lex.WORDY)} || '\" says'"),
+        "doublet": _phrases(lex.DOUBLETS, f"case when lower(w) in ({legal}) then 'legal-register phrase \"' || lower(w) || '\"; review for audience fit' else 'redundant phrase \"' || lower(w) || '\"; consider \"' || {_map(lean)} || '\"' end"),
+        "filler_opening": f"select p_partkey as part, 1 as line, 'opens with \"' || {_pick(lex.FILLERS)} || '\" instead of the answer' as detail from part where p_partkey % 17 < 15",
+        "prose_enumeration": "select p_partkey as part, 1 as line, 'enumeration ranks ' || case when p_partkey % 4 = 0 then '1, 2, 3' else '1, 2, 4' end || ' in prose; consider a list' as detail from part where p_partkey % 4 in (0, 3)",
+        "heading_depth": "select p_partkey as part, 3 as line, 'heading level ' || (p_partkey % 6 + 1) || ' (limit 4)' as detail from part where p_partkey % 6 + 1 > 4",
+        "heading_skip": "select p_partkey as part, 3 as line, 'heading jumps from level 1 to level ' || (p_partkey % 6 + 1) as detail from part where p_partkey % 6 + 1 > 2",
+        "heading_style": "select p_partkey as part, 3 as line, 'heading ends with a full stop' as detail from part where p_partkey % 7 = 0",
+        "table_header": "select p_partkey as part, 1 as line, 'table header has an empty column name' as detail from part where p_partkey % 3 = 0",
+        "link_text": "select p_partkey as part, 1 as line, case p_partkey % 4 when 2 then 'link has no text; say where it goes' else 'link text \"' || (case p_partkey % 4 when 0 then 'here' else 'Click here' end) || '\" describes no destination (http://example.com/p/' || p_partkey || ')' end as detail from part where p_partkey % 4 <> 3",
+        "image_alt": "select p_partkey as part, 2 as line, 'image has no alternative text (i' || p_partkey || '.png)' as detail from part where p_partkey % 5 = 0",
+        "page_link_text": rf"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a\s*>')) as e from pages),
+b as (select page_id, trim(regexp_replace(regexp_replace(regexp_extract(e, '(?is)^<a\b[^>]*>(.*?)</a\s*>$', 1), '<[^>]*>', ' ', 'g'), '[*_~`]', '', 'g')) as label, regexp_extract(e, 'href="([^"]*)"', 1) as target from a)
+select page_id, case when label = '' then 'link has no text; say where it goes' else 'link text "' || label || '" describes no destination (' || target[1:40] || ')' end as detail, count(*) as n from b where label = '' or lower(label) in ({vague}) or regexp_matches(label, '(?i)^(?:https?://|www\.)') group by all""",
+        "rule_totals": f"with {s} select '{config_hash()}' as config_hash, rule, count(*) as n from ({union}) group by rule",
+        "files_summary": f"with {s}, u as ({union}), k as (select doc_id, count(*) as n, count(distinct rule) as r from u group by doc_id) select documents.doc_id, coalesce(n, 0)::bigint as n_violations, coalesce(r, 0)::bigint as n_rules from documents left join k using (doc_id)",
+        "evidence_sweep": f"""with c(category, pattern) as (values {categories}),
+p as (select {_pick(NAMES, "page_id")} || page_id || case when page_id % 4 = 2 then '.yml' else '.md' end as path, page_id % 8 = 2 as linted from pages),
+h as (select category, path from c join p on regexp_matches(lower(path), pattern) or category = 'automated-checks' and linted and regexp_matches(lower(path), {_q(lex.WORKFLOW_PATH)}))
+select category, count(path) > 0 as found, count(path) as n_paths, min(path) as first_path from c left join h using (category) group by category""",
+        "maturity_score": f"with {maturity} select * from z",
+        "maturity_overall": f"with {maturity} select organisation, min(level) as overall from z group by organisation",
+        "trend_by_month": """with t as (select o_orderpriority as series, strftime(o_orderdate, '%Y-%m') as timestamp, count(*) as total from orders group by all)
+select *, (row_number() over w)::int as audit, total - lag(total) over w as change from t window w as (partition by series order by timestamp)""",
+    }
