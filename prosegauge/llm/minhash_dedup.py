@@ -39,7 +39,7 @@ from prosegauge.llm.common import materialize
 SHINGLE, SIMILAR = 5, 85
 BANDS, ROWS = 28, 5
 #: Slots of a signature; the bands take the first BANDS * ROWS of them, digests take all.
-SLOTS = 256
+SLOTS = 384
 #: Edges that one task contracts; components of fewer need no rounds between tasks.
 TASK_EDGES = 500_000
 
@@ -138,9 +138,9 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 #: Bits of each slot that a digest keeps, and slots in which two digests may differ. Sets at the threshold differ in
-#: 36 slots on average, with a deviation of at most 5.6 (less for sets of a few hundred shingles): five deviations more
+#: 54 slots on average, with a deviation of at most 6.8 (less for sets of a few hundred shingles): five deviations more
 #: are allowed.
-DIGEST_BITS, DIFFERENT = 4, 64
+DIGEST_BITS, DIFFERENT = 4, 88
 
 
 def _digests(least: np.ndarray) -> np.ndarray:
