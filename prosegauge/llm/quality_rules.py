@@ -137,7 +137,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nar
         "n_upper": F.length(F.regexp_replace("marks", r"[\x21-\x40\x5B-\x60\x7B-\x7E]+", "")),
         "n_bullet_lines": F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*+\x{2022}][\x20\x09-\x0D]"))),
     }
-    return five.select(head, *(c.cast("long").alias(name) for name, c in counts.items()))
+    # No filter is pushed below a generator. Pushed into the projections above, it would have them split a text again
+    # for each of its words.
+    whole_row = F.explode(F.array(F.struct(head, *(c.cast("long").alias(name) for name, c in counts.items())))).alias("m")
+    return five.select(whole_row).select("m.*")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -159,10 +162,7 @@ def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, version: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that a policy keeps, with all their columns and no shuffle."""
-    rows = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
-    # A filter would be pushed below the projections of `measure`, which would then split a text again for each of its
-    # words; it stays above a column that isn't deterministic.
-    return rows.withColumn("at", F.monotonically_increasing_id()).where("kept and at >= 0").select("row.*")
+    return apply_policy(ledger(docs, id_col, text_col, carry=True), version).where("kept").select("row.*")
 
 
 def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
