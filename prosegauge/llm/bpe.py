@@ -60,7 +60,8 @@ class Vocabulary:
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
-        self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        named = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = [named.get(i, "") for i in range(max(named) + 1)]
         self.letters = byte_symbols()
         # Symbols: a letter, or a letter with the word end.
         self.symbols: dict[str, int] = {}
@@ -246,8 +247,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder, so the tokens' names are joined by spaces, special tokens included."""
-        names = self.vocabulary.names
-        return " ".join([names[i] for (i,) in struct.iter_unpack("<I", ids)])
+        return " ".join(map(self.vocabulary.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
