@@ -285,7 +285,7 @@ def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFram
     buckets = materialize(buckets.join(crowd, "band"), "buckets")
     company = materialize(buckets.groupBy("node").agg(F.sum("n").alias("company")), "company")
     buckets = materialize(buckets.join(company, "node").select("band", "node", "company"), "buckets")
-    sizes = nodes.select("node", F.col("n_shingles").alias("size"), "digest")
+    sizes = nodes.select("node", F.col("n_shingles").alias("size"), "digest", "bands")
     texts = materialize(docs.join(company.select("node"), "node", "left_semi"), "texts")
     hubs = buckets.groupBy("band").agg(F.max(F.struct("company", F.negate("node").alias("node"))).alias("hub"))
     hubs = materialize(hubs.select("band", F.negate("hub.node").alias("hub")), "hubs")
@@ -301,8 +301,10 @@ def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFram
     # What is left: members of one bucket in different components that no hub linked. Sizes and digests rule most pairs
     # out where the rows meet, so only pairs that may well be similar leave the join.
     named = materialize(named.join(sizes, "node"), "left")
-    other = named.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("digest").alias("digest2"))
-    apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2"))
+    other = named.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("digest").alias("digest2"), F.col("bands").alias("bands2"))
+    # Once a pair, in the first band that it shares.
+    first = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("band")
+    apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2") & first)
     pairs = apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     return found.union(verify(materialize(pairs, "pairs"), texts, similar))
 
