@@ -10,12 +10,13 @@
    member with the most company over all its buckets, as the original of a group of copies has. Members of a bucket
    that are in different components after that meet in a join whose condition compares sizes and digests of the
    signatures, so that only pairs that may well be similar leave it.
-4. `verify`: 100 * intersection >= 85 * union on the full sets.
+4. `verify`: 100 * intersection >= `similar` * union on the full sets.
 5. `components`: union-find inside each partition contracts the links, then rounds of the large-star and small-star
    rules join what the partitions hold, until nothing changes.
 
-With 28 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 7e-8; its digests differ too much
-with probability below 1e-6. More similar pairs are missed more rarely still.
+Bands and allowed differences of digests follow from the threshold. A pair at the threshold shares no bucket with
+probability below 1e-7 (28 bands of 5 rows at 0.85, 41 at 0.8); its digests differ too much with probability below
+1e-6. More similar pairs are missed more rarely still.
 
 Cases: null or empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer
 than five words is one shingle. A null id is its own component (null) and never kept; rows that repeat an id count as
@@ -26,6 +27,7 @@ Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,13 @@ from pyspark.sql import functions as F
 
 from prosegauge.llm.common import materialize
 
-SHINGLE, SIMILAR = 5, 85
-BANDS, ROWS = 28, 5
-#: Slots of a signature; the bands take the first BANDS * ROWS of them, digests take all.
+#: SIMILAR is the threshold of op4, STAGE_SIMILAR that of the pipeline's stage.
+SHINGLE, SIMILAR, STAGE_SIMILAR = 5, 85, 80
+ROWS = 5
+#: Slots of a signature; the bands take the first of them, digests take all.
 SLOTS = 384
+#: Probability with which a pair at the threshold may share no band.
+MISSED = 1e-7
 #: Edges that one task contracts; components of fewer need no rounds between tasks.
 TASK_EDGES = 500_000
 
@@ -137,10 +142,23 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return least
 
 
-#: Bits of each slot that a digest keeps, and slots in which two digests may differ. Sets at the threshold differ in
-#: 54 slots on average, with a deviation of at most 6.8 (less for sets of a few hundred shingles): five deviations more
-#: are allowed.
-DIGEST_BITS, DIFFERENT = 4, 88
+#: Bits of each slot that a digest keeps.
+DIGEST_BITS = 4
+
+
+def bands_of(similar: int) -> int:
+    """Bands that leave a pair at the threshold without a common bucket with probability MISSED at most."""
+    bands = math.ceil(math.log(MISSED) / math.log(1 - (similar / 100) ** ROWS))
+    if bands * ROWS > SLOTS:
+        raise ValueError(f"similarity {similar} takes {bands} bands of {ROWS} rows, more than {SLOTS} slots hold")
+    return bands
+
+
+def different(similar: int) -> int:
+    """Slots in which two digests may differ: the mean at the threshold and five deviations more (54 and 5 * 6.8 at
+    0.85; the deviation is less for sets of a few hundred shingles)."""
+    share = (1 - similar / 100) * (1 - 2.0**-DIGEST_BITS)
+    return int(SLOTS * share + 5 * math.sqrt(SLOTS * share * (1 - share)))
 
 
 def _digests(least: np.ndarray) -> np.ndarray:
@@ -152,7 +170,7 @@ def _digests(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(least), words, 16) << shifts, axis=2).view(np.int64)
 
 
-def _near_digests(a: str, b: str) -> Column:
+def _near_digests(a: str, b: str, similar: int) -> Column:
     """Whether two digests (arrays of long) differ in few enough slots."""
     total = F.lit(0)
     for k in range(-(-SLOTS // 16)):
@@ -160,20 +178,21 @@ def _near_digests(a: str, b: str) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total <= DIFFERENT
+    return total <= different(similar)
 
 
-def _band_keys(least: np.ndarray) -> np.ndarray:
-    bits = least[:, : BANDS * ROWS].copy().view(np.uint64).reshape(len(least), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * U(_BASE), (len(least), BANDS))
+def _band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    bits = least[:, : bands * ROWS].copy().view(np.uint64).reshape(len(least), bands, ROWS)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * U(_BASE), (len(least), bands))
     for r in range(ROWS):
         key = mix(key * U(_BASE) + bits[:, :, r])
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, set_key, n_shingles, bands, digest) of the rows with an id. set_key is equal for equal sets; bands are
     the keys of the buckets. The sets themselves are not kept: they would outweigh the texts."""
+    bands = bands_of(similar)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +202,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 set_keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 least = super_minhash(sets)
-                rows = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1))) for m in (_band_keys(least), _digests(least))]
+                rows = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1))) for m in (_band_keys(least, bands), _digests(least))]
                 yield pa.RecordBatch.from_arrays([part.column(0), set_keys, sizes, *rows], names=["doc_id", "set_key", "n_shingles", "bands", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -304,14 +323,14 @@ def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFram
     other = named.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("digest").alias("digest2"), F.col("bands").alias("bands2"))
     # Once a pair, in the first band that it shares.
     first = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("band")
-    apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2") & first)
+    apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2", similar) & first)
     pairs = apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     return found.union(verify(materialize(pairs, "pairs"), texts, similar))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs with an id or without."""
-    sketch = materialize(sketches(docs, id_col, text_col), "sketches")
+    sketch = materialize(sketches(docs, id_col, text_col, similar), "sketches")
     some = sketch.where("n_shingles > 0")
     first = F.min(F.struct("doc_id", "n_shingles", "bands", "digest")).alias("first")
     classes = materialize(some.groupBy("set_key").agg(first).select("set_key", F.col("first.doc_id").alias("node"), "first.n_shingles", "first.bands", "first.digest"), "classes")
@@ -328,9 +347,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     return out.union(null)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = STAGE_SIMILAR) -> DataFrame:
     """The rows of docs that are the first of their group; rows without an id stay, as they are in no group."""
-    kept = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = dedup(docs, id_col, text_col, similar).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(kept, id_col, "left_semi").select(docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 
