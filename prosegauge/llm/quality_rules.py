@@ -20,7 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: All but capital letters and ASCII punctuation and digits.
 KEPT_MARKS = r"[^\p{Lu}\x21-\x40\x5B-\x60\x7B-\x7E]+"
 
-#: Rule name -> (bit, condition on the measurements under which the rule fails).
+#: Rule name -> (bit, condition on the measurements under which the rule fails). These are the rules of op9 and its SQL.
 RULES: dict[str, tuple[int, str]] = {
     "few_words": (0, "n_words < 50"),
     "repeated_windows": (1, "100 * n_repeat_words > 50 * n_words"),
@@ -33,19 +33,24 @@ RULES: dict[str, tuple[int, str]] = {
     "bullet_lines": (8, "n_lines > 2 and 100 * n_bullet_lines > 90 * n_lines"),
 }
 
+#: With the rules that came later, which the ledger evaluates too. Card numbers, dates and prices are no marks.
+ALL_RULES = RULES | {"marks_without_digits": (9, "100 * n_plain_marks > 10 * word_chars")}
+
 #: Policy version -> the rules it applies.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols", "marks", "shouting"),
+    "v2": ("few_words", "repeated_windows", "symbols", "marks_without_digits", "shouting"),
     "strict": tuple(RULES),
 }
-CURRENT = "v1"
+#: The pipeline applies the current policy; op9 stays with the one that its SQL states.
+CURRENT, OP9 = "v2", "v1"
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper", "n_bullet_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks", "n_plain_marks", "n_upper", "n_bullet_lines")
 
 
 def policy_mask(version: str) -> int:
-    return sum(1 << RULES[name][0] for name in POLICIES[version])
+    return sum(1 << ALL_RULES[name][0] for name in POLICIES[version])
 
 
 def _length_without(text: Column, pattern: str) -> Column:
@@ -134,6 +139,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nar
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": covered,
         "n_marks": F.length(F.regexp_replace("marks", r"\p{Lu}+", "")),
+        "n_plain_marks": F.length(F.regexp_replace("marks", r"[\p{Lu}0-9]+", "")),
         "n_upper": F.length(F.regexp_replace("marks", r"[\x21-\x40\x5B-\x60\x7B-\x7E]+", "")),
         "n_bullet_lines": F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*+\x{2022}][\x20\x09-\x0D]"))),
     }
@@ -144,8 +150,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nar
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """The measurements and fail_bits: bit RULES[name][0] is set where the rule fails."""
-    bits = [F.when(F.expr(condition), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")) for bit, condition in RULES.values()]
+    """The measurements and fail_bits: bit ALL_RULES[name][0] is set where the rule fails."""
+    bits = [F.when(F.expr(condition), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")) for bit, condition in ALL_RULES.values()]
     return measure(docs, id_col, text_col, carry=carry).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
@@ -173,7 +179,7 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """
     mask = policy_mask(version)
     patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count("*").alias("n"))
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(1 << RULES[name][0]).cast("long").alias("bit")) for name in POLICIES[version]))).alias("r")
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(1 << ALL_RULES[name][0]).cast("long").alias("bit")) for name in POLICIES[version]))).alias("r")
     long = patterns.select("bits", "n", each).select("bits", "n", "r.rule", "r.bit")
     when = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
     fails, only, none = F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("bits") == F.col("bit"), F.col("bits") == 0
@@ -185,8 +191,15 @@ def failure_profile(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n_docs"), F.bit_or("fail_bits").alias("any_failed"), F.bit_and("fail_bits").alias("all_failed"))
 
 
-def sql(version: str = CURRENT) -> str:
+def contract(rows: DataFrame) -> DataFrame:
+    """A ledger whose fail_bits hold the rules of op9 alone."""
+    return rows.withColumn("fail_bits", F.col("fail_bits").bitwiseAND(F.lit(sum(1 << bit for bit, _ in RULES.values()))))
+
+
+def sql(version: str = OP9) -> str:
     """DuckDB SQL for the rows of op9."""
+    if not set(POLICIES[version]) <= set(RULES):
+        raise ValueError(f"policy {version} has rules that the SQL does not evaluate")
     space, mask = r"[\x20\x09-\x0D]+", policy_mask(version) | policy_mask("base")
     bits = " + ".join(f"(case when {condition} then {1 << bit} else 0 end)" for bit, condition in RULES.values())
     return rf"""

@@ -47,7 +47,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    rows = quality_rules.apply_policy(quality_rules.contract(quality_rules.ledger(table(spark, sf_dir, "documents"))), quality_rules.OP9)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "policy", "kept")
 
 
