@@ -1,7 +1,7 @@
 """Word lists, phrases and thresholds of the rules.
 
-All of these are fixed values that results depend on. The large list of everyday words is a parameter instead: see
-`prosegauge.operators.acronyms.common_words`.
+All of these are fixed values that results depend on. The large list of everyday words has a module of its own:
+`prosegauge.functions.everyday`.
 """
 
 from __future__ import annotations

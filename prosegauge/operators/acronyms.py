@@ -6,10 +6,11 @@ for runs of capitals. First uses and definitions meet in one aggregate by docume
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicon as lex
+from prosegauge.functions.everyday import EVERYDAY
 from prosegauge.functions.text import WS
 from prosegauge.operators.structure import Parsed
 
@@ -20,11 +21,10 @@ CANDIDATE = r"[A-Z]{2}|[A-Z]\.[A-Z]\."
 AHEAD, BACK = 16, 14
 
 
-def common_words(corpus: DataFrame, least_docs: int = 20) -> DataFrame:
-    """(word): the words that at least so many documents write in lower case; a stand-in for a list of everyday
-    words, for callers who bring none."""
-    words = corpus.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<![A-Za-z])[a-z]{2,}(?![A-Za-z])"), F.lit(0)))).alias("word"))
-    return words.groupBy("word").count().where(F.col("count") >= least_docs).select("word")
+def everyday_words(spark: SparkSession) -> DataFrame:
+    """(word): the fixed list of everyday words, for callers who bring none. Spark may broadcast it: its rows are fixed."""
+    words = spark.range(1).select(F.explode(F.split(F.lit(" ".join(EVERYDAY.split())), " ")).alias("word"))
+    return F.broadcast(words)
 
 
 def initials(words: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions.text import config_hash
 from prosegauge.operators import rules
-from prosegauge.operators.acronyms import acronym_undefined, common_words
+from prosegauge.operators.acronyms import acronym_undefined, everyday_words
 from prosegauge.operators.structure import Parsed
 
 #: Rule name -> operator over parsed relations.
@@ -35,11 +35,11 @@ OPERATORS = {
 
 def audit(corpus: DataFrame, common: DataFrame | None = None, known: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """(doc, rule, line, detail, phase, ord) of a corpus (doc, text). common: (word), everyday words for the acronym
-    rule, by default taken from the corpus; known: the project's acronyms; only: the rules to run."""
+    rule, by default the fixed list; known: the project's acronyms; only: the rules to run."""
     parsed = Parsed(corpus)
     found = [f(parsed) for name, f in OPERATORS.items() if only is None or name in only]
     if only is None or "acronym-undefined" in only:
-        found.append(acronym_undefined(corpus, common_words(corpus) if common is None else common, known))
+        found.append(acronym_undefined(corpus, everyday_words(corpus.sparkSession) if common is None else common, known))
     return reduce(DataFrame.unionByName, found)
 
 
