@@ -62,6 +62,17 @@ def files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(*_counted(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
 
 
+def all_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule_totals over all seventeen rules, which SQL can't follow."""
+    return totals(audit(carriers.documents(spark, sf_dir))).select(F.lit(config_hash()).alias("config_hash"), "rule", "n")
+
+
+def all_files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files_summary over all seventeen rules, which SQL can't follow."""
+    corpus = carriers.documents(spark, sf_dir)
+    return files(corpus, audit(corpus)).withColumnRenamed("doc", "doc_id")
+
+
 def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seventeen rules over all carriers and documents; totals by corpus."""
     parts = {"documents": carriers.documents, "phrases": carriers.phrases, "openings": carriers.openings, "enumerations": carriers.enumerations, "headings": carriers.headings, "tables": carriers.tables, "links": carriers.links, "pages": carriers.pages}
@@ -130,6 +141,8 @@ def queries() -> dict[str, Query]:
         "page_link_text": page_link_text,
         "rule_totals": rule_totals,
         "files_summary": files_summary,
+        "all_rule_totals": all_rule_totals,
+        "all_files_summary": all_files_summary,
         "full_audit": full_audit,
         "evidence_sweep": evidence_sweep,
         "maturity_score": maturity_score,
