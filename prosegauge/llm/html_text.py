@@ -5,18 +5,23 @@ table row or cell ends the one before; blocks end a paragraph; what is left open
 `Layout` walks the tree and writes what a reader would see: block boundaries as line breaks, an empty line around
 paragraphs, bullets and numbers by list depth, preformatted text as it stands, tables with cells padded to columns.
 All visible text is kept, navigation and footers too; what is hidden (scripts, styles, heads, templates, comments,
-`hidden`, `display:none`, `visibility:hidden`, `aria-hidden`) is not.
+`hidden`, `display:none`, `aria-hidden`) is not. `visibility` is inherited, and a visible element inside a hidden one
+shows.
 
 Cases: null and empty pages give an empty text; broken markup never fails: a `<` that opens no tag is text, an
-unclosed tag or comment at the end is dropped. Nesting deeper than DEPTH is read as siblings, which keeps all text. A
-null page_id stays null; repeated rows give repeated results; an empty table gives an empty result; other columns are
-ignored. Pages are rendered whole in time linear in their length.
+unclosed tag or comment at the end is dropped, a quote opens a value only after `=`, spans that are no number count as
+one. Elements nested deeper than DEPTH have no boxes of their own: their text goes into the box around them, with a
+line break at each block, and what one of them hides (for such depths with `visibility` too) stays hidden. A null
+page_id stays null; repeated rows give repeated results; an empty table gives an empty result; other columns, whatever
+their names, are ignored. Pages are rendered whole, in time linear in their length but for cells that span many rows,
+which each row below steps over.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,9 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 100
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only after `=`; other values end at white space or `>`.
+VALUE = r"=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>{VALUE}|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: The most columns and rows that HTML lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -70,25 +80,83 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> Node:
-    root = Node("html", {})
-    stack = [root]
+class Tree:
+    """The open elements of a page: those that have boxes, and those below DEPTH, which only tell what they hide."""
 
-    def close(tags: set[str], barriers: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in barriers:
+    def __init__(self) -> None:
+        self.root = Node("html", {})
+        self.stack = [self.root]
+        self.deep: list[tuple[str, bool]] = []
+        self.open_deep: Counter[str] = Counter()
+        self.hidden_deep = 0
+
+    def text(self, text: str) -> None:
+        if not self.hidden_deep:
+            self.stack[-1].children.append(text)
+
+    def cut(self, size: int) -> None:
+        """Closes all boxes from the place `size` on, and all that is below DEPTH."""
+        del self.stack[size:]
+        self.cut_deep(0)
+
+    def cut_deep(self, size: int) -> None:
+        while len(self.deep) > size:
+            tag, hides = self.deep.pop()
+            self.open_deep[tag] -= 1
+            self.hidden_deep -= hides
+
+    def imply(self, tags: set[str], barriers: set[str]) -> None:
+        """Closes the open elements of these tags, up to the nearest barrier."""
+        k = len(self.stack) - 1
+        while k > 0 and self.stack[k].tag not in barriers:
+            if self.stack[k].tag in tags:
+                self.cut(k)
+            k -= 1
+
+    def end(self, tag: str) -> None:
+        if self.open_deep[tag]:
+            k = len(self.deep) - 1
+            while self.deep[k][0] != tag:
+                k -= 1
+            self.cut_deep(k)
+            self.block(tag)
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag == tag:
+                self.cut(k)
                 return
-            if stack[k].tag in tags:
-                del stack[k:]
-                close(tags, barriers)
+            if self.stack[k].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
 
+    def block(self, tag: str) -> None:
+        if tag in BLOCKS and not self.hidden_deep:
+            self.stack[-1].children.append(Node("div", {}))
+
+    def start(self, node: Node, closed: bool) -> None:
+        if len(self.stack) < DEPTH:
+            self.stack[-1].children.append(node)
+            if not closed:
+                self.stack.append(node)
+            return
+        if closed:
+            if not self.hidden_deep:
+                self.stack[-1].children.append(node)
+            return
+        self.block(node.tag)
+        hides = not visible(node) or visibility(node, True) is False
+        self.deep.append((node.tag, hides))
+        self.open_deep[node.tag] += 1
+        self.hidden_deep += hides
+
+
+def parse(page: str) -> Node:
+    tree = Tree()
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            tree.text(html.unescape(text))
         if not m:
             break
         at = m.end()
@@ -96,42 +164,42 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if tag == "p" and not any(n.tag == "p" for n in tree.stack) and not tree.open_deep["p"]:
+                tree.stack[-1].children.append(Node("p", {}))
+            tree.end(tag)
             continue
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
+            tree.imply(*IMPLIED[tag])
         elif tag in PHRASE_END:
-            close({"p"}, {"td", "th", "table", "button"})
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            tree.imply({"p"}, {"td", "th", "table", "button"})
+        if tag in ("html", "body") and any(n.tag == tag for n in tree.stack):
             continue
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t\r\f") else {})
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
-            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             inner = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else len(page)
-        elif len(stack) < DEPTH:
-            stack.append(node)
-    return root
+        tree.start(node, tag in RAW or tag in VOID or m[3].endswith("/") and tag not in BLOCKS)
+    return tree.root
 
 
 def visible(node: Node) -> bool:
+    """Whether an element has a box at all."""
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return False
     return not (node.tag == "input" or ("style" in a and HIDING.search(a["style"])))
 
 
+def visibility(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text shows: the last `visibility` of its style, else what the box around it has."""
+    if "style" not in node.attrs:
+        return inherited
+    said = VISIBILITY.findall(node.attrs["style"])
+    return said[-1].lower() == "visible" if said else inherited
+
+
 class Layout:
     """Lines of a rendered box. Breaks are held back until text follows, so boundaries never pile up."""
 
@@ -188,31 +256,32 @@ class Layout:
         return self.lines
 
 
-def _raw_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _raw_text(c) if visible(c) else "" for c in node.children)
+def _raw_text(node: Node, seen: bool) -> str:
+    return "".join((c if seen else "") if isinstance(c, str) else "\n" if c.tag == "br" else _raw_text(c, visibility(c, seen)) if visible(c) else "" for c in node.children)
 
 
-def render(node: Node, out: Layout, depth: int = 0) -> None:
+def render(node: Node, out: Layout, seen: bool = True) -> None:
     number = int(node.attrs["start"]) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
     for child in node.children:
         if isinstance(child, str):
-            out.text(child)
+            if seen:
+                out.text(child)
             continue
         if not visible(child):
             continue
-        tag = child.tag
+        tag, shown = child.tag, visibility(child, seen)
         if tag == "br":
             out.newline()
         elif tag == "img":
-            if child.attrs.get("alt", "").strip():
+            if shown and child.attrs.get("alt", "").strip():
                 out.text(child.attrs["alt"])
         elif tag == "table":
             out.block(True)
-            out.verbatim(table_lines(child))
+            out.verbatim(table_lines(child, shown))
             out.block(True)
         elif tag == "pre":
             out.block(True)
-            out.verbatim(_raw_text(child).strip("\n").split("\n"))
+            out.verbatim(_raw_text(child, shown).strip("\n").split("\n"))
             out.block(True)
         elif tag == "li":
             out.block()
@@ -221,71 +290,97 @@ def render(node: Node, out: Layout, depth: int = 0) -> None:
                 if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
                     number = int(child.attrs["value"])
                 mark, number = f"{number}. ", number + 1
-            out.marker = mark
+            out.marker = mark if shown else ""
             out.prefix.append(" " * len(mark))
-            render(child, out, depth + 1)
+            render(child, out, shown)
             out.prefix.pop()
             out.marker = ""
             out.block()
         elif tag == "blockquote":
             out.block(True)
             out.prefix.append("> ")
-            render(child, out, depth + 1)
+            render(child, out, shown)
             out.block(True)
             out.prefix.pop()
         elif tag in BLOCKS:
             spaced = tag in SPACED and not (tag in ("ul", "ol") and out.prefix)
             out.block(spaced)
-            render(child, out, depth + 1)
+            render(child, out, shown)
             out.block(spaced)
         else:
-            render(child, out, depth + 1)
+            render(child, out, shown)
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    said = re.match(r"\s*\+?([0-9]+)", cell.attrs.get(name, ""))
+    return min(int(said[1][:6]), most) if said else 1
 
 
-def table_lines(table: Node) -> list[str]:
-    """Rows of a table, each cell padded to its column's width; cells of several lines take several lines."""
-    rows: list[list[list[str]]] = []
+def table_lines(table: Node, seen: bool = True) -> list[str]:
+    """Rows of a table, each cell padded to its column's width; cells of several lines take several lines, and a cell
+    that spans rows keeps its columns free in the rows below."""
+    rows: list[dict[int, list[str]]] = []
     caption: list[str] = []
     loose = Node("div", {})
+    taken: list[tuple[int, int, int]] = []  # first column, column after the last, last row
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, seen: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
-                if child.strip():
+                if seen and child.strip():
                     loose.children.append(child)
             elif not visible(child):
                 continue
             elif child.tag == "tr":
-                cells: list[list[str]] = []
-                for cell in child.children:
-                    if isinstance(cell, Node) and cell.tag in ("td", "th") and visible(cell):
-                        cells.append(lines_of(cell))
-                        span = cell.attrs.get("colspan", "1")
-                        cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
-                    elif isinstance(cell, Node) and visible(cell) or isinstance(cell, str) and cell.strip():
-                        loose.children.append(cell)
-                if cells:
-                    rows.append(cells)
+                row(child, visibility(child, seen))
             elif child.tag in ("tbody", "thead", "tfoot"):
-                walk(child)
+                taken.clear()
+                walk(child, visibility(child, seen))
+                taken.clear()
             elif child.tag == "caption":
-                caption.extend(lines_of(child))
+                caption.extend(lines_of(child, visibility(child, seen)))
             else:
                 loose.children.append(child)
 
-    walk(table)
-    columns = max(map(len, rows), default=0)
-    widths = [max((len(line) for row in rows if k < len(row) for line in row[k]), default=0) for k in range(columns)]
-    out = caption + lines_of(loose)
-    for row in rows:
-        for k in range(max(map(len, row), default=0) or 1):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths)).rstrip())
+    def row(node: Node, seen: bool) -> None:
+        here = [t for t in taken if t[2] >= len(rows)]
+        cells: dict[int, list[str]] = {}
+        column = next_taken = 0
+        new = []
+        for cell in node.children:
+            if isinstance(cell, Node) and cell.tag in ("td", "th") and visible(cell):
+                while next_taken < len(here) and here[next_taken][0] <= column:
+                    column = max(column, here[next_taken][1])
+                    next_taken += 1
+                cells[column] = lines_of(cell, visibility(cell, seen))
+                width, height = max(1, _span(cell, "colspan", MOST_COLUMNS)), _span(cell, "rowspan", MOST_ROWS)
+                if height != 1:  # 0 is all rows to the end of the group
+                    new.append((column, column + width, len(rows) + (height or MOST_ROWS) - 1))
+                column += width
+            elif isinstance(cell, Node) and visible(cell) or seen and isinstance(cell, str) and cell.strip():
+                loose.children.append(cell)
+        taken[:] = sorted([*here, *new])
+        if cells:
+            rows.append(cells)
+
+    walk(table, seen)
+    columns = sorted({k for r in rows for k in r})
+    widths = {k: 0 for k in columns}
+    for r in rows:
+        for k, cell in r.items():
+            widths[k] = max(widths[k], *map(len, cell), 0)
+    out = caption + lines_of(loose, seen)
+    for r in rows:
+        last = max(r)
+        upto = [k for k in columns if k <= last]
+        for n in range(max(map(len, r.values())) or 1):
+            out.append("  ".join((r[k][n] if k in r and n < len(r[k]) else "").ljust(widths[k]) for k in upto).rstrip())
     return out
 
 
-def lines_of(node: Node) -> list[str]:
+def lines_of(node: Node, seen: bool = True) -> list[str]:
     inner = Layout()
-    render(node, inner)
+    render(node, inner, seen)
     return inner.finish()
 
 
