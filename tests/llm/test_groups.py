@@ -92,7 +92,7 @@ def test_both_arc_versions(spark):
     for version in (1, 2):
         path = shared_path(spark, "arc")
         warc.write_arc(pages, path, version)
-        assert {(r.page_id, r.url, r.body, r.date) for r in warc.read_arc(spark, path).collect()} == {(1, "http://a", "one\ntwo", "2024-01-01T00:00:00Z"), (2, "http://b", "three", "2024-01-01T00:00:00Z")}
+        assert {(r.page_id, r.url, r.body.decode(), r.date) for r in warc.read_arc(spark, path).collect()} == {(1, "http://a", "one\ntwo", "2024-01-01T00:00:00Z"), (2, "http://b", "three", "2024-01-01T00:00:00Z")}
     block = b"HTTP/1.1 200 OK\r\n\r\nhi"
     head = f"filedesc://x 0.0.0.0 20200101000000 text/plain {len(t := '1 0 x' + chr(10) + warc.ARC_FIELDS[1] + chr(10))}\n{t}\n"
     record = f"http://a 0.0.0.0 20200102030405 text/html {len(block)}\n".encode() + block + b"\n"
