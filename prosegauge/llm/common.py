@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a folder of our own under /tmp takes its place.
+    Only where that is unset and all of Spark runs in one process (tests) a folder of our own under /tmp takes its
+    place. A cluster without it gets an error: files in a machine's own folder are lost to all others.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines share; it is unset on {master}")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -46,6 +54,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def small_parts(batch: pa.RecordBatch, column: int, rows: int = 500, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most `rows` rows, and at most `most` bytes of a text column unless one row has more."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        total = np.cumsum(sizes[at : at + rows], dtype=np.int64)
+        n = max(1, int(np.searchsorted(total, most, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone; other letters stay as they are."""
     return F.translate(c, UPPER, LOWER)
