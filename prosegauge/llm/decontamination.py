@@ -5,13 +5,16 @@ passage by an error budget of k edits (one in EDIT_SHARE characters). Cut into k
 then stands in the passage unchanged: one Aho-Corasick automaton of all pieces finds these in a single pass over a
 document, and Myers' bit-parallel distance, free to begin and end anywhere in the window around a hit, confirms.
 
-The items are the stated query set: they go to all tasks in blocks of at most BLOCK_CHARS characters, one pass over
-the documents for each block, so what is broadcast is bounded however many items there are.
-
-Cases: null and empty texts match nothing; items that keep no character, or fewer than SHORTEST, are left out, as
-they would match ordinary prose; a null doc_id stays null; repeated rows and items give repeated results and the
-item's smallest id first; with no items, or an empty table, nothing is contaminated; other columns are ignored. Texts
-are searched whole. Hits of one item that lie in one window are verified together.
+The items are the stated query set. They are reduced in tasks, dealt into blocks of about BLOCK_CHARS characters by
+their hash and written as a table; the driver reads one block at a time and broadcasts it, and the documents go through
+one Python stage for each block. So what is held at once is bounded however many items there are, and a benchmark of
+up to BLOCK_CHARS characters takes one stage.
+
+Cases: null and empty texts match nothing; items of fewer than SHORTEST reduced characters have no budget and match
+whole words alone, as with edits they would match ordinary prose; items that keep no character match nothing; a null
+doc_id stays null, items without an id are left out; repeated rows and items give repeated results and the item's
+smallest id first; with no items, or an empty table, nothing is contaminated; other columns, whatever their names, are
+ignored. Texts of any length are searched whole. Hits of one item that lie in one window are verified together.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.common import materialize
+
 EDIT_SHARE = 25
 SHORTEST = 30
 BLOCK_CHARS = 2_000_000
@@ -66,8 +71,9 @@ def best_distance(pattern_bits: dict[str, int], length: int, window: str, budget
 class Matcher:
     """One block of items, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, text, len(text) // EDIT_SHARE) for i, text in items]
+    def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST) -> None:
+        self.shortest = shortest
+        self.items = [(i, text, len(text) // EDIT_SHARE if len(text) >= shortest else 0) for i, text in items]
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
@@ -75,7 +81,8 @@ class Matcher:
                 places.setdefault(piece, []).append((n, at))
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
-        self.automaton.make_automaton()
+        if places:
+            self.automaton.make_automaton()
         self.bits: dict[int, dict[str, int]] = {}
 
     def _bits(self, n: int) -> dict[str, int]:
@@ -88,10 +95,15 @@ class Matcher:
     def search(self, text: str) -> list[tuple[int, int]]:
         """(item, distance) of the items that stand in a reduced text within their budgets."""
         windows: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, where) in self.automaton.iter(text):
+        for end, (size, where) in self.automaton.iter(text) if self.items else ():
             for n, at in where:
                 _, item, budget = self.items[n]
                 start = end - size + 1 - at
+                if len(item) < self.shortest:
+                    if (start and text[start - 1] != " ") or text[end + 1 : end + 2] not in ("", " "):
+                        continue
+                    windows[n] = [(start, end + 1)]
+                    continue
                 low, high = max(0, start - budget), start + len(item) + budget
                 held = windows.setdefault(n, [])
                 if held and low <= held[-1][1]:
@@ -112,38 +124,36 @@ class Matcher:
         return found
 
 
-def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    """The usable items in blocks of at most BLOCK_CHARS characters; an item longer than that has one of its own."""
-    out: list[list[tuple[int, str]]] = []
-    size = BLOCK_CHARS
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null and i is not null").orderBy("i", "t")
-    for row in rows.toLocalIterator():
-        text = reduced(row.t)
-        if len(text) < SHORTEST:
-            continue
-        if size + len(text) > BLOCK_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append((row.i, text))
-        size += len(text)
-    return out
-
-
-def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(block, item, text) of the usable items, reduced, as a stored table, and the number of blocks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reduced(t.as_py()) for t in batch.column(1)], pa.string())], names=["item", "text"])
+
+    rows = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null and item is not null")
+    small = materialize(rows.mapInArrow(work, "item bigint, text string").where("text <> ''"), "items")
+    total = small.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    n = -(-total // BLOCK_CHARS)
+    return small.select(F.pmod(F.xxhash64("item", "text"), F.lit(max(n, 1))).alias("block"), "item", "text"), n
+
+
+def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, distance) of each row of docs: the items that stand in it and the
-    least distance. With carry, all columns of docs (in a struct `row`) in place of doc_id."""
+    least distance. With carry, all columns of docs (in a struct `row`) in place of doc_id. shortest: items of fewer
+    reduced characters match whole words exactly."""
     head = "row" if carry else "doc_id"
     first = F.struct(*docs.columns).alias("row") if carry else F.col(id_col).alias("doc_id")
     rows = docs.select(first, F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<struct<item:bigint,distance:int>>").alias("found"))
     schema = f"{head} {rows.schema[head].dataType.simpleString()}, text string, found array<struct<item:bigint,distance:int>>"
     kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())]))
-    sets = blocks(items)
-    for k, block in enumerate(sets):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        last = k == len(sets) - 1
+    sets, n = blocks(items)
+    for k in range(n):
+        shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in sets.where(F.col("block") == k).orderBy("item", "text").collect()])
+        last = k == n - 1
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            matcher = Matcher(shared.value)
+            matcher = Matcher(shared.value, shortest)
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
