@@ -9,7 +9,7 @@
 3. `links`: classes that agree on all rows of a band meet in a bucket. Each member is paired with the bucket's hub, the
    member with the most company over all its buckets, as the original of a group of copies has. Members of a bucket
    that are in different components after that meet in a join whose condition compares sizes and digests of the
-   signatures, so that only pairs that may well be similar leave it.
+   signatures, so that only pairs that may well be similar leave it; buckets of many such members are split over a grid.
 4. `verify`: 100 * intersection >= `similar` * union on the full sets.
 5. `components`: union-find inside each partition contracts the links, then rounds of the large-star and small-star
    rules join what the partitions hold, until nothing changes.
@@ -21,7 +21,8 @@ probability below 1e-7 (28 bands of 5 rows at 0.85, 41 at 0.8); its digests diff
 Cases: null or empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer
 than five words is one shingle. A null id is its own component (null) and never kept; rows that repeat an id count as
 one node, so they share the component of the id. Ties go to the smaller id. An empty table gives an empty result.
-Other columns of the input are ignored.
+Other columns of the input, whatever their names, are ignored. Very long texts are taken whole: a sketch holds one
+text's shingles at a time besides its batch.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ ROWS = 5
 SLOTS = 384
 #: Probability with which a pair at the threshold may share no band.
 MISSED = 1e-7
+#: Members of a bucket that one key of the join compares with one another; larger buckets are split.
+CELL = 1000
 #: Edges that one task contracts; components of fewer need no rounds between tasks.
 TASK_EDGES = 500_000
 
@@ -320,14 +323,32 @@ def links(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFram
     # What is left: members of one bucket in different components that no hub linked. Sizes and digests rule most pairs
     # out where the rows meet, so only pairs that may well be similar leave the join.
     named = materialize(named.join(sizes, "node"), "left")
-    other = named.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.col("digest").alias("digest2"), F.col("bands").alias("bands2"))
-    # Once a pair, in the first band that it shares.
-    first = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("band")
-    apart = named.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2", similar) & first)
-    pairs = apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = apart(named, similar).distinct().join(done, ["a", "b"], "left_anti")
     return found.union(verify(materialize(pairs, "pairs"), texts, similar))
 
 
+def apart(named: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that are in different components and may well be similar; named has
+    (band, node, component, size, digest, bands).
+
+    A bucket of more than CELL members is split over a grid: its members fall into g parts by their hash, and the pairs
+    of two parts (or of one) meet in a cell of their own. So a large bucket is the work of g * (g + 1) / 2 keys."""
+    crowd = named.groupBy("band").agg(F.count("*").alias("n"))
+    large = materialize(crowd.where(F.col("n") > CELL).select("band", F.ceil(F.col("n") / CELL).cast("int").alias("g")), "large")
+    dealt = named.join(large, "band", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
+    one = dealt.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("g") - 1)))
+    two = dealt.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("part"))))
+    two = two.select(F.col("band").alias("band2"), F.col("first").alias("part2"), F.col("part").alias("other2"), *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "digest", "bands")))
+    # Once a pair: in one cell, and in the first band that it shares.
+    cell = (F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2")) & (F.col("other") == F.col("other2"))
+    once = (F.col("part") != F.col("other")) | (F.col("node") < F.col("node2"))
+    first = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("band")
+    near = (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2", similar)
+    met = one.join(two, cell & once & (F.col("component") != F.col("component2")) & near & first)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs with an id or without."""
     sketch = materialize(sketches(docs, id_col, text_col, similar), "sketches")
