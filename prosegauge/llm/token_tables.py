@@ -10,7 +10,7 @@ A shard holds a run of documents in key order:
   footer   offsets and lengths of index and filter, number of documents and ids, bytes an id, format version, magic
 
 A key is the document id as eight big-endian bytes with the sign bit flipped (so byte order is number order) and four
-bytes that number the rows of one id.
+bytes that number the rows of one id within a task's shards.
 
 `write` splits the documents by ranges of the id, encodes and writes each range's shards from the task that holds it,
 and returns the manifest: one row a shard. Tasks hand over shards only through the manifest; a task that runs again
@@ -42,6 +42,10 @@ MAGIC, VERSION = b"PGSST\x00\r\n", 1
 BLOCK, SHARD = 64 << 10, 32 << 20
 BITS_PER_KEY, PROBES = 10, 7
 END_ID = 2
+#: Beyond so many shards a task reads several.
+MOST_TASKS = 20_000
+#: Shards whose first ids may be broadcast, about 100 bytes each; beyond it the ids are sorted past them.
+BROADCAST_SHARDS = 100_000
 FOOTER = struct.Struct("<QQQQQQII8s")
 
 
@@ -145,6 +149,7 @@ class ShardReader:
             n = raw[at]
             self.index.append((raw[at + 1 : at + 1 + n], *struct.unpack_from("<QI", raw, at + 1 + n)))
             at += n + 13
+        self.firsts = [key for key, _, _ in self.index]
         self.bloom = np.unpackbits(np.frombuffer(self.file.read_at(bloom_size, bloom_at), np.uint8)).astype(bool)
 
     def entries(self) -> Iterator[tuple[int | None, bytes]]:
@@ -157,7 +162,7 @@ class ShardReader:
 
         if not all(self.bloom[k] for k in _probes(doc_id, len(self.bloom))):
             return None
-        k = bisect.bisect_right([key for key, _, _ in self.index], key_of(doc_id)) - 1
+        k = bisect.bisect_right(self.firsts, key_of(doc_id)) - 1
         if k < 0:
             return None
         _, at, n = self.index[k]
@@ -206,16 +211,24 @@ def write(docs: DataFrame, tokenizer: str, folder: str, partitions: int, id_col:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Rows of one id (or of none) may be many: their texts' hashes and a row number split them over several ranges.
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r"))
+    ranged = rows.repartitionByRange(partitions, "doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "r").select("doc_id", "text")
     return materialize(ranged.mapInArrow(work, "shard string, first_id bigint, part int, number int, n_docs bigint, n_ids bigint"), "manifest")
 
 
+def _tasks(manifest: DataFrame) -> int:
+    """Tasks that read shards; the manifest is a stored table of one row a shard."""
+    return max(1, min(manifest.count(), MOST_TASKS))
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard) of all documents, from the shards: start counts the ids of all
     documents before it. The running total goes over the manifest, which has one row a shard."""
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     base = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    spread = base.select("shard", "base").repartition("shard")
+    # A task for each shard: left to itself, Spark would merge these few small rows into one.
+    spread = base.select("shard", "base").repartition(_tasks(manifest), "shard")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,15 +247,35 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def lookup(wanted: DataFrame, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of the wanted ids that some shard holds. Ranges of shards do not overlap but for rows that repeat
-    an id across their edge, so each id goes to the last shard that begins at or below it: a bound on the manifest
-    (one row a shard), then one Bloom test, one search in the index and one block."""
-    bounds = manifest.select("shard", "first_id").where("first_id is not null")
-    begin = bounds.select(F.col("first_id").alias("k"), "shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("side"))
-    ask = wanted.select(F.col(id_col).cast("bigint").alias("k"), F.lit(None).cast("string").alias("shard"), F.col(id_col).cast("bigint").alias("doc_id"), F.lit(1).alias("side")).where("k is not null")
-    # Where the manifest's first ids cut the line of ids; each wanted id takes the shard of its piece.
-    pieces = begin.select(F.col("k").alias("low"), F.lead("k").over(Window.orderBy("k")).alias("high"), "shard")
-    found = ask.drop("shard").join(F.broadcast(pieces), (F.col("k") >= F.col("low")) & (F.col("high").isNull() | (F.col("k") < F.col("high"))))
-    by_shard = found.select("shard", "doc_id").repartition("shard").sortWithinPartitions("shard")
+    an id across their edge, so each id goes to the last shard that begins at or below it; then one Bloom test, one
+    search in the index and one block. Wanted ids are taken once each; null ids are not looked up.
+
+    The shards' first ids are broadcast as one sorted array where there are few enough, and the wanted ids search it;
+    beyond BROADCAST_SHARDS both are sorted by id together, and each wanted id takes the shard that stands before it."""
+    ask = wanted.select(F.col(id_col).cast("bigint").alias("k")).where("k is not null").distinct()
+    bounds = manifest.where("first_id is not null").groupBy(F.col("first_id").alias("k")).agg(F.max_by("shard", F.struct("part", "number")).alias("shard"))
+    if manifest.count() <= BROADCAST_SHARDS:
+        rows = sorted((r.k, r.shard) for r in bounds.collect())
+        firsts = manifest.sparkSession.sparkContext.broadcast(([k for k, _ in rows], [s for _, s in rows]))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, shards = firsts.value
+            for batch in batches:
+                at = np.searchsorted(np.array(keys, np.int64), batch.column(0).to_numpy(zero_copy_only=False), "right") - 1
+                names = pa.array([shards[i] if i >= 0 else None for i in at.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([names, batch.column(0)], names=["shard", "doc_id"])
+
+        found = ask.mapInArrow(place, "shard string, doc_id bigint").where("shard is not null")
+    else:
+        both = bounds.select("k", "shard", F.lit(0).alias("side")).union(ask.select("k", F.lit(None).cast("string"), F.lit(1)))
+        # Ranges first, so that no task sees all; what a range lacks at its head comes from the ranges before it.
+        ranged = materialize(both.repartitionByRange("k", "side").sortWithinPartitions("k", "side").withColumn("part", F.spark_partition_id()), "ranged")
+        heads = ranged.groupBy("part").agg(F.max_by("shard", F.when(F.col("side") == 0, F.col("k"))).alias("last"))
+        carried = heads.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+        order = Window.partitionBy("part").orderBy("k", "side").rowsBetween(Window.unboundedPreceding, 0)
+        held = ranged.select("part", "k", "side", F.last("shard", ignorenulls=True).over(order).alias("shard")).join(carried, "part")
+        found = held.where("side = 1").select(F.coalesce("shard", "carried").alias("shard"), F.col("k").alias("doc_id")).where("shard is not null")
+    by_shard = found.repartition(_tasks(manifest), "shard").sortWithinPartitions("shard")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, at = None, None
