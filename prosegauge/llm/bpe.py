@@ -4,12 +4,14 @@ A word is a row of symbols (its bytes, the last one with the word end). For each
 that can be last in the prefix's encoding: the candidates are the vocabulary entries that end there, and the one to
 take is the one that may follow the last token of the prefix before it. Two tokens may stand side by side if merging
 them as a row of symbols gives just these two tokens back, which `Vocabulary.compatible` tests by undoing merges.
-Back-pointers from the last prefix spell the ids. Candidates come from an automaton over all suffixes: a trie of the
-vocabulary whose failure links lead to the next shorter suffix that is an entry's start (`Vocabulary._automaton`).
+Back-pointers from the last prefix spell the ids. Candidates come from a suffix-matching automaton: not the automaton
+of all substrings of one string, but a trie of the vocabulary's entries whose failure links lead to the next shorter
+suffix that begins an entry (Aho and Corasick), so that each state knows all entries that are suffixes of what was
+read (`Vocabulary._automaton`).
 
 The file's own normaliser and splitter are followed: NFC, white space runs, lower case letter by letter; contractions,
 runs of letters, single digits, runs of other signs. White space never stands within a word, so texts are encoded
-chunk by chunk between white space and equal chunks are looked up.
+chunk by chunk between white space; of equal chunks in a batch one is encoded, and Arrow copies its ids.
 
 Cases: null and empty texts give no ids. Special tokens written out in a text become their ids, as in the library.
 A symbol outside the vocabulary is left out, as in the library (the file has no unknown token). Repeated rows give
@@ -19,6 +21,7 @@ are processed whole; the look-up table of chunks is dropped when it holds CACHE
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import struct
@@ -27,11 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.common import small_parts
+
 #: Chunks remembered by a task before it starts afresh; bounds its memory, not its results.
 CACHE = 400_000
 
@@ -40,7 +46,9 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spa
 SPACES = regex.compile(r"\p{White_Space}+")
 #: Letters below U+0180 and the marks that may follow them: there all versions of Unicode agree.
 USUAL = regex.compile(r"[\x00-\u017f\u0300-\u0304\u2010-\u2022]*")
-#: Python's split() also cuts at these four, which are not white space for the splitter.
+#: Marks that often end a word; no contraction begins with one.
+MARKS = ",.;:!?"
+#: Python's and Arrow's splits also cut at these four, which are not white space for the splitter.
 ODD = regex.compile(r"[\x1c-\x1f]")
 
 
@@ -187,12 +195,14 @@ class Encoder:
         self.rules = tokenizers.Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.rules.get_added_tokens_decoder().items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.plain_words = not any(t[0].isalpha() or t[0] in MARKS for t in self.special)
         self.letters = byte_symbols()
         if library:
             tokenize = self.rules.model.tokenize
             self.piece = lambda letters: [t.id for t in tokenize(letters)]
         else:
             self.vocabulary = Vocabulary(path)
+            self.names = pa.array(self.vocabulary.names, pa.large_string())
             self.piece = self.vocabulary.piece
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -206,19 +216,19 @@ class Encoder:
         rules = self.rules
         return [piece for piece, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))]
 
+    def _ids(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            found = self.piece(piece)
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(piece) < 64:
+                if len(self.pieces) >= self.cache:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
     def _plain(self, text: str) -> bytes:
-        out = []
-        for piece in self._split(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                found = self.piece(piece)
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(piece) < 64:
-                    if len(self.pieces) >= self.cache:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._ids, self._split(text)))
 
     def _chunk(self, text: str) -> bytes:
         special = self.special_pattern
@@ -230,24 +240,54 @@ class Encoder:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def _known(self, chunk: str) -> bytes:
+        word = chunk.rstrip(MARKS)
+        if self.plain_words and word.isascii() and word.isalpha():
+            # A run of letters and one of marks, which stand for themselves.
+            ids = self._ids(word.lower())
+            return ids if len(word) == len(chunk) else ids + self._ids(chunk[len(word) :])
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            ids = self._chunk(chunk)
+            if len(chunk) < 64:
+                if len(self.chunks) >= self.cache:
+                    self.chunks.clear()
+                self.chunks[chunk] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        chunks, known = SPACES.split(text) if ODD.search(text) else text.split(), self.chunks
-        out = []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) < 64:
-                    if len(known) >= self.cache:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self._known, SPACES.split(text) if ODD.search(text) else text.split()))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts in a row, and where each text's ids begin, with their number at the end.
+        A null has none."""
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, ODD.pattern)).as_py():
+            packed = [self.encode(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(packed), "<u4"), np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int64)
+        chunks = pc.utf8_split_whitespace(texts)
+        places = chunks.flatten().dictionary_encode()
+        known = list(map(self._known, places.dictionary.to_pylist()))
+        sizes = np.array([len(k) // 4 for k in known], np.int64)
+        starts = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+        ids = pa.LargeListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(known), "<u4"))).take(places.indices).flatten().to_numpy()
+        before = np.concatenate(([0], np.cumsum(sizes[places.indices.to_numpy()])))
+        cuts = chunks.offsets.to_numpy()
+        return ids, before[cuts - cuts[0]]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The file names no decoder, so the tokens' names are joined by spaces, special tokens included."""
-        return " ".join(map(self.vocabulary.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        names = self.names.take(pa.array(ids))
+        if ends[-1] > 1 << 31 or pc.sum(pc.binary_length(names)).as_py() > 1 << 31:  # beyond Arrow's shorter lists
+            return pa.array([" ".join(names[a:b].to_pylist()) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.large_string())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names.cast(pa.string())), " ")
+
+
+@functools.lru_cache(maxsize=4)
+def encoder_of(path: str, library: bool = False) -> Encoder:
+    """A worker's own encoder: its tables and what it remembers serve the tasks that the worker runs later too."""
+    return Encoder(path, library=library)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
@@ -260,23 +300,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                packed = [encoder.encode(t.as_py() or "") for t in part.column(1)]
-                texts = [encoder.decode(p) for p in packed]
+            for part in small_parts(batch, 1, rows=2000):
+                found, ends = encoder.encode_all(part.column(1))
+                texts = encoder.decode_all(found, ends)
+                raw = memoryview(found.astype("<u4").tobytes())
                 columns = [
                     part.column(0),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                    pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string()),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string()),
+                    pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts.cast(pa.large_binary())], pa.string()),
                 ]
                 if ids:
-                    cuts = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype("<i4"))))
                 if decoded:
-                    columns.append(pa.array(texts, pa.string()))
+                    columns.append(texts.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded

@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import materialize, shared_path
+from prosegauge.llm.common import materialize, shared_path, small_parts
 
 MAGIC, VERSION = b"PGSST\x00\r\n", 1
 #: A block is closed at this many bytes, a shard at this many; a longer document has a block of its own.
@@ -179,11 +179,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, partitions: int, id_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from prosegauge.llm.bpe import Encoder
+        from prosegauge.llm.bpe import encoder_of
 
         context = TaskContext.get()
         system, base = fs.FileSystem.from_uri(folder)
-        encoder, end = Encoder(tokenizer, library=True), struct.pack("<I", end_id)
+        encoder, end = encoder_of(tokenizer, library=True), struct.pack("<I", end_id)
         width = 2 if max(end_id, encoder.rules.get_vocab_size() - 1) < 1 << 16 else 4
         number, writer = 0, ShardWriter(width)
         before, copy = object(), 0
@@ -197,13 +197,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, partitions: int, id_col:
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.string()), ("first_id", pa.int64()), ("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encoder.encode(text)
+            for part in small_parts(batch, 1, rows=2000):
+                found, ends = encoder.encode_all(part.column(1))
+                raw = found.astype("<u4").tobytes()
+                for doc_id, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
                     copy = copy + 1 if doc_id == before else 0
                     before = doc_id
-                    writer.add(doc_id, copy, ids + end)
+                    writer.add(doc_id, copy, raw[4 * a : 4 * b] + end)
                     if writer.full():
                         yield flush()
                         number, writer = number + 1, ShardWriter(width)
