@@ -1,7 +1,7 @@
 """Word lists, phrases and thresholds of the rules.
 
-All of these are fixed values that results depend on. The large list of everyday words has a module of its own:
-`prosegauge.functions.everyday`.
+All of these are fixed values that results depend on, each in its natural order. Everyday words have a module of their
+own: `prosegauge.functions.everyday`.
 """
 
 from __future__ import annotations
@@ -74,10 +74,11 @@ NUMBERING = (
 ).split()
 NAMED_BY_NUMERAL = "King Queen Pope Emperor Empress Tsar Prince Princess Duke Earl Bowl War Olympiad Cup Festival".split()
 NUMERAL_EXCEPTIONS = "MMIX MMX MMXI MIX DIM".split()
+#: Fixed value: canonical numerals alone.
 ROMAN = r"^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
 EXPANSION_STOP_WORDS = "a an and for in of on the to".split()
 
-#: Dimension -> the criterion of levels 1 to 4.
+#: Fixed values. Dimension -> the criterion of levels 1 to 4.
 MATURITY = {
     "governance": ("policy-documented", "owner-accountable", "resourced-mandated", "executive-review-cycle"),
     "capability": ("style-guide-available", "training-delivered", "competence-maintained", "roles-embedded"),
@@ -86,7 +87,7 @@ MATURITY = {
     "culture": ("leadership-aware", "leadership-champions", "feedback-loops", "improvement-cycles"),
 }
 
-#: Category -> pattern over a lower-case relative path; workflows count by their content too.
+#: Fixed values. Category -> pattern over a lower-case relative path; workflows count by their content too.
 EVIDENCE = {
     "policy": r"plain[-_ ]?language[-_ ]?policy|style[-_ ]?guide",
     "review-workflow": r"pull_request_template|review[-_ ]?(?:process|workflow|checklist)",

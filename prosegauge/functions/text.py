@@ -10,38 +10,65 @@ from pyspark.sql import functions as F
 from prosegauge.functions.lexicon import THRESHOLDS
 
 #: White space as the rules know it, wider than Java's \s.
-WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+ALL_WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: Blocks are made with `plainer`, after which only these are left. Java looks them up in one table.
+WS = r"\t\n\x0B\f\r "
+WS_CHARS = "\t\n\x0b\f\r "
+#: The same without line ends.
+WS_INLINE = r"\t\x0B\f\r "
+RARE_WS = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CLOSERS = "*_`\"'’”)\\]}"
 #: ASCII word boundaries on either side.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
-def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WS}]+"))
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def occurrences(c: Column, mark: str) -> Column:
+    """How often a single character stands in a text."""
+    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+
+
+def plainer(c: Column) -> Column:
+    """Blanks for white space beyond ASCII."""
+    return F.when(c.rlike(RARE_WS), F.regexp_replace(c, RARE_WS, " ")).otherwise(c)
+
+
+def words_in(c: Column) -> Column:
+    """The number of words: each becomes one mark."""
+    return occurrences(F.regexp_replace(c, f"[^{WS}]++", "\x06"), "\x06")
 
 
 def newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return occurrences(c, "\n")
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
-def total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0), lambda a, x: a + x)
+def phrase_pattern(phrases: Iterable[str]) -> str:
+    """One alternation of phrases as whole words, more words first; any white space may stand between words. Phrases
+    are grouped by their first letter, so that most places are ruled out by one look."""
+    by: dict[str, list[str]] = {}
+    for p in sorted(phrases, key=lambda p: -len(p.split(" "))):
+        by.setdefault(p[0], []).append(rf"[{WS}]+".join(p.split(" "))[1:])
+    return "(?i)" + BEFORE + "(" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")" + AFTER
 
 
-def phrase_pattern(phrases: Iterable[str]) -> str:
-    """One alternation of phrases as whole words, more words first; any white space may stand between words."""
-    ordered = sorted(phrases, key=lambda p: -len(p.split(" ")))
-    return "(?i)" + BEFORE + "(" + "|".join(rf"[{WS}]+".join(p.split(" ")) for p in ordered) + ")" + AFTER
+#: Spans in quotes or backticks, paired from the left.
+SPANS = "`[^`]*+`|[“”\"][^“”\"]*+[“”\"]|'[^']*+'|‘[^’]*+’"
 
 
 def without_named(c: Column, phrases: Iterable[str]) -> Column:
-    """Blanks the phrases that a pair of quotes or backticks holds alone: these name a term and do not use it."""
-    inner = f"[{WS}]*(?:" + "|".join(rf"[{WS}]+".join(p.split(" ")) for p in phrases) + f")[{WS}]*"
-    return F.regexp_replace(c, f"(?i)`{inner}`|[“”\"]{inner}[“”\"]|'{inner}'|‘{inner}’", " ")
+    """Drops the spans that hold one of the phrases alone: these name a term and do not use it. All other spans are
+    matched too and stay, so that quotes pair from the left."""
+    inner = f"[{WS_INLINE}]*+(?:{'|'.join(phrases)})[{WS_INLINE}]*+"
+    named = f"`{inner}`|[“”\"]{inner}[“”\"]|'{inner}'|‘{inner}’"
+    return F.when(c.rlike("[`“”\"'‘]"), F.regexp_replace(c, f"(?i){named}|({SPANS})", "$1")).otherwise(c)
 
 
 def barrier(df: DataFrame) -> DataFrame:

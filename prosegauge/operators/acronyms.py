@@ -1,86 +1,132 @@
 """Acronyms that a document uses before it says what they stand for.
 
-All looks back and ahead are windows over the words of a document: a few words for numerals and expansions, islands
-for runs of capitals. First uses and definitions meet in one aggregate by document and acronym.
+Looks back and ahead are windows over the words of a block: a few words for numerals, islands for runs of capitals, the
+nearest closing bracket and running counts of initials for expansions. Definitions are looked for line by line, in all
+lines that show. First uses and definitions meet in one aggregate by document and acronym.
+
+Only documents with capitals in a row are cut into words. Whether a word is an everyday word is asked for words in
+capitals and the words before them alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicon as lex
-from prosegauge.functions.everyday import EVERYDAY
+from prosegauge.functions.everyday import everyday
 from prosegauge.functions.text import WS
-from prosegauge.operators.structure import Parsed
+from prosegauge.operators.structure import parsed
 
+#: The shapes of an acronym, and of one that a bracket holds behind its meaning.
 SHAPE = r"^(?:[A-Z]{2,6}|[A-Z]\.(?:[A-Z]\.)+)$"
+DEFINED = r"\(([A-Z][A-Z.]{1,5})\)"
 #: Documents without this can't have an acronym and are not cut into words.
 CANDIDATE = r"[A-Z]{2}|[A-Z]\.[A-Z]\."
-#: Words looked at behind an opening bracket for an expansion, and before `(ABC)` for a definition.
-AHEAD, BACK = 16, 14
+#: Words with an initial that are read for an expansion: an acronym has at most as many letters.
+LONGEST = 64
+
+
+def initials(text: Column) -> Column:
+    """Upper-case first letters of a text's words, small words left out."""
+    words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: ~F.lower(x).isin(lex.EXPANSION_STOP_WORDS))
+    return F.upper(F.array_join(F.transform(words, lambda x: F.substring(x, 1, 1)), ""))
 
 
-def everyday_words(spark: SparkSession) -> DataFrame:
-    """(word): the fixed list of everyday words, for callers who bring none. Spark may broadcast it: its rows are fixed."""
-    words = spark.range(1).select(F.explode(F.split(F.lit(" ".join(EVERYDAY.split())), " ")).alias("word"))
-    return F.broadcast(words)
+def tokens(lines: DataFrame) -> DataFrame:
+    """(doc, block, line, at, pos, raw): the words of lines (doc, block, line, text), in order."""
+    words = lines.select("doc", "block", "line", F.posexplode(F.filter(F.split("text", f"[{WS}]+"), lambda w: w != "")).alias("at", "raw"))
+    return words.withColumn("pos", F.shiftleft(F.col("line").cast("bigint"), 32) + F.col("at"))
 
 
-def initials(words: Column) -> Column:
-    """Upper-case first letters of an array's words, small words left out."""
-    kept = F.filter(words, lambda x: (F.regexp_replace(x, "[^A-Za-z]", "") != "") & ~F.lower(F.regexp_replace(x, "[^A-Za-z]", "")).isin(lex.EXPANSION_STOP_WORDS))
-    return F.upper(F.array_join(F.transform(kept, lambda x: F.substring(F.regexp_replace(x, "[^A-Za-z]", ""), 1, 1)), ""))
+def with_common(words: DataFrame, common: list[str] | DataFrame | None) -> DataFrame:
+    """Adds whether `lower` is an everyday word, where `asked`. A list is looked up in place. A table is cut down to the
+    words that are asked for first, and words that are not asked for are spread over keys of their own."""
+    if not isinstance(common, DataFrame):
+        return words.withColumn("common", F.col("asked") & F.col("lower").isin(list(everyday() if common is None else common)))
+    spread = F.concat(F.lit("\x01"), F.pmod(F.xxhash64("doc", "pos"), F.lit(4096)).cast("string"))
+    words = words.withColumn("look", F.when(F.col("asked"), F.col("lower")).otherwise(spread))
+    asked = words.where("asked").select(F.col("lower").alias("look")).distinct()
+    known = asked.join(common.select(F.col("word").alias("look")).distinct(), "look", "left_semi").withColumn("common", F.lit(True))
+    return words.join(known, "look", "left").withColumn("common", F.coalesce("common", F.lit(False))).drop("look")
 
 
-def words_of(p: Parsed, common: DataFrame) -> DataFrame:
-    """(doc, line, at, pos, raw, bare, common): the words of all blocks in order."""
-    lines = p.blocks.select("doc", "line", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc", (F.col("line") + F.col("n")).alias("line"), "text")
-    words = lines.select("doc", "line", F.posexplode(F.filter(F.split("text", f"[{WS}]+"), lambda w: w != "")).alias("at", "raw"))
-    words = words.select("*", (F.col("line").cast("long") * 1_000_000 + F.col("at")).alias("pos"), F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"))
-    known = common.select(F.col("word").alias("lower")).distinct().withColumn("common", F.lit(True))
-    return words.withColumn("lower", F.lower("bare")).join(known, "lower", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+def definitions(lines: DataFrame) -> DataFrame:
+    """(doc, key, pos) of `Alpha Beta Charlie (ABC)` in lines (doc, block, line, text)."""
+    words = tokens(lines.where(F.col("text").rlike(DEFINED)))
+    words = words.select("doc", "line", "pos", F.replace(F.regexp_extract("raw", DEFINED, 1), F.lit("."), F.lit("")).alias("key"), initials(F.col("raw")).alias("ini"), initials(F.substring_index("raw", "(", 1)).alias("front"))
+    # Small words don't count, so those without an initial go before the last few words are read.
+    w = Window.partitionBy("doc", "line").orderBy("pos").rowsBetween(-12, -1)
+    words = words.where("ini <> '' or key <> ''").withColumn("before", F.concat(F.array_join(F.collect_list("ini").over(w), ""), "front"))
+    n = F.length("key")
+    return words.where((n > 0) & (F.substr("before", F.greatest(F.length("before") - n + 1, F.lit(1)), n) == F.col("key"))).select("doc", "key", "pos")
 
 
-def acronym_undefined(corpus: DataFrame, common: DataFrame, known: list[str] | None = None) -> DataFrame:
+def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None) -> DataFrame:
     """Violations of acronym-undefined; known are the project's own acronyms."""
-    words = words_of(Parsed(corpus.where(F.col("text").rlike(CANDIDATE))), common)
-    w = Window.partitionBy("doc").orderBy("pos")
+    rows = parsed(corpus.where(F.col("text").rlike(CANDIDATE)))
+    blocks = rows.select("doc", F.inline("blocks"))
+    lines = blocks.select("doc", F.col("line").alias("block"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc", "block", (F.col("block") + F.col("n")).alias("line"), F.replace("text", F.lit("\x04"), F.lit("")).alias("text"))
+    # A plain document has no rows for line rules: there the lines of its blocks are what shows.
+    shown = rows.select("doc", F.inline("rows")).select("doc", F.col("line").alias("block"), "line", "text")
+    plain = rows.where(F.size("rows") == 0).select("doc", F.inline("blocks")).select("doc", F.col("line").alias("block"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc", "block", (F.col("block") + F.col("n")).alias("line"), "text")
+    said = definitions(shown.union(plain))
     raw, bare = F.col("raw"), F.col("bare")
-    core = F.regexp_replace(F.regexp_replace(raw, r"^[\"'“‘(\[{<]+", ""), r"[\"'”’)\]}>,:;!?]+$", "")
+    core = F.regexp_replace(F.regexp_replace(raw, r"^[\"'“‘(\[{<]+", ""), r"(?<![\"'”’)\]}>,:;!?])[\"'”’)\]}>,:;!?]++$", "")
     core = F.when(core.rlike(SHAPE), core).otherwise(F.regexp_replace(core, r"\.$", ""))
-    caps = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "[^A-Za-z.]+$", "")
-    rows = words.select("*", F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
-    rows = rows.withColumn("key", F.replace("token", F.lit("."), F.lit("")))
+    caps = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "(?<![^A-Za-z.])[^A-Za-z.]++$", "")
+    words = tokens(lines).select("*", F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
+    w = Window.partitionBy("doc", "block").orderBy("pos")
+    words = words.withColumn("key", F.replace("token", F.lit("."), F.lit(""))).withColumn("lower", F.lower("bare"))
+    ahead_of_token = F.coalesce(F.lead("token").over(w).isNotNull(), F.lit(False))
+    rows = with_common(words.withColumn("asked", F.col("caps") | F.col("token").isNotNull() | ahead_of_token), common)
     # Runs of capitals: shouted words are mostly everyday words.
     rows = rows.withColumn("run", F.sum((~F.col("caps")).cast("int")).over(w))
-    run = Window.partitionBy("doc", "run", "caps")
+    run = Window.partitionBy("doc", "block", "run", "caps")
     n, usual = F.count("*").over(run), F.sum(F.col("common").cast("int")).over(run)
-    shouted = F.col("caps") & (n >= 2) & F.when(n == 2, usual == 2).otherwise(2 * usual >= n)
-    rows = rows.withColumn("shouted", shouted)
+    rows = rows.withColumn("shouted", F.col("caps") & (n >= 2) & F.when(n == 2, usual == 2).otherwise(2 * usual >= n))
     # Numerals: numbering words or titles up to three words back, a name just before, or a clear numeral beside.
     back = [F.coalesce(F.lag(bare, k).over(w), F.lit("")) for k in range(1, 6)]
     after = F.coalesce(F.lead(bare, 1).over(w), F.lit(""))
     clear = lambda c: (F.length(c) >= 4) & c.rlike(lex.ROMAN) & ~c.isin(lex.NUMERAL_EXCEPTIONS)
     numbering = lambda c: F.lower(c).isin(lex.NUMBERING)
     name = back[0].rlike("^[A-Z][a-z]{4,}$") & ~F.coalesce(F.lag("common", 1).over(w), F.lit(False)) & ~numbering(back[0])
-    joined = F.lower(back[0]).isin("and", "or", "to", "through") & ((back[1].rlike(lex.ROMAN) & (back[1] != "") & numbering(back[2])) | (back[2].rlike(lex.ROMAN) & (back[2] != "") & numbering(back[3])) | clear(back[1]) | clear(back[2]) | clear(back[3]))
+    listed = lambda k: back[k].rlike(lex.ROMAN) & (back[k] != "") & numbering(back[k + 1])
+    joined = F.lower(back[0]).isin("and", "or", "to", "through") & (listed(1) | listed(2) | listed(3) | clear(back[1]) | clear(back[2]) | clear(back[3]))
     evidence = numbering(back[0]) | numbering(back[1]) | numbering(back[2]) | back[0].isin(lex.NAMED_BY_NUMERAL) | back[1].isin(lex.NAMED_BY_NUMERAL) | back[2].isin(lex.NAMED_BY_NUMERAL) | name | clear(back[0]) | clear(after) | joined
-    rows = rows.withColumn("numeral", F.col("key").rlike(lex.ROMAN) & evidence)
-    # `ABC (Alpha Beta Charlie)` and `Alpha Beta Charlie (ABC)`.
-    ahead = F.array_join(F.collect_list("raw").over(w.rowsBetween(1, AHEAD)), " ")
-    inside = F.regexp_extract(ahead, r"^(?:[^ (]+ ){0,2}\(([^)]*)\)", 1)
-    expanded = (inside != "") & (initials(F.split(inside, " ")) == F.col("key"))
-    behind = initials(F.collect_list("raw").over(w.rowsBetween(-BACK, -1)))
-    defined = raw.rlike(r"^\((?:[A-Z]{2,6}|[A-Z]\.(?:[A-Z]\.)+)\)") & (F.substring(behind, -1 * F.length("key"), F.length("key")) == F.col("key"))
-    rows = rows.select("doc", "line", "pos", "token", "key", "shouted", "numeral", "common", expanded.alias("expanded"), F.coalesce(defined, F.lit(False)).alias("defined")).where("token is not null")
-    allowed = [*lex.KNOWN_ACRONYMS, *(known or [])]
-    eligible = ~F.col("key").isin(allowed) & ~F.col("shouted") & ~F.col("numeral") & ~F.col("common") & ~F.col("expanded") & ~F.col("defined")
-    said = F.col("expanded") | F.col("defined")
-    first = rows.groupBy("doc", "key").agg(
-        F.min(F.when(eligible, F.struct("pos", "line", "token"))).alias("use"),
-        F.min(F.when(said, F.col("pos"))).alias("said"),
-    )
+    rows = rows.withColumn("numeral", F.col("key").rlike(lex.ROMAN) & (clear(F.col("key")) | evidence))
+    rows = expansions(rows, w)
+    rows = rows.select("doc", "line", "pos", "token", "key", "shouted", "numeral", "common", "expanded").where("token is not null")
+    rows = rows.where(~F.col("key").isin([*lex.KNOWN_ACRONYMS, *(known or [])]) & ~F.col("numeral"))
+    eligible = ~F.col("shouted") & ~F.col("common") & ~F.col("expanded")
+    uses = rows.select("doc", "key", F.when(eligible, F.struct("pos", "line", "token")).alias("use"), F.when(F.col("expanded"), F.col("pos")).alias("said"))
+    none = F.lit(None).cast(uses.schema["use"].dataType)
+    both = uses.union(said.select("doc", "key", none.alias("use"), F.col("pos").alias("said")))
+    first = both.groupBy("doc", "key").agg(F.min("use").alias("use"), F.min("said").alias("said"))
     rows = first.where(F.col("use").isNotNull() & (F.col("said").isNull() | (F.col("said") > F.col("use.pos"))))
     detail = F.concat(F.lit('define acronym "'), F.col("use.token"), F.lit('" on first use'))
     return rows.select("doc", F.lit("acronym-undefined").alias("rule"), F.col("use.line").cast("int").alias("line"), detail.alias("detail"), F.lit(lex.RULES.index("acronym-undefined")).alias("phase"), F.col("use.pos").alias("ord"))
+
+
+def expansions(rows: DataFrame, w: Window) -> DataFrame:
+    """Adds whether a bracket that opens one of the next three words spells the acronym up to its first closing one.
+    The running number of initials tells whether it can, so only brackets of the right size are read."""
+    raw = F.col("raw")
+    rows = rows.withColumn("ini", initials(raw)).withColumn("upto", F.sum(F.length("ini")).over(w))
+    # From the end of the block: the nearest word with a closing bracket, from here on.
+    back = Window.partitionBy("doc", "block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    closing = F.when(raw.contains(")"), F.struct("pos", (F.col("upto") - F.length("ini")).alias("before"), initials(F.substring_index("raw", ")", 1)).alias("last")))
+    rows = rows.withColumn("close", F.last(closing, ignorenulls=True).over(back))
+    opening = F.when(raw.startswith("(") & F.col("close").isNotNull(), F.struct("pos", "upto", initials(F.substr(raw, F.lit(2))).alias("first"), initials(F.substring_index(F.substr(raw, F.lit(2)), ")", 1)).alias("whole"), "close"))
+    opens = F.when(raw.startswith("("), F.struct(F.lit(True).alias("seen"), opening.alias("o")))
+    rows = rows.withColumn("open", F.coalesce(*(F.lead(opens, k).over(w) for k in (1, 2, 3))).getField("o"))
+    o = F.col("open")
+    within = o.getField("close").getField("pos") == o.getField("pos")
+    size = F.length(o.getField("first")) + (o.getField("close").getField("before") - o.getField("upto")) + F.length(o.getField("close").getField("last"))
+    fits = F.col("token").isNotNull() & o.isNotNull() & ~within & (size == F.length("key"))
+    # The initials from here on; words without one are no part of the frame's text.
+    ahead = F.collect_list(F.when(F.col("ini") != "", F.struct("pos", "ini"))).over(w.rowsBetween(1, LONGEST))
+    between = F.filter(ahead, lambda x: (x.getField("pos") > o.getField("pos")) & (x.getField("pos") < o.getField("close").getField("pos")))
+    spelt = F.concat(o.getField("first"), F.array_join(F.transform(between, lambda x: x.getField("ini")), ""), o.getField("close").getField("last"))
+    one_word = F.col("token").isNotNull() & o.isNotNull() & within & (o.getField("whole") == F.col("key"))
+    return rows.withColumn("expanded", F.coalesce(one_word | (fits & (spelt == F.col("key"))), F.lit(False)))

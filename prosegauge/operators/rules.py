@@ -1,242 +1,350 @@
-"""The mechanical rules: each takes parsed relations and gives (doc, rule, line, detail, phase, ord).
+"""The mechanical rules. Each is a column over a parsed document (`prosegauge.operators.structure.parsed`): an array of
+struct<line, detail, ord> with the rule's findings in that document, ord being their order within the rule.
 
-phase is the rule's place in the report of a document and ord the place within the rule; `sorted_violations` in
-`prosegauge.plans.audit` puts them in order.
+All rules but the acronym rule are worked out side by side in one projection, so an audit scans a corpus once and
+moves nothing until findings come out. Texts are tested for a rule's first condition before anything is cut up, and
+arrays that several findings need are made once (`let`), so that work stays linear in the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicon as lex
-from prosegauge.functions.text import AFTER, BEFORE, WS, newlines, phrase_pattern, squash, to_fixed_1, trim_ws, without_named, word_count
-from prosegauge.operators.sentences import sentences
-from prosegauge.operators.structure import Parsed, reference
+from prosegauge.functions.text import AFTER, BEFORE, WS, let, newlines, occurrences, phrase_pattern, squash, to_fixed_1, trim_ws, without_named, words_in
+from prosegauge.operators.sentences import marked, n_fewest, n_most, sentence_lines, sentence_words
 
 LIMITS = lex.THRESHOLDS
+FINDING = "array<struct<line:int,detail:string,ord:bigint>>"
+
+
+def finding(line: Column, detail: Column, ord_: Column | None = None) -> Column:
+    return F.struct(line.cast("int").alias("line"), detail.alias("detail"), (line if ord_ is None else ord_).cast("bigint").alias("ord"))
+
+
+def place(line: Column, at: Column) -> Column:
+    """An order by line, then by place within it."""
+    return F.shiftleft(line.cast("bigint"), 32) + at.cast("bigint")
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def violation(rule: str, line: Column, detail: Column, ord_: Column | None = None) -> list[Column]:
-    ord_ = line if ord_ is None else ord_
-    return ["doc", F.lit(rule).alias("rule"), line.cast("int").alias("line"), detail.alias("detail"), F.lit(lex.RULES.index(rule)).alias("phase"), ord_.cast("long").alias("ord")]
+def each(array: Column | str, one: Callable[[Column], Column]) -> Column:
+    """The findings of all elements, one after the other."""
+    return F.flatten(F.transform(array, one))
 
 
-def sentence_length(p: Parsed) -> DataFrame:
+def optional(condition: Column, found: Column) -> Column:
+    return F.when(condition, found).otherwise(F.array().cast(FINDING))
+
+
+# Sentences. `marks` has, for each block, struct<line, m>: the text with the verdicts written in.
+
+
+def sentence_length() -> Column:
     limit = LIMITS["sentenceWordLimit"]
-    rows = sentences(p.blocks, "line")
-    long = F.filter("most", lambda x: x.getField("words") > limit)
-    each = rows.select("doc", "line", "ends", F.explode(long).alias("s"))
-    line = F.col("line") + F.aggregate(F.slice("ends", 1, F.col("s.at")), F.lit(0), lambda a, x: a + x)
-    return each.select(*violation("sentence-length", line, F.concat(F.col("s.words").cast("string"), F.lit(f" words (limit {limit})")), F.col("line") * 1000000 + F.col("s.at")))
+
+    def of_block(b: Column) -> Column:
+        m, line = b.getField("m"), b.getField("line")
+        counted = F.transform(sentence_words(m), lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+        long = F.filter(counted, lambda x: x.getField("n") > limit)
+        spell = lambda x, at: finding(line + at, _text(x.getField("n"), f" words (limit {limit})"), place(line, x.getField("i")))
+        return let(long, lambda found: optional(F.size(found) > 0, let(sentence_lines(m), lambda lines: F.transform(found, lambda x: spell(x, F.get(lines, x.getField("i")))))))
+
+    return each("marks", of_block)
 
 
-def paragraph_length(p: Parsed) -> DataFrame:
+def paragraph_length() -> Column:
     limit = LIMITS["paragraphSentenceLimit"]
-    rows = sentences(p.blocks, "line").select("doc", "line", F.size("fewest").alias("n")).where(F.col("n") > limit)
-    return rows.select(*violation("paragraph-length", F.col("line"), F.concat(F.col("n").cast("string"), F.lit(f" sentences (limit {limit})"))))
+    long = F.filter(F.transform("marks", lambda b: F.struct(b.getField("line").alias("line"), n_fewest(b.getField("m")).alias("n"))), lambda x: x.getField("n") > limit)
+    return F.transform(long, lambda x: finding(x.getField("line"), _text(x.getField("n"), f" sentences (limit {limit})")))
 
 
-def sentence_average(p: Parsed) -> DataFrame:
-    """Both readings must be above the limit; the one with most sentences is reported. Only counts are shuffled."""
-    words = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x.getField("words"))
-    rows = sentences(p.blocks).select("doc", F.size("most").alias("n"), words("most").alias("w"), F.size("fewest").alias("m"), words("fewest").alias("v"))
-    docs = rows.groupBy("doc").agg(*(F.sum(c).alias(c) for c in "nwmv"))
+def sentence_average() -> Column:
+    """Both readings must be above the limit; the one with most sentences is reported. They have the same words."""
     least, limit = LIMITS["averageMinimumSentences"], LIMITS["sentenceAverageLimit"]
-    docs = docs.where((F.col("n") >= least) & (F.col("m") >= least) & (F.col("w") > limit * F.col("n")) & (F.col("v") > limit * F.col("m")))
-    detail = F.concat(F.lit("average "), to_fixed_1(F.col("w"), F.col("n")), F.lit(" words across "), F.col("n").cast("string"), F.lit(f" sentences (limit {limit})"))
-    return docs.select(*violation("sentence-average", F.lit(1), detail))
 
+    def total(count: Callable[[Column], Column]) -> Column:
+        return F.aggregate("marks", F.lit(0).cast("bigint"), lambda a, b: a + count(b.getField("m")))
 
-def block_lines(p: Parsed) -> DataFrame:
-    return p.blocks.select("doc", "line", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("doc", (F.col("line") + F.col("at")).alias("line"), "text")
+    def judge(c: Column) -> Column:
+        n, m = c.getField("most"), c.getField("fewest")
+        detail = lambda w: _text("average ", to_fixed_1(w, n), " words across ", n, f" sentences (limit {limit})")
+        return optional((n >= least) & (m >= least), let(total(words_in), lambda w: optional((w > limit * n) & (w > limit * m), F.array(finding(F.lit(1), detail(w))))))
 
+    return let(F.struct(total(n_most).alias("most"), total(n_fewest).alias("fewest")), judge)
 
-def _each_phrase(rows: DataFrame, phrases: list[str]) -> DataFrame:
-    """(doc, line, i, phrase): matches in rows (doc, line, text). Rows without a match, nearly all, end at the filter."""
-    hit = rows.where(F.col("text").rlike(phrase_pattern(phrases)))
-    cut = hit.select("doc", "line", F.split(F.regexp_replace(without_named(F.col("text"), phrases), phrase_pattern(phrases), "\x01$1\x02"), "\x01").alias("pieces"))
-    each = cut.select("doc", "line", "pieces", F.posexplode("pieces").alias("i", "piece")).where("i > 0")
-    before = newlines(F.array_join(F.slice("pieces", 1, F.col("i")), "")).cast("int")
-    return each.select("doc", (F.col("line") + before).alias("line"), "i", F.substring_index("piece", "\x02", 1).alias("phrase"))
+
+# Phrases. `hot` has the blocks in which any phrase of these rules stands: few, in most corpora none.
+
+PHRASE_RULES = (*lex.LEGALESE, *lex.COMPLEX_WORDS, *lex.DOUBLE_NEGATIVES, *lex.WORDY, *lex.DOUBLETS)
+
+
+def _places(text: Column, pattern: str, build: Callable[[Column, Column, Column], Column]) -> Column:
+    """build(phrase, line ends before it, number) for each match, in order. A mark before each match gives the line."""
+
+    def cut(m: Column) -> Column:
+        begun = F.flatten(F.transform(F.split(m, "\n"), lambda l, k: F.array_repeat(k, occurrences(l, "\x01"))))  # noqa: E741
+        pieces = F.split(m, "\x01")
+        phrases = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.substring_index(p, "\x02", 1))
+        numbered = F.zip_with(begun, phrases, lambda k, p: F.struct(k.alias("k"), p.alias("p")))
+        return F.transform(numbered, lambda x, i: build(x.getField("p"), x.getField("k"), i))
+
+    return let(F.regexp_replace(text, pattern, "\x01$1\x02"), cut)
+
+
+def _phrases(phrases: list[str], build: Callable[[Column, Column, Column], Column], by_line: bool = False) -> Column:
+    """Findings of phrases in the hot blocks. A phrase that quotes hold alone is named and not used; named spans are
+    looked for in a line or in a whole block, as the rule reads it."""
+    pattern = phrase_pattern(phrases)
+
+    def of_block(b: Column) -> Column:
+        text = b.getField("text")
+        used = F.array_join(F.transform(F.split(text, "\n"), lambda l: without_named(l, phrases)), "\n") if by_line else without_named(text, phrases)  # noqa: E741
+        return optional(text.rlike(pattern), _places(used, pattern, lambda p, k, i: build(p, b.getField("line") + k, i)))
+
+    return each("hot", of_block)
 
 
 def _lookup(table: dict[str, str], c: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c)
 
 
-def legalese(p: Parsed) -> DataFrame:
-    found = _each_phrase(block_lines(p), list(lex.LEGALESE))
-    term = squash(F.col("phrase"))
-    place = F.array_position(F.array(*(F.lit(t) for t in lex.LEGALESE)), term)
-    return found.select(*violation("legalese", F.col("line"), F.concat(F.lit('banned term "'), term, F.lit('"')), F.col("line") * 1000 + place))
+def _number(values: list[str], c: Column) -> Column:
+    return F.array_position(F.array(*(F.lit(v) for v in values)), c)
+
+
+def legalese() -> Column:
+    terms = list(lex.LEGALESE)
+    # By line, then by term.
+    return _phrases(terms, lambda p, line, i: finding(line, _text('banned term "', squash(p), '"'), place(line, _number(terms, squash(p)) * 16777216 + i)), by_line=True)
 
 
-def complex_word(p: Parsed) -> DataFrame:
-    found = _each_phrase(block_lines(p), list(lex.COMPLEX_WORDS))
-    plain = _lookup(lex.COMPLEX_WORDS, F.lower("phrase"))
-    return found.select(*violation("complex-word", F.col("line"), F.concat(F.lit('"'), "phrase", F.lit('" where "'), plain, F.lit('" would do')), F.col("line") * 1000 + F.col("i")))
+def complex_word() -> Column:
+    return _phrases(list(lex.COMPLEX_WORDS), lambda p, line, i: finding(line, _text('"', p, '" where "', _lookup(lex.COMPLEX_WORDS, F.lower(p)), '" would do'), place(line, i)), by_line=True)
 
 
-def double_negative(p: Parsed) -> DataFrame:
-    found = _each_phrase(p.blocks, list(lex.DOUBLE_NEGATIVES))
-    return found.select(*violation("double-negative", F.col("line"), F.concat(F.lit('"'), "phrase", F.lit('" makes the reader unpick two negatives')), F.col("line") * 1000 + F.col("i")))
+def _phrase_order(b_line: Column, values: list[str], phrase: Column, i: Column) -> Column:
+    """By block, then by phrase in the order of the list, then by place. Lines grow from block to block, and within a
+    block the phrase's number decides before the place."""
+    return F.shiftleft(b_line.cast("bigint"), 32) + _number(values, phrase) * 16777216 + i
 
 
-def wordy_phrase(p: Parsed) -> DataFrame:
+def _in_phrase_order(phrases: list[str], detail: Callable[[Column], Column]) -> Column:
+    pattern = phrase_pattern(phrases)
+
+    def of_block(b: Column) -> Column:
+        text, line = b.getField("text"), b.getField("line")
+        build = lambda p, k, i: finding(line + k, detail(p), _phrase_order(line, phrases, squash(p), i))
+        return optional(text.rlike(pattern), _places(without_named(text, phrases), pattern, build))
+
+    return each("hot", of_block)
+
+
+def double_negative() -> Column:
+    return _in_phrase_order(list(lex.DOUBLE_NEGATIVES), lambda p: _text('"', p, '" makes the reader unpick two negatives'))
+
+
+def wordy_phrase() -> Column:
     """The shipped phrases can't overlap (none begins with the end of another), so one alternation finds them all."""
-    found = _each_phrase(p.blocks, list(lex.WORDY))
-    phrase = squash(F.col("phrase"))
-    return found.select(*violation("wordy-phrase", F.col("line"), F.concat(F.lit('"'), phrase, F.lit('" says what "'), _lookup(lex.WORDY, phrase), F.lit('" says')), F.col("line") * 1000 + F.col("i")))
+    ordered = sorted(lex.WORDY, key=lambda p: -len(p.split(" ")))
+    return _in_phrase_order(ordered, lambda p: _text('"', squash(p), '" says what "', _lookup(lex.WORDY, squash(p)), '" says'))
 
 
-def doublet(p: Parsed) -> DataFrame:
-    """A phrase in title case right after words like `called` or `the report` is a name and stays."""
-    named = rf"(?i:{BEFORE}(?:called|named|titled|(?:a|an|the)[{WS}]+(?:{'|'.join(lex.NAMED_WORK)})))[{WS}]+"
+def doublet() -> Column:
+    """A phrase in title case right behind words like `called` or `the report` is a name and stays."""
+    named = rf"(?i:{BEFORE}(?:called|named|titled|(?:a|an|the)[{WS}]+(?:{'|'.join(lex.NAMED_WORK)})))[{WS}]*+"
     title = "|".join(f"[{WS}]+".join(w if w in ("and", "or", "of", "the", "to") else w.capitalize() for w in phrase.split(" ")) for phrase in lex.DOUBLETS)
-    rows = p.blocks.where(F.col("text").rlike(phrase_pattern(lex.DOUBLETS)))
-    rows = rows.select("doc", "line", F.regexp_replace("text", rf"({named})(?:{title}){AFTER}", "$1-").alias("text"))
-    found = _each_phrase(rows, list(lex.DOUBLETS))
-    phrase = squash(F.col("phrase"))
-    lean = {k: v for k, v in lex.DOUBLETS.items() if v}
-    detail = F.when(phrase.isin([k for k, v in lex.DOUBLETS.items() if v is None]), F.concat(F.lit('legal-register phrase "'), phrase, F.lit('"; review for audience fit')))
-    detail = detail.otherwise(F.concat(F.lit('redundant phrase "'), phrase, F.lit('"; consider "'), F.try_element_at(F.create_map(*(F.lit(x) for kv in lean.items() for x in kv)), phrase), F.lit('"')))
-    return found.select(*violation("doublet", F.col("line"), detail, F.col("line") * 1000 + F.col("i")))
-
-
-def prose_enumeration(p: Parsed) -> DataFrame:
-    text = F.replace("text", F.lit("\n"), F.lit(" "))
-    words = F.regexp_extract_all(text, F.lit(rf"(?i){BEFORE}(first|second|third|fourth|fifth|sixth)(?:ly)?{AFTER}(?!-)"), F.lit(1))
-    marks = F.regexp_extract_all(text, F.lit(rf"(?<![^{WS}])(\([1-6]\)|[1-6][.)])(?![^{WS}])"), F.lit(1))
+    pattern = phrase_pattern(lex.DOUBLETS)
+    legal = [k for k, v in lex.DOUBLETS.items() if v is None]
+
+    def detail(p: Column) -> Column:
+        lean = _lookup({k: v for k, v in lex.DOUBLETS.items() if v}, p)
+        return F.when(p.isin(legal), _text('legal-register phrase "', p, '"; review for audience fit')).otherwise(_text('redundant phrase "', p, '"; consider "', lean, '"'))
+
+    def of_block(b: Column) -> Column:
+        # A mark in a name keeps the alternation from seeing it; line ends stay.
+        text = F.regexp_replace(b.getField("text"), rf"({named})(?={BEFORE}(?:{title}){AFTER})", "$1\x03x")
+        return optional(b.getField("text").rlike(pattern), _places(without_named(text, lex.DOUBLETS), pattern, lambda p, k, i: finding(b.getField("line") + k, detail(squash(p)), place(b.getField("line"), i))))
+
+    return each("hot", of_block)
+
+
+def prose_enumeration() -> Column:
     ordinals = F.create_map(*(F.lit(x) for kv in lex.ORDINALS.items() for x in kv))
-    ranks = F.array_sort(F.array_distinct(F.concat(F.transform(words, lambda w: F.element_at(ordinals, F.lower(w))), F.transform(marks, lambda m: F.regexp_extract(m, "[1-6]", 0).cast("int")))))
-    rows = p.blocks.select("doc", "line", ranks.alias("ranks")).where(F.array_contains("ranks", 1) & (F.size("ranks") >= LIMITS["enumerationMinimumRanks"]))
-    return rows.select(*violation("prose-enumeration", F.col("line"), F.concat(F.lit("enumeration ranks "), F.array_join("ranks", ", "), F.lit(" in prose; consider a list"))))
+
+    def ranks(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(rf"(?i){BEFORE}(first|second|third|fourth|fifth|sixth)(?:ly)?{AFTER}(?!-)"), F.lit(1))
+        marks = F.regexp_extract_all(text, F.lit(rf"(?<![^{WS}])(\([1-6]\)|[1-6][.)])(?![^{WS}])"), F.lit(1))
+        return F.array_sort(F.array_distinct(F.concat(F.transform(words, lambda w: F.element_at(ordinals, F.lower(w))), F.transform(marks, lambda m: F.regexp_extract(m, "[1-6]", 0).cast("int")))))
+
+    # Without a first item there is no enumeration.
+    maybe = F.filter("blocks", lambda b: b.getField("text").rlike(r"(?i)first|(?<!\S)\(?1[.)]"))
+    found = F.transform(maybe, lambda b: F.struct(b.getField("line").alias("line"), ranks(F.replace(b.getField("text"), F.lit("\n"), F.lit(" "))).alias("r")))
+    long = F.filter(found, lambda x: F.array_contains(x.getField("r"), 1) & (F.size(x.getField("r")) >= LIMITS["enumerationMinimumRanks"]))
+    return F.transform(long, lambda x: finding(x.getField("line"), _text("enumeration ranks ", F.array_join(x.getField("r"), ", "), " in prose; consider a list")))
 
 
-def filler_opening(p: Parsed) -> DataFrame:
-    """The first block of each document; only its opening words are shuffled."""
-    first = p.blocks.groupBy("doc").agg(F.min(F.struct("line", F.substring(F.split("text", "\n").getItem(0), 1, 200).alias("open"))).alias("b")).select("doc", "b.line", "b.open")
-    text = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("open", "[*_`]", ""), "[‘’]", "'"), f"^[{WS}]+", ""))
+def filler_opening() -> Column:
+    """The first line of the first block."""
     stop = r"[.,;:!?)\]" + WS + "]"
-    pick = F.lit(None).cast("string")
-    for filler in reversed(lex.FILLERS):
-        pick = F.when(text.rlike(rf"^{filler}(?=$|{stop})") & ~text.rlike(rf"^{filler}[.,;:!?{WS}]*not{AFTER}"), F.lit(filler)).otherwise(pick)
-    rows = first.select("doc", "line", pick.alias("filler")).where("filler is not null")
-    return rows.select(*violation("filler-opening", F.col("line"), F.concat(F.lit('opens with "'), "filler", F.lit('" instead of the answer'))))
 
+    def judge(b: Column) -> Column:
+        opening = F.substring_index(b.getField("text"), "\n", 1)
+        clean = F.lower(trim_ws(F.regexp_replace(F.regexp_replace(opening, "[*_`\x04]", ""), "[‘’]", "'")))
 
-def heading_depth(p: Parsed) -> DataFrame:
+        def pick(text: Column) -> Column:
+            chosen = F.lit(None).cast("string")
+            for filler in reversed(lex.FILLERS):
+                chosen = F.when(text.rlike(rf"^{filler}(?=$|{stop})") & ~text.rlike(rf"^{filler}[.,;:!?{WS}]*+not{AFTER}"), F.lit(filler)).otherwise(chosen)
+            return let(chosen, lambda f: optional(f.isNotNull(), F.array(finding(b.getField("line"), _text('opens with "', f, '" instead of the answer')))))
+
+        first = "|".join(sorted({f[:3] for f in lex.FILLERS}))
+        return let(clean, lambda text: optional(text.rlike(f"^(?:{first})"), pick(text)))
+
+    return optional(F.size("blocks") > 0, judge(F.get("blocks", F.lit(0))))
+
+
+def heading_depth() -> Column:
     limit = LIMITS["maximumHeadingLevel"]
-    rows = p.headings.where(F.col("level") > limit)
-    return rows.select(*violation("heading-depth", F.col("line"), F.concat(F.lit("heading level "), F.col("level").cast("string"), F.lit(f" (limit {limit})"))))
+    deep = F.filter("headings", lambda h: h.getField("level") > limit)
+    return F.transform(deep, lambda h: finding(h.getField("line"), _text("heading level ", h.getField("level"), f" (limit {limit})")))
 
 
-def heading_skip(p: Parsed) -> DataFrame:
-    before = F.lag("level").over(Window.partitionBy("doc").orderBy("line"))
-    rows = p.headings.select("doc", "line", "level", before.alias("before")).where(F.col("level") > F.col("before") + 1)
-    return rows.select(*violation("heading-skip", F.col("line"), F.concat(F.lit("heading jumps from level "), F.col("before").cast("string"), F.lit(" to level "), F.col("level").cast("string"))))
+def heading_skip() -> Column:
+    level = lambda i: F.get("headings", i).getField("level")
+    pairs = F.transform("headings", lambda h, i: F.struct(h.getField("line").alias("line"), h.getField("level").alias("level"), level(i - 1).alias("before")))
+    jumps = F.filter(pairs, lambda x: x.getField("level") > x.getField("before") + 1)
+    return F.transform(jumps, lambda x: finding(x.getField("line"), _text("heading jumps from level ", x.getField("before"), " to level ", x.getField("level"))))
 
 
-def heading_style(p: Parsed) -> DataFrame:
+def heading_style() -> Column:
     limit = LIMITS["headingWordLimit"]
-    text = F.regexp_replace("text", rf"^(?:\d+\.)+[{WS}]+", "")
-    rows = sentences(p.headings.select("doc", "line", text.alias("text")), "line", "text")
-    form = F.regexp_replace("text", r"(?<!\\)[*_~]+$", "")
-    n, s = word_count(F.col("text")), F.size("fewest")
-    detail = (
-        F.when(n > limit, F.concat(n.cast("string"), F.lit(f" words (limit {limit})")))
-        .when(s >= 2, F.concat(s.cast("string"), F.lit(" sentences in heading")))
-        .when(form.endswith(".") & ~form.endswith("..."), F.lit("heading ends with a full stop"))
-    )
-    return rows.select("doc", "line", detail.alias("detail")).where("detail is not null").select(*violation("heading-style", F.col("line"), F.col("detail")))
-
-
-def table_header(p: Parsed) -> DataFrame:
-    w = Window.partitionBy("doc").orderBy("line")
-    row, divider = trim_ws(F.col("body")), trim_ws(F.lead("body").over(w))
-    rows = p.lines.select("doc", "line", "kind", row.alias("row"), divider.alias("divider"))
-    rows = rows.where((F.col("kind") != "hidden") & F.col("row").contains("|") & F.col("divider").rlike(rf"^\|?[{WS}:|-]+\|?$") & F.col("divider").contains("-"))
-    inner = F.when(F.col("row").startswith("|"), F.regexp_replace("row", r"^\||\|$", "")).otherwise(F.col("row"))
-    empty = F.exists(F.split(inner, r"\|"), lambda c: trim_ws(F.regexp_replace(c, "[*_~`]", "")) == "")
-    return rows.where(empty).select(*violation("table-header", F.col("line"), F.lit("table header has an empty column name")))
-
-
-#: One link or image: mark, label, inline target or reference.
-LINK = r"(!?)\[((?:!\[[^\[\]]*\]\([^()]*\)|[^\[\]])*)\](?:\(([^()]*)\)|\[([^\[\]]*)\])?"
-
-
-def links(p: Parsed) -> DataFrame:
-    """(doc, line, image, kind, label, target) of the links and images on lines that are not hidden, references that
-    no definition names left out."""
-    seen = p.lines.where("kind not in ('hidden', 'definition')").where(F.col("raw").contains("["))
-    text = F.regexp_replace("body", r"(`+)[^`]*\1", "")
-    found = seen.select("doc", "line", F.posexplode(F.regexp_extract_all(text, F.lit(LINK), F.lit(0))).alias("at", "whole"))
-    part = lambda k: F.regexp_extract("whole", f"^{LINK}$", k)
-    kind = F.when(F.col("whole").rlike(r"\]\([^()]*\)$"), "inline").when(F.col("whole").rlike(r"\]\[[^\[\]]*\]$"), "reference").otherwise("shortcut")
-    rows = found.select("doc", "line", "at", (part(1) == "!").alias("image"), kind.alias("kind"), part(2).alias("label"), part(3).alias("inline"), part(4).alias("ref"))
-    named = F.when(F.col("kind") == "shortcut", F.col("label")).when(trim_ws(F.col("ref")) == "", F.col("label")).otherwise(trim_ws(F.col("ref")))
-    rows = rows.withColumn("target", F.when(F.col("kind") == "inline", F.col("inline")).otherwise(named))
-    direct = rows.where((F.col("kind") == "inline") & (trim_ws(F.col("target")) != ""))
-    defined = rows.where("kind <> 'inline'").withColumn("key", reference(F.col("target"))).join(p.references.withColumnRenamed("label", "key"), ["doc", "key"], "left_semi").drop("key")
-    return direct.unionByName(defined).select("doc", "line", "at", "image", "kind", "label", "target")
-
-
-HTML_ATTRIBUTES = r"((?:\"[^\"]*\"|'[^']*'|[^'\">])*)"
-
-
-def markup(p: Parsed) -> DataFrame:
-    """(doc, text) of the documents that hold tags, hidden lines blank, all lines in place."""
-    rows = p.lines.select("doc", F.struct("line", F.when(F.col("kind") == "hidden", "").otherwise(F.col("raw")).alias("raw")).alias("x"))
-    whole = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.getField("raw")), "\n").alias("text"))
-    return whole.where(F.col("text").contains("<"))
-
-
-def html_elements(rows: DataFrame, pattern: str) -> DataFrame:
-    """(doc, line, at, whole): matches of a pattern of one tag or element, with the line each begins on."""
-    marked = F.split(F.regexp_replace("text", f"(?i){pattern}", "\x01$0\x02"), "\x01")
-    cut = rows.select("doc", marked.alias("pieces"))
-    each = cut.select("doc", "pieces", F.posexplode("pieces").alias("at", "piece")).where("at > 0")
-    before = F.array_join(F.slice("pieces", 1, F.col("at")), "")
-    return each.select("doc", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), "at", F.substring_index("piece", "\x02", 1).alias("whole"))
+
+    def judge(h: Column) -> Column:
+        text = F.regexp_replace(h.getField("text"), rf"^(?:\d++\.)++[{WS}]++", "")
+        # An escape reads as the character behind it.
+        read = F.regexp_replace(text, r"\\([!-/:-@\[-`{-~])", "$1")
+        form = F.regexp_replace(text, r"(?<![\\*_~])[*_~]++$", "")
+        n, s = words_in(text), F.when(trim_ws(text) == "", 0).otherwise(n_fewest(marked(read)))
+        detail = (
+            F.when(n > limit, _text(n, f" words (limit {limit})"))
+            .when(s >= 2, _text(s, " sentences in heading"))
+            .when(form.endswith(".") & ~form.endswith("..."), F.lit("heading ends with a full stop"))
+        )
+        return let(detail, lambda d: optional(d.isNotNull(), F.array(finding(h.getField("line"), d))))
+
+    return each("headings", judge)
+
+
+def table_header() -> Column:
+    def judge(r: Column, i: Column) -> Column:
+        row, below = trim_ws(r.getField("text")), F.get("rows", i + 1)
+        divider = trim_ws(below.getField("text"))
+        follows = r.getField("text").contains("|") & (below.getField("line") == r.getField("line") + 1)
+        inner = F.when(row.startswith("|"), F.regexp_replace(row, r"^\||\|$", "")).otherwise(row)
+        empty = F.exists(F.split(inner, r"\|"), lambda c: trim_ws(F.regexp_replace(c, "[*_~`]", "")) == "")
+        here = F.when(follows, divider.rlike(rf"^\|?[{WS}:|-]++$") & divider.contains("-") & empty)
+        return optional(here, F.array(finding(r.getField("line"), F.lit("table header has an empty column name"))))
+
+    return F.flatten(F.transform("rows", judge))
+
+
+# Links and images. `links` has those of Markdown, `markup` the lines with their tags.
+
+#: An element's attributes, within which a quoted `>` ends nothing.
+IN_TAG = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+"
+NBSP = "(?i)&nbsp;|&#0*160;|&#x0*a0;"
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    """The value of an attribute; null where it is missing, empty where it is empty."""
-    pattern = rf"(?i){BEFORE}{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
-    value = F.concat(*(F.regexp_extract(attrs, pattern, k) for k in (1, 2, 3)))
+    """The value of an attribute, without its quotes; null where it is missing, empty where it is empty."""
+    pattern = rf"(?i)(?:^|[^A-Za-z0-9_]){name}\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s>]++)"
+    value = F.regexp_replace(F.regexp_extract(attrs, pattern, 1), "(?s)^([\"'])(.*)\\1$", "$2")
     return F.when(attrs.rlike(pattern), value)
 
 
 def spoken(label: Column) -> Column:
-    c = F.regexp_replace(label, r"<(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", " ")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)&nbsp;|&#0*160;|&#x0*a0;", " "), r"[*_~`]", "")
-    return trim_ws(F.regexp_replace(c, f"[{WS}]+", " "))
-
-
-def _vague(rows: DataFrame) -> DataFrame:
-    """rows (doc, line, ord, spoken, target) -> violations of link-text."""
-    vague = F.lower("spoken").isin(list(lex.VAGUE_LINKS)) | F.col("spoken").rlike(r"(?i)^<?(?:https?://|www\.)")
-    detail = F.when(F.col("spoken") == "", F.lit("link has no text; say where it goes")).when(vague, F.concat(F.lit('link text "'), "spoken", F.lit('" describes no destination ('), F.substring("target", 1, 40), F.lit(")")))
-    return rows.withColumn("detail", detail).where("detail is not null").select(*violation("link-text", F.col("line"), F.col("detail"), F.col("ord")))
-
-
-def link_text(p: Parsed) -> DataFrame:
-    md = links(p).where("not image").select("doc", "line", (F.col("line") * 1000 + F.col("at")).alias("ord"), spoken(F.col("label")).alias("spoken"), F.trim("target").alias("target"), "kind")
-    md = md.where("not (kind = 'shortcut' and spoken = '')").drop("kind")
-    found = html_elements(markup(p), rf"<a\b{HTML_ATTRIBUTES}>[\s\S]*?</a\s*>").where(~F.col("whole").rlike(r"\n[ \t]*\n"))
-    attrs = F.regexp_extract("whole", rf"(?i)^<a\b{HTML_ATTRIBUTES}>", 1)
-    inner = F.regexp_extract("whole", rf"(?i)^<a\b{HTML_ATTRIBUTES}>([\s\S]*?)</a\s*>$", 2)
-    alt = F.regexp_replace(inner, r"(?i)<img\b[^>]*\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>", "$1$2")
-    html = found.select("doc", "line", (F.col("line") * 1000 + F.col("at") + 1_000_000_000).alias("ord"), spoken(alt).alias("spoken"), attribute(attrs, "href").alias("target")).where("target is not null")
-    return _vague(md.unionByName(html))
-
-
-def image_alt(p: Parsed) -> DataFrame:
-    md = links(p).where((F.col("image")) & (F.col("kind") != "shortcut") & (trim_ws(F.col("label")) == ""))
-    md = md.where(~((F.col("kind") == "inline") & F.col("target").rlike(r"(?i)\s+(?:\"decorative\"|'decorative'|\(decorative\))\s*$")))
-    md = md.select("doc", "line", (F.col("line") * 1000 + F.col("at")).alias("ord"), "target")
-    found = html_elements(markup(p), rf"<img\b{HTML_ATTRIBUTES}>").where(~F.col("whole").rlike(r"\n[ \t]*\n"))
-    attrs = F.regexp_extract("whole", rf"(?i)^<img\b{HTML_ATTRIBUTES}>$", 1)
-    html = found.where(attribute(attrs, "alt").isNull()).select("doc", "line", (F.col("line") * 1000 + F.col("at") + 1_000_000_000).alias("ord"), F.coalesce(attribute(attrs, "src"), F.lit("image")).alias("target"))
-    return md.unionByName(html).select(*violation("image-alt", F.col("line"), F.concat(F.lit("image has no alternative text ("), F.substring("target", 1, 40), F.lit(")")), F.col("ord")))
+    """What is read out: no tags, no emphasis, single spaces."""
+    return trim_ws(F.regexp_replace(F.regexp_replace(F.regexp_replace(label, rf"<{IN_TAG}>|{NBSP}", " "), "[*_~`]++", ""), f"[{WS}]++", " "))
+
+
+def _vague(line: Column, ord_: Column, label: Column, target: Column, unless: Column | None = None) -> Column:
+    def judge(text: Column) -> Column:
+        vague = F.lower(text).isin(list(lex.VAGUE_LINKS)) | text.rlike(r"(?i)^<?(?:https?://|www\.)")
+        detail = F.when(text == "", F.lit("link has no text; say where it goes") if unless is None else F.when(~unless, F.lit("link has no text; say where it goes")))
+        detail = detail.when(vague, _text('link text "', text, '" describes no destination (', F.substring(target, 1, 40), ")"))
+        return let(detail, lambda d: optional(d.isNotNull(), F.array(finding(line, d, ord_))))
+
+    return let(spoken(label), judge)
+
+
+def elements(close: str, inner: str, judge: Callable[[Column, Column, Column], Column]) -> Column:
+    """judge(element, line, number) for the elements of markup that end with the pattern `close`; `inner` finds the
+    element in the text up to there. The text is cut behind each end, and the marks of a line tell on which line an
+    element ends; its own line ends lead back to where it begins."""
+
+    def cut(m: Column) -> Column:
+        ended = F.flatten(F.transform(F.split(m, "\n"), lambda l, k: F.array_repeat(k + 1, occurrences(l, "\x01"))))  # noqa: E741
+        # One that a blank line cuts is none, so only what is behind the last of these counts.
+        whole = F.transform(F.split(m, "\x01"), lambda p: F.regexp_extract(F.regexp_replace(p, r"(?s)^.*\n[ \t]*+\n", ""), inner, 0))
+        both = F.zip_with(ended, F.slice(whole, 1, F.size(ended)), lambda k, w: F.struct((k - newlines(w)).alias("k"), w.alias("w")))
+        return F.flatten(F.transform(both, lambda x, i: optional(x.getField("w") != "", judge(x.getField("w"), x.getField("k"), i))))
+
+    return optional(F.col("markup").rlike(close), let(F.regexp_replace("markup", close, "$0\x01"), cut))
+
+
+def link_text() -> Column:
+    def markdown(x: Column) -> Column:
+        target = trim_ws(x.getField("target"))
+        return optional(~x.getField("image"), _vague(x.getField("line"), place(x.getField("line"), F.least(x.getField("at"), F.lit(0x7FFFFFFF))), x.getField("label"), target, x.getField("kind") == "shortcut"))
+
+    def anchor(whole: Column, line: Column, i: Column) -> Column:
+        href = attribute(F.regexp_extract(whole, rf"(?i)^<a\b({IN_TAG})>", 1), "href")
+        body = F.regexp_replace(whole, rf"(?i)^<a\b{IN_TAG}>|</a\s*+>$", "")
+        return let(href, lambda target: optional(target.isNotNull(), _vague(line, F.lit(1 << 62) + i, body, target)))
+
+    return F.concat(each("links", markdown), elements(r"(?i)</a\s*+>", rf"(?i)<a\b{IN_TAG}>[\s\S]*+$", anchor))
+
+
+def image_alt() -> Column:
+    def markdown(x: Column) -> Column:
+        silent = x.getField("image") & (x.getField("kind") != "shortcut") & (trim_ws(x.getField("label")) == "")
+        meant = (x.getField("kind") == "inline") & x.getField("target").rlike(r"(?i)\s(?:\"decorative\"|'decorative'|\(decorative\))\s*+$")
+        return optional(silent & ~meant, F.array(finding(x.getField("line"), _text("image has no alternative text (", F.substring(x.getField("target"), 1, 40), ")"), place(x.getField("line"), F.least(x.getField("at"), F.lit(0x7FFFFFFF))))))
+
+    def image(whole: Column, line: Column, i: Column) -> Column:
+        attrs = F.regexp_extract(whole, rf"(?i)^<img\b({IN_TAG})>$", 1)
+        return optional(attribute(attrs, "alt").isNull(), F.array(finding(line, _text("image has no alternative text (", F.substring(F.coalesce(attribute(attrs, "src"), F.lit("image")), 1, 40), ")"), F.lit(1 << 62) + i)))
+
+    tag = rf"(?i)<img\b{IN_TAG}>"
+    return F.concat(each("links", markdown), elements(tag, tag + "$", image))
+
+
+#: Rule -> its findings in a document, but for the acronym rule, which looks at words in order.
+OPERATORS: dict[str, Callable[[], Column]] = {
+    "sentence-length": sentence_length,
+    "paragraph-length": paragraph_length,
+    "legalese": legalese,
+    "sentence-average": sentence_average,
+    "heading-depth": heading_depth,
+    "heading-skip": heading_skip,
+    "heading-style": heading_style,
+    "doublet": doublet,
+    "prose-enumeration": prose_enumeration,
+    "wordy-phrase": wordy_phrase,
+    "complex-word": complex_word,
+    "double-negative": double_negative,
+    "filler-opening": filler_opening,
+    "table-header": table_header,
+    "link-text": link_text,
+    "image-alt": image_alt,
+}
+#: Rules that need marked texts, and those that need the blocks with phrases.
+ON_SENTENCES = {"sentence-length", "paragraph-length", "sentence-average"}
+ON_PHRASES = {"legalese", "complex-word", "double-negative", "wordy-phrase", "doublet"}

@@ -1,82 +1,89 @@
 """Sentences of blocks, in two readings.
 
-A block is cut into fragments wherever white space follows a full stop, question or exclamation mark (and marks that
-may close after it). Whether such a place ends a sentence depends on the last word before and the first word after
-alone, so each fragment carries one verdict: `split`, `merge` or `ambiguous`. The reading with most sentences takes
-doubtful places as ends, the reading with fewest does not. Lengths add up over fragments, so all of this stays within
-a block's row.
+A place where white space follows a full stop, question or exclamation mark (and marks that may close after it) may end
+a sentence. Whether it does depends on the last word before and the first word after alone: the verdict is `split`,
+`merge` or `ambiguous`. The reading with most sentences takes doubtful places as ends, the reading with fewest does not.
+
+`marked` writes the verdict into the text, as one control character behind the white space, so that counting sentences
+is counting characters, and cutting a text into sentences is one split. Few places need more than a look at the word
+before them: only titles, initials, abbreviations and dotted forms can be anything but an end. All of this is linear in
+the text and stays within a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge.functions.lexicon import ABBREVIATIONS, LOWERCASE_NAMES, STARTERS, TITLES
-from prosegauge.functions.text import CLOSERS, WS, barrier, newlines, total, word_count
+from prosegauge.functions.text import CLOSERS, WS, WS_CHARS, let, occurrences, trim_ws, words_in
 
-END = f"([.!?][{CLOSERS}]*[{WS}]+)"
+SPLIT, AMBIGUOUS, MERGE = "\x01", "\x02", "\x03"
+END = f"([.!?][{CLOSERS}]*+[{WS}]++)"
+#: A word that may be a title, an initial, an abbreviation or a dotted form; all others end a sentence.
+DOUBTFUL = rf"(?i)(?<![a-z])(?:{'|'.join(r'\.*+'.join(w) for w in (*TITLES, *ABBREVIATIONS))}|[a-z]|[a-z](?:\.[a-z])++)\.++[{CLOSERS}]*+\z"
 
 
-def fragments(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, END, "$1\x01"), "\x01")
+def last_word(fragment: Column) -> Column:
+    """A fragment's last word without closing marks, read from the end, as a search would try each place before it."""
+    return F.reverse(F.regexp_extract(F.reverse(fragment), f"^[{WS}]*+[{CLOSERS}]*+([^{WS}]*+)", 1))
 
 
-def edges(fragment: Column) -> Column:
-    """struct<last, first>: a fragment's last word without closing marks, and its first word."""
-    # Read from the end, as a search for the last word would try at every place before it.
-    last = F.reverse(F.regexp_extract(F.reverse(fragment), f"^[{WS}]*[{CLOSERS}]*([^{WS}]*)", 1))
-    return F.struct(last.alias("last"), F.regexp_extract(fragment, f"^[{WS}]*([^{WS}]*)", 1).alias("first"))
+def first_word(fragment: Column) -> Column:
+    return F.regexp_extract(fragment, f"^[{WS}]*+([^{WS}]*+)", 1)
 
 
 def verdict(token: Column, nxt: Column) -> Column:
-    """The verdict on the place between a fragment that ends in token and one that begins with nxt."""
+    """The mark for the place between a fragment that ends in token and one that begins with nxt (fixed table)."""
     word = F.lower(F.regexp_replace(F.replace(token, F.lit("."), F.lit("")), "^[^A-Za-z]+", ""))
     capital = nxt.rlike("^[^A-Za-z]*[A-Z]")
     starter = capital & F.lower(F.regexp_replace(nxt, "[^A-Za-z]", "")).isin(STARTERS)
     name = F.regexp_replace(nxt, "[^A-Za-z0-9]", "").isin(LOWERCASE_NAMES)
     lower = nxt.rlike("^[^A-Za-z]*[a-z]") & ~name
     return (
-        F.when(~token.endswith("."), "split")
-        .when(word.isin(TITLES), "merge")
-        .when(token.rlike(r"^[^A-Za-z]*[A-Z]\.$"), F.when(capital & ~starter, "merge").otherwise("ambiguous"))
+        F.when(~token.endswith("."), SPLIT)
+        .when(word.isin(TITLES), MERGE)
+        .when(token.rlike(r"^[^A-Za-z]*[A-Z]\.$"), F.when(capital & ~starter, MERGE).otherwise(AMBIGUOUS))
         .when(
             word.isin(ABBREVIATIONS),
-            F.when(nxt.rlike("^[^A-Za-z0-9]*[A-Z0-9][^A-Za-z]*$"), "merge").when(starter, "split").when(name | capital, "ambiguous").otherwise("merge"),
+            F.when(nxt.rlike("^[^A-Za-z0-9]*[A-Z0-9][^A-Za-z]*$"), MERGE).when(starter, SPLIT).when(name | capital, AMBIGUOUS).otherwise(MERGE),
         )
-        .when(token.rlike(r"^[^A-Za-z]*(?:[A-Za-z]\.){2,}$"), F.when(lower, "merge").when(starter, "split").otherwise("ambiguous"))
-        .otherwise("split")
+        .when(token.rlike(r"^[^A-Za-z]*(?:[A-Za-z]\.){2,}+$"), F.when(lower, MERGE).when(starter, SPLIT).otherwise(AMBIGUOUS))
+        .otherwise(SPLIT)
     )
 
 
-def sentences(blocks: DataFrame, *keep: str) -> DataFrame:
-    """Blocks with most and fewest: arrays of struct<words, at> of either reading's sentences that hold words, at
-    being the line ends before the sentence."""
-    one = blocks.select("doc", *keep, fragments(F.col("text")).alias("parts"))
-    two = one.select(
-        "doc",
-        *keep,
-        F.transform("parts", lambda x: word_count(x)).alias("words"),
-        F.transform("parts", lambda x: newlines(x)).alias("ends"),
-        F.transform("parts", lambda x: edges(x)).alias("edges"),
-    )
-    judged = F.transform("edges", lambda x, i: F.when(i == 0, "split").otherwise(verdict(F.get("edges", i - 1).getField("last"), x.getField("first"))))
-    two = two.select("doc", *keep, "words", "ends", judged.alias("verdicts"))
-    places = F.sequence(F.lit(0), F.size("words") - 1)
-    three = two.select(
-        "doc",
-        *keep,
-        "words",
-        "ends",
-        F.filter(places, lambda i: (i == 0) | (F.get("verdicts", i) != "merge")).alias("most"),
-        F.filter(places, lambda i: (i == 0) | (F.get("verdicts", i) == "split")).alias("fewest"),
-    )
+def marked(text: Column) -> Column:
+    """The text, without white space around it, with a mark before each fragment but the first."""
+
+    def judge(parts: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(parts, i - 1)
+            # What follows the last blank holds the last word.
+            end = F.substring_index(F.rtrim(before, F.lit(WS_CHARS)), " ", -1)
+            return F.when(i == 0, x).when(end.rlike(DOUBTFUL), F.concat(verdict(last_word(before), first_word(x)), x)).otherwise(F.concat(F.lit(SPLIT), x))
+
+        return F.array_join(F.transform(parts, one), "")
+
+    return let(F.split(F.regexp_replace(trim_ws(text), END, f"$1{SPLIT}"), SPLIT), judge)
+
+
+def n_most(m: Column) -> Column:
+    """Sentences in the reading with most; m is a marked text that holds a word."""
+    return occurrences(m, SPLIT) + occurrences(m, AMBIGUOUS) + 1
+
+
+def n_fewest(m: Column) -> Column:
+    return occurrences(m, SPLIT) + 1
+
 
-    def spans(starts: str) -> Column:
-        def span(s: Column, j: Column) -> Column:
-            n = F.coalesce(F.get(starts, j + 1), F.size("words")) - s
-            return F.struct(total(F.slice("words", s + 1, n)).alias("words"), s.alias("at"))
+def sentence_words(m: Column) -> Column:
+    """The numbers of words of the sentences, in the reading with most."""
+    return F.transform(F.split(m, f"[{SPLIT}{AMBIGUOUS}]"), words_in)
 
-        return F.filter(F.transform(starts, span), lambda x: x.getField("words") > 0)
 
-    return barrier(three.select("doc", *keep, "ends", spans("most").alias("most"), spans("fewest").alias("fewest")))
+def sentence_lines(m: Column) -> Column:
+    """For each sentence of that reading, the line ends before it. A mark stands on the line of the sentence behind
+    it, so the marks of a line give its number as often as there are sentences that begin on it."""
+    begun = F.transform(F.split(m, "\n"), lambda l, k: F.array_repeat(k, occurrences(l, SPLIT) + occurrences(l, AMBIGUOUS)))  # noqa: E741
+    return F.concat(F.array(F.lit(0)), F.flatten(begun))

@@ -1,149 +1,101 @@
-"""Lines, blocks and headings of Markdown documents, as relations.
+"""Documents as one row each, with arrays of what the rules read.
 
-A corpus is (doc, text), doc being unique. Plain documents, which hold nothing that could be Markdown structure, are
-cut at empty lines within their own row, without a shuffle. All others become one row a line; their structure follows
-from windows over the lines of a document, all of which share one shuffle by doc.
+A corpus is (doc, text). `parsed` gives each document's blocks, headings, rows, links and markup. Plain documents,
+which hold nothing that could be Markdown structure, are cut at blank lines by Spark's own expressions; all others go
+through the small reader in `prosegauge.operators.markdown`, a batch at a time. Both happen in one projection, so a
+corpus is scanned once, without a shuffle, whatever its documents hold.
 
-Understood are: line ends of all kinds and a leading byte order mark; front matter; fenced and indented code; ATX and
-Setext headings; thematic breaks; quotes, bullets, numbered items and task boxes; tables; comments on one line; link
-reference definitions. Containers are stripped from the front of a line and not kept as a stack, so a paragraph that
-goes on lazily inside a quote is one block, and code inside list items ends with its own fence.
+Null texts count as empty: no blocks. White space beyond ASCII is read as blanks, once lines are told apart. The control characters U+0001 to U+0004, which mark places below, are read as
+U+FFFD. Line ends of all kinds are equal, and a leading byte order mark is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+
+from prosegauge.functions.text import barrier, let, plainer, trim_ws
+from prosegauge.operators.markdown import structure
 
-from prosegauge.functions.text import newlines, trim_ws
-
-LINE_END = "\r\n|\n|\r"
-ITEM = r"[ \t]*(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)(?:\[[ xX]\][ \t]+)?"
-QUOTE = r" {0,3}> ?"
-CONTAINERS = f"^(?:{QUOTE}|{ITEM})+"
-ATX = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-SETEXT = r"^ {0,3}(=+|-+)[ \t]*$"
-BREAK = r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$"
-DIVIDER = r"^[ \t]*\|?(?:[ \t]*:?-+:?[ \t]*\|)*[ \t]*:?-+:?[ \t]*\|?[ \t]*$"
-DEFINITION = r"^ {0,3}\[([^\]^][^\]]*)\]:[ \t]*(\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$"
-YAML = r"^(?:[ \t]*|[ \t]*#.*|[ \t]*-[ \t].*|[ \t]+.*|[A-Za-z0-9_\"'-][^:]*:(?:[ \t].*)?)$"
 #: Anything that may be structure, or change what a reader sees of a line.
-SPECIAL = r"[<\[\\`]|(?m:^(?: {4}|\t| {0,3}(?:#|>|~~~|[-*+=_]|\d{1,9}[.)]))|^[ \t]*[|:]?[ \t]*:?-)"
+SPECIAL = r"[<\[\\`]|(?m:^(?: {4}|\t| {0,3}(?:#|>|~~~|[-*+=_]|\d{1,9}[.)]))|^[ \t]*+[|:]?[ \t]*+:?-)"
+BLOCK = "array<struct<line:int,text:string>>"
+HEADING = "array<struct<line:int,level:int,text:string>>"
+LINK = "array<struct<line:int,at:bigint,image:boolean,kind:string,label:string,target:string>>"
+
+_text, _int = pa.string(), pa.int32()
+_block = pa.list_(pa.struct([("line", _int), ("text", _text)]))
+_heading = pa.list_(pa.struct([("line", _int), ("level", _int), ("text", _text)]))
+_link = pa.list_(pa.struct([("line", _int), ("at", pa.int64()), ("image", pa.bool_()), ("kind", _text), ("label", _text), ("target", _text)]))
+_structure = pa.struct([("blocks", _block), ("headings", _heading), ("rows", _block), ("links", _link), ("markup", _text)])
+
+
+@F.arrow_udf(from_arrow_type(_structure))
+def marked_structure(texts: pa.Array) -> pa.Array:
+    return pa.array([structure(t.as_py()) if t.is_valid else None for t in texts], _structure)
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), LINE_END, "\n")
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "^\ufeff", ""), "\r\n?", "\n")
+    return F.regexp_replace(clean, "[\x01-\x04]", "\ufffd")
 
 
-def visible(c: Column) -> Column:
-    """What a reader sees of inline markup: labels of links and images, no tags, no one-line comments."""
-    c = F.regexp_replace(c, r"<!--.*?-->", "")
-    c = F.regexp_replace(c, r"!?\[([^\[\]]*)\](?:\([^()]*\)|\[[^\[\]]*\])", "$1")
-    c = F.regexp_replace(c, r"</?[A-Za-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>", "")
-    return F.regexp_replace(c, r"\\([!-/:-@\[-`{-~])", "$1")
+def plain_blocks(text: Column) -> Column:
+    return let(plainer(text), _cut_blocks)
 
 
-def split_corpus(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plain, other) documents, with normalised text."""
-    clean = corpus.select("doc", normalised(F.col("text")).alias("text"))
-    special = F.col("text").rlike(SPECIAL)
-    return clean.where(~special), clean.where(special)
-
-
-def plain_blocks(plain: DataFrame) -> DataFrame:
-    """(doc, line, text): runs of lines that are not blank."""
-    lead = F.regexp_extract("text", r"^(?:[ \t]*\n)+", 0)
-    body = plain.select("doc", newlines(lead).alias("skip"), F.substr("text", F.length(lead) + 1).alias("text"))
-    # A piece ends after the blank lines behind it: its text, \x01, the blank lines.
-    pieces = F.split(F.regexp_replace("text", r"\n((?:[ \t]*\n)+)", "\x01$1\x02"), "\x02")
-    cut = body.select("doc", "skip", pieces.alias("pieces"))
-    rows = cut.select("doc", "skip", "pieces", F.posexplode("pieces").alias("at", "piece"))
-    before = F.array_join(F.slice("pieces", 1, F.col("at")), "")
-    # The line end in front of \x01 went with the marker, one for each piece before.
-    line = F.col("skip") + newlines(before) + F.col("at") + 1
-    text = F.regexp_replace(F.regexp_replace(F.substring_index("piece", "\x01", 1), r"(?m)^[ \t]+", ""), r"\n+$", "")
-    return rows.select("doc", line.cast("int").alias("line"), text.alias("text")).where(trim_ws(F.col("text")) != "")
-
-
-def marked_lines(other: DataFrame) -> DataFrame:
-    """(doc, line, raw, body, kind, level, heading, item): each line with what it is."""
-    w = Window.partitionBy("doc").orderBy("line")
-    before, upto, all_ = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = other.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "raw")).select("doc", (F.col("at") + 1).alias("line"), "raw")
-    # All windows below share the one shuffle by doc.
-    rows = rows.repartition("doc")
-    raw, line = F.col("raw"), F.col("line")
-    fence = raw.rlike(f"^(?:{QUOTE}|{ITEM})* {{0,3}}(?:```[^`]*|~~~.*)$")
-    fenced = fence | (F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1)
-    opens = F.first(raw).over(all_).rlike(r"^---[ \t]*$")
-    close = F.min(F.when((line > 1) & raw.rlike(r"^(?:---|\.\.\.)[ \t]*$"), line)).over(all_)
-    odd = F.min(F.when((line > 1) & ~raw.rlike(YAML), line)).over(all_)
-    front = opens & close.isNotNull() & (odd.isNull() | (odd >= close)) & (line <= close)
-    rows = rows.select("*", F.coalesce(fenced | front, F.lit(False)).alias("hidden"))
-    item = raw.rlike(f"^(?:{QUOTE})*{ITEM}") & ~raw.rlike(BREAK)
-    body = F.when(raw.rlike(BREAK), raw).otherwise(F.regexp_replace(raw, CONTAINERS, ""))
-    body = F.regexp_replace(body, r"<!--.*?-->", "")
-    rows = rows.select("*", (item & ~F.col("hidden")).alias("item"), F.when(F.col("hidden"), "").otherwise(body).alias("body"))
-    body, nxt = F.col("body"), F.lead("body").over(w)
-    cells = lambda c: F.size(F.split(F.regexp_replace(F.trim(c), r"^\||\|$", ""), r"\|"))
-    header = body.contains("|") & F.coalesce(nxt.rlike(DIVIDER) & nxt.contains("-") & (cells(body) == cells(nxt)), F.lit(False))
-    rows = rows.select("*", header.alias("header"))
-    divider = F.coalesce(F.lag("header").over(w), F.lit(False))
-    no_pipe = ~body.contains("|") & ~divider
-    table = F.max(F.when(F.col("header"), line)).over(upto) > F.coalesce(F.max(F.when(no_pipe, line)).over(upto), F.lit(0))
-    kind = (
-        F.when(F.col("hidden"), "hidden")
-        .when(F.trim(F.regexp_replace(body, "\t", " ")) == "", "blank")
-        .when(F.coalesce(table, F.lit(False)), "table")
-        .when(body.rlike(ATX), "atx")
-        .when(body.rlike(SETEXT) | body.rlike(BREAK), "rule")
-        .when(body.rlike(r"^(?: {4}|\t)"), "indented")
-        .otherwise("text")
-    )
-    rows = rows.select("doc", "line", "raw", "body", "item", kind.alias("kind"))
-    # An indented line is code unless a paragraph is open above it.
-    stop = F.max(F.when(~F.col("kind").isin("text", "indented"), line)).over(upto)
-    start = F.max(F.when(F.col("kind") == "text", line)).over(upto)
-    open_ = F.coalesce(start, F.lit(0)) > F.coalesce(stop, F.lit(0))
-    kind = F.when(F.col("kind") == "indented", F.when(open_, "text").otherwise("code")).otherwise(F.col("kind"))
-    rows = rows.select("doc", "line", "raw", "body", "item", kind.alias("kind"))
-    after_text = F.coalesce(F.lag("kind").over(w) == "text", F.lit(False))
-    kind = (
-        F.when((F.col("kind") == "rule") & body.rlike(SETEXT) & after_text, "underline")
-        .when((F.col("kind") == "text") & ~after_text & body.rlike(DEFINITION), "definition")
-        .otherwise(F.col("kind"))
-    )
-    level = F.when(kind == "atx", F.length(F.regexp_extract(body, ATX, 1)))
-    return rows.select("doc", "line", "raw", "body", "item", kind.alias("kind"), level.alias("level"), F.when(kind == "atx", F.regexp_extract(body, ATX, 2)).alias("heading"))
+def _cut_blocks(text: Column) -> Column:
+    """Runs of lines that are not blank, with the line each begins on. Two arrays are made side by side: texts by
+    cutting at blank lines, and the places of lines that follow a blank one."""
+    left = lambda c: F.regexp_replace(c, r"(?m)^[ \t]++", "")
+    block = lambda line, t: F.struct(line.cast("int").alias("line"), t.alias("text"))
+    blank = lambda l: F.trim(F.replace(l, F.lit("\t"), F.lit(" "))) == ""  # noqa: E731, E741
+
+    def cut(lines: Column) -> Column:
+        begins = F.filter(F.transform(lines, lambda l, i: F.when(~blank(l) & ((i == 0) | blank(F.get(lines, i - 1))), i + 1)), lambda i: i.isNotNull())  # noqa: E741
+        texts = F.filter(F.split(text, r"\n(?:[ \t]*+\n)++|^(?:[ \t]*+\n)++"), lambda t: ~blank(F.replace(t, F.lit("\n"), F.lit(" "))))
+        return F.zip_with(begins, texts, block)
+
+    whole = F.array(block(F.lit(1), text))
+    many = F.get(F.transform(F.array(F.split(text, "\n")), cut), F.lit(0))
+    found = F.when(text.rlike(r"(?m)^[ \t]*+$"), many).otherwise(whole)
+    tidy = lambda b: block(b.getField("line"), F.rtrim(left(b.getField("text")), F.lit("\n")))
+    return F.filter(F.transform(found, tidy), lambda b: trim_ws(b.getField("text")) != "")
 
 
-def marked_blocks(lines: DataFrame) -> DataFrame:
-    """(doc, line, text, underline): paragraphs; underline is the level of a Setext heading, else null."""
-    w = Window.partitionBy("doc").orderBy("line")
-    first = (F.col("kind") == "text") & (F.col("item") | F.coalesce(F.lag("kind").over(w) != "text", F.lit(True)))
-    under = F.lead(F.when(F.col("kind") == "underline", F.when(F.trim("body").startswith("="), 1).otherwise(2))).over(w)
-    numbered = lines.select("*", F.sum(first.cast("int")).over(w).alias("block"), under.alias("under")).where("kind = 'text'")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.ltrim(F.regexp_replace("body", "^\t+", "")).alias("body")))), lambda x: x.getField("body")), "\n")
-    return numbered.groupBy("doc", "block").agg(F.min("line").cast("int").alias("line"), text.alias("text"), F.max("under").alias("underline")).drop("block")
+def parsed(corpus: DataFrame) -> DataFrame:
+    """(doc, blocks, headings, rows, links, markup), one row a document. rows holds the lines that line rules read; a
+    plain document's lines need none of these rules, so it has no rows."""
+    clean = barrier(corpus.select("doc", normalised(F.col("text")).alias("text")))
+    special = F.col("text").rlike(SPECIAL)
+    both = clean.select("doc", "text", marked_structure(F.when(special, F.col("text"))).alias("m"))
+    none = lambda kind: F.array().cast(kind)
+    rows = both.select(
+        "doc",
+        F.when(F.col("m").isNull(), plain_blocks(F.col("text"))).otherwise(F.col("m.blocks")).alias("blocks"),
+        F.coalesce("m.headings", none(HEADING)).alias("headings"),
+        F.coalesce("m.rows", none(BLOCK)).alias("rows"),
+        F.coalesce("m.links", none(LINK)).alias("links"),
+        F.coalesce("m.markup", F.lit("")).alias("markup"),
+    )
+    return barrier(rows)
 
 
 class Parsed:
-    """The relations of a corpus, each declared once and read by many rules."""
+    """A corpus parsed once. `rows` has one row a document; blocks and headings are these rows unfolded."""
 
     def __init__(self, corpus: DataFrame) -> None:
-        plain, other = split_corpus(corpus)
-        self.documents = corpus.select("doc")
-        self.lines = marked_lines(other)
-        both = marked_blocks(self.lines)
-        #: (doc, line, text) of reader-visible paragraphs.
-        self.blocks = plain_blocks(plain).union(both.where("underline is null").select("doc", "line", visible(F.col("text")).alias("text")))
-        atx = self.lines.where("kind = 'atx'").select("doc", F.col("line").cast("int").alias("line"), "level", F.coalesce("heading", F.lit("")).alias("text"))
-        setext = both.where("underline is not null").select("doc", "line", F.col("underline").alias("level"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-        #: (doc, line, level, text)
-        self.headings = atx.union(setext).withColumn("text", visible(F.col("text")))
-        #: (doc, label) of link reference definitions, normalised.
-        self.references = self.lines.where("kind = 'definition'").select("doc", reference(F.regexp_extract("body", DEFINITION, 1)).alias("label")).distinct()
-
-
-def reference(label: Column) -> Column:
-    return F.lower(F.regexp_replace(trim_ws(label), r"\s+", " "))
+        self.corpus = corpus
+        self.rows = parsed(corpus)
+
+    @property
+    def blocks(self) -> DataFrame:
+        """(doc, line, text) of reader-visible paragraphs."""
+        return self.rows.select("doc", F.inline("blocks"))
+
+    @property
+    def headings(self) -> DataFrame:
+        """(doc, line, level, text)"""
+        return self.rows.select("doc", F.inline("headings"))

@@ -4,43 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.functions.text import config_hash
+from prosegauge.functions.lexicon import RULES
+from prosegauge.functions.text import barrier, config_hash, phrase_pattern
 from prosegauge.operators import rules
-from prosegauge.operators.acronyms import acronym_undefined, everyday_words
-from prosegauge.operators.structure import Parsed
-
-#: Rule name -> operator over parsed relations.
-OPERATORS = {
-    "sentence-length": rules.sentence_length,
-    "paragraph-length": rules.paragraph_length,
-    "legalese": rules.legalese,
-    "sentence-average": rules.sentence_average,
-    "heading-depth": rules.heading_depth,
-    "heading-skip": rules.heading_skip,
-    "heading-style": rules.heading_style,
-    "doublet": rules.doublet,
-    "prose-enumeration": rules.prose_enumeration,
-    "wordy-phrase": rules.wordy_phrase,
-    "complex-word": rules.complex_word,
-    "double-negative": rules.double_negative,
-    "filler-opening": rules.filler_opening,
-    "table-header": rules.table_header,
-    "link-text": rules.link_text,
-    "image-alt": rules.image_alt,
-}
-
-
-def audit(corpus: DataFrame, common: DataFrame | None = None, known: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-    """(doc, rule, line, detail, phase, ord) of a corpus (doc, text). common: (word), everyday words for the acronym
-    rule, by default the fixed list; known: the project's acronyms; only: the rules to run."""
-    parsed = Parsed(corpus)
-    found = [f(parsed) for name, f in OPERATORS.items() if only is None or name in only]
-    if only is None or "acronym-undefined" in only:
-        found.append(acronym_undefined(corpus, everyday_words(corpus.sparkSession) if common is None else common, known))
-    return reduce(DataFrame.unionByName, found)
+from prosegauge.operators.acronyms import CANDIDATE, acronym_undefined
+from prosegauge.operators.rules import ON_PHRASES, ON_SENTENCES
+from prosegauge.operators.sentences import marked
+from prosegauge.operators.structure import Parsed, parsed
+
+ACRONYM = "acronym-undefined"
+#: Rule -> its column of findings.
+OPERATORS = rules.OPERATORS
+
+
+def prepared(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Parsed documents with what the named rules share: marks (texts with verdicts) and hot (blocks with phrases)."""
+    texts = lambda f: F.transform("blocks", lambda b: F.struct(b.getField("line").alias("line"), f(b.getField("text")).alias("m")))
+    more = []
+    if ON_SENTENCES & set(names):
+        more.append(texts(marked).alias("marks"))
+    if ON_PHRASES & set(names):
+        pattern = phrase_pattern(rules.PHRASE_RULES)
+        more.append(F.filter("blocks", lambda b: b.getField("text").rlike(pattern)).alias("hot"))
+    return barrier(rows.select("*", *more)) if more else rows
+
+
+def _named(rule: str, found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(rule).alias("rule"), x.getField("line").alias("line"), x.getField("detail").alias("detail"), F.lit(RULES.index(rule)).alias("phase"), x.getField("ord").alias("ord")))
+
+
+def document_findings(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(doc, rule, line, detail, phase, ord) of the named rules over parsed documents: one scan, no shuffle."""
+    found = F.flatten(F.array(*(_named(n, OPERATORS[n]()) for n in names)))
+    return barrier(prepared(rows, names).select("doc", found.alias("found"))).select("doc", F.inline("found"))
+
+
+def audit(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(doc, rule, line, detail, phase, ord) of a corpus (doc, text). common: everyday words for the acronym rule, a
+    list or a table (word), by default `prosegauge.functions.everyday`; known: the project's acronyms; only: the rules
+    to run. The acronym rule scans a second time, for the documents that hold capitals in a row."""
+    names = [n for n in OPERATORS if only is None or n in only]
+    parts = [document_findings(parsed(corpus), names)] if names else []
+    if only is None or ACRONYM in only:
+        parts.append(acronym_undefined(corpus, common, known))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def totals(violations: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicon as lex
-from prosegauge.functions.text import CLOSERS, WS, config_hash, word_count
+from prosegauge.functions.text import ALL_WS, CLOSERS, barrier, config_hash, plainer, words_in
 from prosegauge.operators import governance
-from prosegauge.operators.sentences import sentences
+from prosegauge.operators.sentences import marked, n_fewest, n_most
 from prosegauge.operators.structure import Parsed
 from prosegauge.plans import carriers
-from prosegauge.plans.audit import OPERATORS, audit, files, totals
+from prosegauge.plans.audit import audit, files, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The rules whose findings in `documents` SQL can count too.
@@ -22,7 +22,7 @@ COUNTED = ["sentence-length", "paragraph-length", "sentence-average", "complex-w
 
 def _rule(rule: str, corpus: Query, key: str = "doc_id") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return OPERATORS[rule](Parsed(corpus(spark, sf_dir))).select(F.col("doc").alias(key), "line", "detail")
+        return audit(corpus(spark, sf_dir), only=[rule]).select(F.col("doc").alias(key), "line", "detail")
 
     return query
 
@@ -33,19 +33,18 @@ def acronym_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = carriers.table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(word_count(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(words_in(plainer(F.coalesce("text", F.lit(""))))).cast("long").alias("n_words"))
 
 
 def sentence_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences and words of each source. The counts of a document are worked out in its own rows."""
     corpus = carriers.table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
-    rows = sentences(Parsed(corpus).blocks)
-    words = F.aggregate("most", F.lit(0), lambda a, x: a + x.getField("words"))
-    return rows.groupBy(F.col("doc.source").alias("source")).agg(F.sum(F.size("most")).alias("n_most"), F.sum(F.size("fewest")).alias("n_fewest"), F.sum(words).cast("long").alias("n_words"))
+    rows = barrier(Parsed(corpus).blocks.select("doc", "text", marked(F.col("text")).alias("m")))
+    return rows.groupBy(F.col("doc.source").alias("source")).agg(F.sum(n_most(F.col("m"))).cast("long").alias("n_most"), F.sum(n_fewest(F.col("m"))).cast("long").alias("n_fewest"), F.sum(words_in(F.col("text"))).cast("long").alias("n_words"))
 
 
 def page_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = OPERATORS["link-text"](Parsed(carriers.pages(spark, sf_dir)))
+    rows = audit(carriers.pages(spark, sf_dir), only=["link-text"])
     return rows.groupBy(F.col("doc").alias("page_id"), "detail").agg(F.count("*").alias("n"))
 
 
@@ -166,11 +165,11 @@ def _pick(values, key: str = "p_partkey") -> str:  # noqa: ANN001
 
 def _sentences() -> str:
     """CTEs up to s: the fragments of documents, with verdicts and the numbers of the sentences they fall in."""
-    word = rf"[^{WS}]"
+    word = rf"[^{ALL_WS}]"
     return rf"""
-f as (select doc_id, source, string_split(regexp_replace(coalesce(text, ''), {_q(f"([.!?][{CLOSERS}]*[{WS}]+)")}, '\1' || chr(1), 'g'), chr(1)) as parts from documents where regexp_matches(coalesce(text, ''), {_q(word)})),
+f as (select doc_id, source, string_split(regexp_replace(coalesce(text, ''), {_q(f"([.!?][{CLOSERS}]*[{ALL_WS}]+)")}, '\1' || chr(1), 'g'), chr(1)) as parts from documents where regexp_matches(coalesce(text, ''), {_q(word)})),
 p as (select doc_id, source, unnest(parts) as t, generate_subscripts(parts, 1) as i from f),
-q as (select *, regexp_replace(regexp_extract(regexp_replace(lag(t) over o, {_q(f"[{WS}]+$")}, ''), {_q(word + "*$")}), {_q(f"[{CLOSERS}]+$")}, '') as token, regexp_extract(t, {_q(f"^[{WS}]*({word}*)")}, 1) as nxt,
+q as (select *, regexp_replace(regexp_extract(regexp_replace(lag(t) over o, {_q(f"[{ALL_WS}]+$")}, ''), {_q(word + "*$")}), {_q(f"[{CLOSERS}]+$")}, '') as token, regexp_extract(t, {_q(f"^[{ALL_WS}]*({word}*)")}, 1) as nxt,
   len(regexp_extract_all(t, {_q(word + "+")})) as words, length(t) - length(replace(t, chr(10), '')) as ends from p window o as (partition by doc_id order by i)),
 r as (select *, lower(regexp_replace(replace(token, '.', ''), '^[^A-Za-z]+', '')) as word, regexp_matches(nxt, '^[^A-Za-z]*[A-Z]') as capital,
   lower(regexp_replace(nxt, '[^A-Za-z]', '', 'g')) in ({_list(lex.STARTERS)}) as starting, regexp_replace(nxt, '[^A-Za-z0-9]', '', 'g') in ({_list(lex.LOWERCASE_NAMES)}) as named, regexp_matches(nxt, '^[^A-Za-z]*[a-z]') as low from q),
@@ -226,7 +225,7 @@ z as (select y.organisation, y.dimension, coalesce(gap - 1, 4)::int as level, co
         "sentence_length": f"with {s} select doc_id, line, detail from l",
         "paragraph_length": f"with {s} select doc_id, line, detail from g",
         "sentence_average": f"with {s} select doc_id, line, detail from h",
-        "word_stats_by_lang": f"select lang, count(*) as n_docs, sum(len(regexp_extract_all(coalesce(text, ''), {_q(f'[^{WS}]+')})))::bigint as n_words from documents group by lang",
+        "word_stats_by_lang": f"select lang, count(*) as n_docs, sum(len(regexp_extract_all(coalesce(text, ''), {_q(f'[^{ALL_WS}]+')})))::bigint as n_words from documents group by lang",
         "sentence_stats_by_source": f"with {s} select source, n_most::bigint as n_most, n_fewest::bigint as n_fewest, n_words::bigint as n_words from (select source, count(*) as n_most, sum(w) as n_words from a group by source) join (select source, count(*) as n_fewest from b group by source) using (source)",
         "complex_word": f"with {_complex('c')} select * from c",
         "legalese": _phrases(lex.LEGALESE, "'banned term \"' || lower(w) || '\"'"),

@@ -1,24 +1,37 @@
-"""The acronym rule's everyday words do not depend on the corpus."""
+"""The acronym rule's everyday words do not depend on the corpus, unless a list or a table is given."""
 
-from prosegauge.operators.acronyms import everyday_words
+from prosegauge.functions.everyday import everyday, words_of_corpus
 from prosegauge.plans.audit import audit
 
 DOCS = [(1, "The GNU tools and the ABOUT page go on."), (2, "PLEASE SAVE everything."), (3, "The AWS IAM service."), (4, "Plain words.")]
 
 
-def details(spark, rows):
-    found = audit(spark.createDataFrame(rows, "doc bigint, text string"), only=["acronym-undefined"])
-    return sorted((r.doc, r.detail) for r in found.collect() if r.doc < 100)
+def details(spark, rows, **given):
+    found = audit(spark.createDataFrame(rows, "doc bigint, text string"), only=["acronym-undefined"], **given)
+    return sorted((r.doc, r.detail.split('"')[1]) for r in found.collect() if r.doc < 100)
 
 
 def test_same_findings_alone_and_in_a_large_corpus(spark):
     alone = details(spark, DOCS)
-    assert [(doc, detail.split('"')[1]) for doc, detail in alone] == [(1, "GNU"), (3, "AWS"), (3, "IAM")]
+    assert alone == [(1, "GNU"), (3, "AWS"), (3, "IAM")]
     # One hot text, which writes those acronyms in lower case, ten times the corpus.
     assert details(spark, DOCS + [(100 + k, "a gnu with aws and iam") for k in range(10 * len(DOCS))]) == alone
 
 
-def test_fixed_list(spark):
-    words = [r.word for r in everyday_words(spark).collect()]
-    assert len(words) == len(set(words)) == 7435 and {"a", "please", "save", "zstd"} <= set(words)
-    assert not {"can", "ram", "rest", "gnu"} & set(words)
+def test_lists_and_tables_give_the_same(spark):
+    words = ["gnu", "please"]
+    want = [(1, "ABOUT"), (2, "SAVE"), (3, "AWS"), (3, "IAM")]
+    assert details(spark, DOCS, common=words) == want
+    table = spark.createDataFrame([(w,) for w in words * 2], "word string")
+    assert details(spark, DOCS, common=table) == want
+
+
+def test_words_of_a_corpus_are_a_share_of_distinct_texts(spark):
+    rows = [(k, f"some words here {k}") for k in range(10)] + [(100 + k, "a copy with rare terms") for k in range(50)]
+    corpus = spark.createDataFrame([*rows, (999, None)], "doc bigint, text string")
+    assert {r.word for r in words_of_corpus(corpus, 0.5).collect()} == {"some", "words", "here"}
+
+
+def test_fixed_list():
+    assert len(set(everyday())) == len(everyday()) and {"a", "please", "save", "the"} <= set(everyday())
+    assert not {"it", "us", "gnu", "api"} & set(everyday())
