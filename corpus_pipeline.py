@@ -2,8 +2,9 @@
 stage before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents. Rows
-without an id and rows that repeat an id stay together in every stage; null texts go with the quality rules; an empty
-table passes through as an empty table. Further columns of docs are passed on by the first four stages.
+without an id and rows that repeat an id stay together in every stage; null texts go with the quality rules; texts of
+any length are read whole; ties between copies go to the smallest id; an empty table passes through as an empty table.
+Further columns of docs, whatever their names, are passed on by the first four stages.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is known; the model learns from the rows that are not held out."""
+    """Keeps the documents in a language that was learnt, with a score that mixed texts and other scripts don't reach;
+    the model learns from the rows that are not held out."""
     return language_id.keep_known(docs)
 
 
