@@ -65,10 +65,22 @@ def _cut_blocks(text: Column) -> Column:
     return F.filter(F.transform(found, tidy), lambda b: trim_ws(b.getField("text")) != "")
 
 
+#: Inputs between these sizes in bytes are dealt over all cores first.
+SPREAD_FROM, SPREAD_TO = 2 << 20, 1 << 30
+
+
+def spread(corpus: DataFrame) -> DataFrame:
+    """A small file is often a single row group, which one task reads however many cores wait. Below a GB, moving the
+    texts once costs less than that; larger inputs have row groups enough and stay where they are."""
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores, "doc") if SPREAD_FROM < size < SPREAD_TO else corpus
+
+
 def parsed(corpus: DataFrame) -> DataFrame:
     """(doc, blocks, headings, rows, links, markup), one row a document. rows holds the lines that line rules read; a
     plain document's lines need none of these rules, so it has no rows."""
-    clean = barrier(corpus.select("doc", normalised(F.col("text")).alias("text")))
+    clean = barrier(spread(corpus.select("doc", "text")).select("doc", normalised(F.col("text")).alias("text")))
     special = F.col("text").rlike(SPECIAL)
     both = clean.select("doc", "text", marked_structure(F.when(special, F.col("text"))).alias("m"))
     none = lambda kind: F.array().cast(kind)
