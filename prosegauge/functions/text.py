@@ -77,6 +77,16 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("x")).select("x.*")
 
 
+def table_cell(c: Column) -> Column:
+    """A text as a cell of a Markdown table."""
+    return F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), "\r?\n", " ")
+
+
+def line_at(text: Column, offset: Column) -> Column:
+    """The line, from 1, on which the character at an offset from 0 stands."""
+    return occurrences(F.substring(text, F.lit(1), offset), "\n") + 1
+
+
 def squash(c: Column) -> Column:
     """Lower case with single spaces."""
     return F.lower(F.regexp_replace(c, f"[{WS}]+", " "))

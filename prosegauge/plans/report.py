@@ -20,8 +20,12 @@ def history(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("timestamp", "overall").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
+def cell(value: object) -> str:
+    return " ".join(str(value).replace("|", "\\|").splitlines())
+
+
 def _table(head: list[str], rows: list[list]) -> list[str]:
-    return [f"| {' | '.join(head)} |", "|" + "---|" * len(head), *(f"| {' | '.join(map(str, r))} |" for r in rows)]
+    return [f"| {' | '.join(head)} |", "|" + "---|" * len(head), *(f"| {' | '.join(map(cell, r))} |" for r in rows)]
 
 
 def markdown(totals: DataFrame, evidence: DataFrame, maturity: DataFrame, snapshots: DataFrame) -> str:

@@ -9,6 +9,7 @@ back as a row with an error and no text. Options: `path` (a folder or one file t
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import stat
@@ -111,12 +112,14 @@ def skipped(rows: DataFrame) -> DataFrame:
 
 
 def project_acronyms(spark: SparkSession, path: str) -> list[str]:
-    """A project's known acronyms from a JSON array; anything unreadable or malformed gives none."""
+    """A project's known acronyms from a JSON array; anything unreadable or malformed gives none, and elements that
+    are no strings are left out."""
     try:
-        rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("a")).collect()
+        found = [json.loads(r.value) for r in spark.read.text(path, wholetext=True).collect()]
     except Exception:  # the list is optional, and so is the file
         return []
-    return [w for w in ((x or "").strip().upper() for r in rows for x in r.a or []) if w]
+    words = [w.strip().upper() for a in found if isinstance(a, list) for w in a if isinstance(w, str)]
+    return [w for w in words if w]
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
