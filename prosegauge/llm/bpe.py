@@ -279,7 +279,7 @@ class Encoder:
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The file names no decoder, so the tokens' names are joined by spaces, special tokens included."""
         names = self.names.take(pa.array(ids))
-        if ends[-1] > 1 << 31 or pc.sum(pc.binary_length(names)).as_py() > 1 << 31:  # beyond Arrow's shorter lists
+        if ends[-1] > 1 << 31 or (pc.sum(pc.binary_length(names)).as_py() or 0) > 1 << 31:  # beyond Arrow's shorter lists
             return pa.array([" ".join(names[a:b].to_pylist()) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.large_string())
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names.cast(pa.string())), " ")
 
