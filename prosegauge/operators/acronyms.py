@@ -2,7 +2,8 @@
 
 Looks back and ahead are windows over the words of a block: a few words for numerals, islands for runs of capitals, the
 nearest closing bracket and running counts of initials for expansions. Definitions are looked for line by line, in all
-lines that show. First uses and definitions meet in one aggregate by document and acronym.
+lines that show, within the document's row, and travel with its words. First uses and definitions meet in one aggregate
+by document and acronym. So the rule is one scan and two shuffles.
 
 Only documents with capitals in a row are cut into words. Whether a word is an everyday word is asked for words in
 capitals and the words before them alone.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicon as lex
 from prosegauge.functions.everyday import everyday
-from prosegauge.functions.text import WS
+from prosegauge.functions.text import WS, barrier, let
 from prosegauge.operators.structure import parsed
 
 #: The shapes of an acronym, and of one that a bracket holds behind its meaning.
@@ -33,10 +34,47 @@ def initials(text: Column) -> Column:
     return F.upper(F.array_join(F.transform(words, lambda x: F.substring(x, 1, 1)), ""))
 
 
-def tokens(lines: DataFrame) -> DataFrame:
-    """(doc, block, line, at, pos, raw): the words of lines (doc, block, line, text), in order."""
-    words = lines.select("doc", "block", "line", F.posexplode(F.filter(F.split("text", f"[{WS}]+"), lambda w: w != "")).alias("at", "raw"))
-    return words.withColumn("pos", F.shiftleft(F.col("line").cast("bigint"), 32) + F.col("at"))
+#: A word of a document, or a definition (then in block -1, with what it defines in `said`).
+ITEM = "array<struct<block:int,line:int,at:int,raw:string,said:string>>"
+
+
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, f"[{WS}]+"), lambda w: w != "")
+
+
+def block_words() -> Column:
+    """The words of all blocks, in order."""
+
+    def of_line(b: Column, text: Column, k: Column) -> Column:
+        return F.transform(_words(text), lambda w, i: F.struct(b.getField("line").alias("block"), (b.getField("line") + k).alias("line"), i.alias("at"), w.alias("raw"), F.lit(None).cast("string").alias("said")))
+
+    one = lambda b: F.flatten(F.transform(F.split(F.replace(b.getField("text"), F.lit("\x04"), F.lit("")), "\n"), lambda t, k: of_line(b, t, k)))
+    return F.flatten(F.transform("blocks", one)).cast(ITEM)
+
+
+def definitions() -> Column:
+    """`Alpha Beta Charlie (ABC)` in the lines that show; a plain document's are those of its blocks. Small words don't
+    count, so words without an initial go before the last few are read."""
+    line_of = lambda line, text: F.struct(line.alias("line"), text.alias("text"))
+    plain = F.flatten(F.transform("blocks", lambda b: F.transform(F.split(b.getField("text"), "\n"), lambda t, k: line_of(b.getField("line") + k, t))))
+    lines = F.filter(F.when(F.size("rows") > 0, F.transform("rows", lambda r: line_of(r.getField("line"), r.getField("text")))).otherwise(plain), lambda x: x.getField("text").rlike(DEFINED))
+
+    def of_line(x: Column) -> Column:
+        def word(w: Column, i: Column) -> Column:
+            return F.struct(i.alias("at"), initials(w).alias("ini"), F.replace(F.regexp_extract(w, DEFINED, 1), F.lit("."), F.lit("")).alias("key"), initials(F.substring_index(w, "(", 1)).alias("front"))
+
+        def spelt(words: Column) -> Column:
+            def one(w: Column, j: Column) -> Column:
+                before = F.concat(F.array_join(F.transform(F.slice(words, F.greatest(j - 11, F.lit(1)), F.least(j, F.lit(12))), lambda y: y.getField("ini")), ""), w.getField("front"))
+                n = F.length(w.getField("key"))
+                return F.when((n > 0) & (F.substr(before, F.greatest(F.length(before) - n + 1, F.lit(1)), n) == w.getField("key")), w)
+
+            return F.filter(F.transform(words, one), lambda w: w.isNotNull())
+
+        kept = F.filter(F.transform(_words(x.getField("text")), word), lambda w: (w.getField("ini") != "") | (w.getField("key") != ""))
+        return F.transform(let(kept, spelt), lambda w: F.struct(F.lit(-1).alias("block"), x.getField("line").alias("line"), w.getField("at").alias("at"), F.lit("").alias("raw"), w.getField("key").alias("said")))
+
+    return F.flatten(F.transform(lines, of_line)).cast(ITEM)
 
 
 def with_common(words: DataFrame, common: list[str] | DataFrame | None) -> DataFrame:
@@ -51,31 +89,16 @@ def with_common(words: DataFrame, common: list[str] | DataFrame | None) -> DataF
     return words.join(known, "look", "left").withColumn("common", F.coalesce("common", F.lit(False))).drop("look")
 
 
-def definitions(lines: DataFrame) -> DataFrame:
-    """(doc, key, pos) of `Alpha Beta Charlie (ABC)` in lines (doc, block, line, text)."""
-    words = tokens(lines.where(F.col("text").rlike(DEFINED)))
-    words = words.select("doc", "line", "pos", F.replace(F.regexp_extract("raw", DEFINED, 1), F.lit("."), F.lit("")).alias("key"), initials(F.col("raw")).alias("ini"), initials(F.substring_index("raw", "(", 1)).alias("front"))
-    # Small words don't count, so those without an initial go before the last few words are read.
-    w = Window.partitionBy("doc", "line").orderBy("pos").rowsBetween(-12, -1)
-    words = words.where("ini <> '' or key <> ''").withColumn("before", F.concat(F.array_join(F.collect_list("ini").over(w), ""), "front"))
-    n = F.length("key")
-    return words.where((n > 0) & (F.substr("before", F.greatest(F.length("before") - n + 1, F.lit(1)), n) == F.col("key"))).select("doc", "key", "pos")
-
-
 def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None) -> DataFrame:
     """Violations of acronym-undefined; known are the project's own acronyms."""
     rows = parsed(corpus.where(F.col("text").rlike(CANDIDATE)))
-    blocks = rows.select("doc", F.inline("blocks"))
-    lines = blocks.select("doc", F.col("line").alias("block"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc", "block", (F.col("block") + F.col("n")).alias("line"), F.replace("text", F.lit("\x04"), F.lit("")).alias("text"))
-    # A plain document has no rows for line rules: there the lines of its blocks are what shows.
-    shown = rows.select("doc", F.inline("rows")).select("doc", F.col("line").alias("block"), "line", "text")
-    plain = rows.where(F.size("rows") == 0).select("doc", F.inline("blocks")).select("doc", F.col("line").alias("block"), F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc", "block", (F.col("block") + F.col("n")).alias("line"), "text")
-    said = definitions(shown.union(plain))
+    items = barrier(rows.select("doc", F.concat(block_words(), definitions()).alias("items"))).select("doc", F.inline("items"))
+    items = items.withColumn("pos", F.shiftleft(F.col("line").cast("bigint"), 32) + F.col("at"))
     raw, bare = F.col("raw"), F.col("bare")
     core = F.regexp_replace(F.regexp_replace(raw, r"^[\"'“‘(\[{<]+", ""), r"(?<![\"'”’)\]}>,:;!?])[\"'”’)\]}>,:;!?]++$", "")
     core = F.when(core.rlike(SHAPE), core).otherwise(F.regexp_replace(core, r"\.$", ""))
     caps = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "(?<![^A-Za-z.])[^A-Za-z.]++$", "")
-    words = tokens(lines).select("*", F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
+    words = items.select("*", F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
     w = Window.partitionBy("doc", "block").orderBy("pos")
     words = words.withColumn("key", F.replace("token", F.lit("."), F.lit(""))).withColumn("lower", F.lower("bare"))
     ahead_of_token = F.coalesce(F.lead("token").over(w).isNotNull(), F.lit(False))
@@ -96,13 +119,13 @@ def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None =
     evidence = numbering(back[0]) | numbering(back[1]) | numbering(back[2]) | back[0].isin(lex.NAMED_BY_NUMERAL) | back[1].isin(lex.NAMED_BY_NUMERAL) | back[2].isin(lex.NAMED_BY_NUMERAL) | name | clear(back[0]) | clear(after) | joined
     rows = rows.withColumn("numeral", F.col("key").rlike(lex.ROMAN) & (clear(F.col("key")) | evidence))
     rows = expansions(rows, w)
-    rows = rows.select("doc", "line", "pos", "token", "key", "shouted", "numeral", "common", "expanded").where("token is not null")
-    rows = rows.where(~F.col("key").isin([*lex.KNOWN_ACRONYMS, *(known or [])]) & ~F.col("numeral"))
-    eligible = ~F.col("shouted") & ~F.col("common") & ~F.col("expanded")
-    uses = rows.select("doc", "key", F.when(eligible, F.struct("pos", "line", "token")).alias("use"), F.when(F.col("expanded"), F.col("pos")).alias("said"))
-    none = F.lit(None).cast(uses.schema["use"].dataType)
-    both = uses.union(said.select("doc", "key", none.alias("use"), F.col("pos").alias("said")))
-    first = both.groupBy("doc", "key").agg(F.min("use").alias("use"), F.min("said").alias("said"))
+    used = F.col("token").isNotNull() & ~F.col("key").isin([*lex.KNOWN_ACRONYMS, *(known or [])]) & ~F.col("numeral")
+    rows = rows.where(F.col("said").isNotNull() | used)
+    eligible = F.col("said").isNull() & ~F.col("shouted") & ~F.col("common") & ~F.col("expanded")
+    first = rows.groupBy("doc", F.coalesce("said", "key").alias("key")).agg(
+        F.min(F.when(eligible, F.struct("pos", "line", "token"))).alias("use"),
+        F.min(F.when(F.col("said").isNotNull() | F.col("expanded"), F.col("pos"))).alias("said"),
+    )
     rows = first.where(F.col("use").isNotNull() & (F.col("said").isNull() | (F.col("said") > F.col("use.pos"))))
     detail = F.concat(F.lit('define acronym "'), F.col("use.token"), F.lit('" on first use'))
     return rows.select("doc", F.lit("acronym-undefined").alias("rule"), F.col("use.line").cast("int").alias("line"), detail.alias("detail"), F.lit(lex.RULES.index("acronym-undefined")).alias("phase"), F.col("use.pos").alias("ord"))
