@@ -34,6 +34,13 @@ def initials(text: Column) -> Column:
     return F.upper(F.array_join(F.transform(words, lambda x: F.substring(x, 1, 1)), ""))
 
 
+def word_initials(raw: Column) -> Column:
+    """The same for a word between blanks, most of which are one run of letters."""
+    bare = F.regexp_replace(raw, "[^A-Za-z]++", "")
+    one = F.when(F.lower(bare).isin(lex.EXPANSION_STOP_WORDS), "").otherwise(F.upper(F.substring(bare, 1, 1)))
+    return F.when(raw.rlike("^[^A-Za-z]*+[A-Za-z]*+[^A-Za-z]*+$"), one).otherwise(initials(raw))
+
+
 #: A word of a document, or a definition (then in block -1, with what it defines in `said`).
 ITEM = "array<struct<block:int,line:int,at:int,raw:string,said:string>>"
 
@@ -98,7 +105,8 @@ def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None =
     core = F.regexp_replace(F.regexp_replace(raw, r"^[\"'“‘(\[{<]+", ""), r"(?<![\"'”’)\]}>,:;!?])[\"'”’)\]}>,:;!?]++$", "")
     core = F.when(core.rlike(SHAPE), core).otherwise(F.regexp_replace(core, r"\.$", ""))
     caps = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "(?<![^A-Za-z.])[^A-Za-z.]++$", "")
-    words = items.select("*", F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
+    # All that a word alone decides comes before the shuffle.
+    words = items.select("*", word_initials(raw).alias("ini"), F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
     w = Window.partitionBy("doc", "block").orderBy("pos")
     words = words.withColumn("key", F.replace("token", F.lit("."), F.lit(""))).withColumn("lower", F.lower("bare"))
     ahead_of_token = F.coalesce(F.lead("token").over(w).isNotNull(), F.lit(False))
@@ -135,7 +143,7 @@ def expansions(rows: DataFrame, w: Window) -> DataFrame:
     """Adds whether a bracket that opens one of the next three words spells the acronym up to its first closing one.
     The running number of initials tells whether it can, so only brackets of the right size are read."""
     raw = F.col("raw")
-    rows = rows.withColumn("ini", initials(raw)).withColumn("upto", F.sum(F.length("ini")).over(w))
+    rows = rows.withColumn("upto", F.sum(F.length("ini")).over(w))
     # From the end of the block: the nearest word with a closing bracket, from here on.
     back = Window.partitionBy("doc", "block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
     closing = F.when(raw.contains(")"), F.struct("pos", (F.col("upto") - F.length("ini")).alias("before"), initials(F.substring_index("raw", ")", 1)).alias("last")))

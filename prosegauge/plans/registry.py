@@ -17,8 +17,7 @@ from prosegauge.plans import carriers
 from prosegauge.plans.audit import audit, files, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: The rules whose findings in `documents` SQL can count too.
-COUNTED = ["sentence-length", "paragraph-length", "sentence-average", "complex-word"]
+ONE_SCAN = ["sentence-length", "paragraph-length", "sentence-average", "complex-word"]
 
 
 def _rule(rule: str, corpus: Query, key: str = "doc_id") -> Query:
@@ -49,30 +48,22 @@ def page_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("doc").alias("page_id"), "detail").agg(F.count("*").alias("n"))
 
 
-def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    corpus = carriers.documents(spark, sf_dir)
-    return corpus, audit(corpus, only=COUNTED)
-
-
 def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(_counted(spark, sf_dir)[1]).select(F.lit(config_hash()).alias("config_hash"), "rule", "n")
-
-
-def files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(*_counted(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
-
-
-def all_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rule_totals over all seventeen rules, which SQL can't follow."""
+    """Findings of all seventeen rules by rule."""
     return totals(audit(carriers.documents(spark, sf_dir))).select(F.lit(config_hash()).alias("config_hash"), "rule", "n")
 
 
-def all_files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files_summary over all seventeen rules, which SQL can't follow."""
+def files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all seventeen rules by document, clean documents included."""
     corpus = carriers.documents(spark, sf_dir)
     return files(corpus, audit(corpus)).withColumnRenamed("doc", "doc_id")
 
 
+def plain_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the rules on sentences and words, which one scan and no shuffle but the count give."""
+    return totals(audit(carriers.documents(spark, sf_dir), only=ONE_SCAN)).select(F.lit(config_hash()).alias("config_hash"), "rule", "n")
+
+
 def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seventeen rules over all corpora; totals by corpus."""
     rows = audit(carriers.everything(spark, sf_dir))
@@ -137,8 +128,9 @@ def queries() -> dict[str, Query]:
         "page_link_text": page_link_text,
         "rule_totals": rule_totals,
         "files_summary": files_summary,
-        "all_rule_totals": all_rule_totals,
-        "all_files_summary": all_files_summary,
+        "plain_rule_totals": plain_rule_totals,
+        "all_rule_totals": rule_totals,
+        "all_files_summary": files_summary,
         "full_audit": full_audit,
         "evidence_sweep": evidence_sweep,
         "maturity_score": maturity_score,
@@ -334,14 +326,15 @@ select part, line, case when label = '' then 'link has no text; say where it goe
 from k where not image and target <> '' and (label = '' or lower(label) in ({vague}) or regexp_matches(label, '(?i)^<?(?:https?://|www\.)'))""",
         "image_alt": rf"with {_lines('links')}, {LINKS} select part, line, 'image has no alternative text (' || target[1:40] || ')' as detail from k where image and label = '' and target <> ''",
         "acronym_undefined": f"with {_acronyms().strip()} select * from au",
+        "rule_totals": f"with {_everywhere().strip()} select '{config_hash()}' as config_hash, rule, count(*) as n from ar group by rule",
+        "files_summary": f"with {_everywhere().strip()}, k as (select doc_id, count(*) as n, count(distinct rule) as r from ar group by doc_id) select documents.doc_id, coalesce(n, 0)::bigint as n_violations, coalesce(r, 0)::bigint as n_rules from documents left join k using (doc_id)",
         "all_rule_totals": f"with {_everywhere().strip()} select '{config_hash()}' as config_hash, rule, count(*) as n from ar group by rule",
         "all_files_summary": f"with {_everywhere().strip()}, k as (select doc_id, count(*) as n, count(distinct rule) as r from ar group by doc_id) select documents.doc_id, coalesce(n, 0)::bigint as n_violations, coalesce(r, 0)::bigint as n_rules from documents left join k using (doc_id)",
         "page_link_text": rf"""with p as (select page_id, case when page_id % 3 = 0 then regexp_replace(html, '>[^<>]*</a>', '>' || {_pick(lex.VAGUE_LINKS, "page_id")} || '</a>', 'g') else html end as html from pages),
 a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a\s*>')) as e from p),
 b as (select page_id, trim(regexp_replace(regexp_replace(regexp_extract(e, '(?is)^<a\b[^>]*>(.*?)</a\s*>$', 1), '<[^>]*>', ' ', 'g'), '[*_~`]', '', 'g')) as label, regexp_extract(e, 'href="([^"]*)"', 1) as target from a)
 select page_id, case when label = '' then 'link has no text; say where it goes' else 'link text "' || label || '" describes no destination (' || target[1:40] || ')' end as detail, count(*) as n from b where label = '' or lower(label) in ({vague}) or regexp_matches(label, '(?i)^(?:https?://|www\.)') group by all""",
-        "rule_totals": f"with {s} select '{config_hash()}' as config_hash, rule, count(*) as n from ({union}) group by rule",
-        "files_summary": f"with {s}, u as ({union}), k as (select doc_id, count(*) as n, count(distinct rule) as r from u group by doc_id) select documents.doc_id, coalesce(n, 0)::bigint as n_violations, coalesce(r, 0)::bigint as n_rules from documents left join k using (doc_id)",
+        "plain_rule_totals": f"with {s} select '{config_hash()}' as config_hash, rule, count(*) as n from ({union}) group by rule",
         "evidence_sweep": f"""with c(category, pattern) as (values {categories}),
 p as (select {_pick(NAMES, "page_id")} || page_id || case when page_id % 4 = 2 then '.yml' else '.md' end as path, page_id % 8 = 2 as linted from pages),
 h as (select category, path from c join p on regexp_matches(lower(path), pattern) or category = 'automated-checks' and linted and regexp_matches(lower(path), {_q(lex.WORKFLOW_PATH)}))

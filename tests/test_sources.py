@@ -5,6 +5,7 @@ from prosegauge.operators import governance
 from prosegauge.plans import report
 from prosegauge.plans.audit import totals
 from prosegauge.sources.corpus import documents, project_acronyms, read_answers, read_folder, skipped
+from prosegauge.streaming.hook import after_write
 from prosegauge.streaming.monitor import changes, monitor
 
 
@@ -64,3 +65,14 @@ def test_monitor(spark, tmp_path):
         monitor(stream, out, str(tmp_path / "check"), common, ["legalese"]).awaitTermination()
     got = changes(spark.read.parquet(f"{out}/counts")).collect()
     assert [(r.doc, r.rule, r.change) for r in got] == [("a", "legalese", -2)]
+
+
+def test_hook_says_one_line_a_rule(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "0.json").write_text("\n".join(json.dumps({"doc": d, "text": t}) for d, t in (("b", "We shall. They shall."), ("a", "Ok.\n\nWe shall utilise it."), ("c", None))))
+    for on, want in ((True, ["legalese: 3 in 2 documents, first at a:3", "complex-word: 1 in 1 documents, first at a:3"]), (False, [])):
+        said = []
+        stream = spark.readStream.schema("doc string, text string").json(str(folder))
+        after_write(stream, said.append, str(tmp_path / f"check-{on}"), on).awaitTermination()
+        assert said == want

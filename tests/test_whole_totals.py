@@ -24,7 +24,7 @@ FIXTURE = [
 def test_totals_of_all_rules(spark, tmp_path):
     rows = [(k, text) for k, (text, _) in enumerate(FIXTURE)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.rule: r.n for r in registry.queries()["all_rule_totals"](spark, str(tmp_path)).collect()}
+    got = {r.rule: r.n for r in registry.queries()["rule_totals"](spark, str(tmp_path)).collect()}
     assert got == Counter(rule for _, rules in FIXTURE for rule in rules)
-    got = {r.doc_id: (r.n_violations, r.n_rules) for r in registry.queries()["all_files_summary"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_violations, r.n_rules) for r in registry.queries()["files_summary"](spark, str(tmp_path)).collect()}
     assert got == {k: (len(rules), len(set(rules))) for k, (_, rules) in enumerate(FIXTURE)}
