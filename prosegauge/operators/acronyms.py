@@ -107,6 +107,8 @@ def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None =
     caps = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "(?<![^A-Za-z.])[^A-Za-z.]++$", "")
     # All that a word alone decides comes before the shuffle.
     words = items.select("*", word_initials(raw).alias("ini"), F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
+    # The windows are work on processors more than on bytes, so their partitions are not merged by size.
+    words = words.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "block")
     w = Window.partitionBy("doc", "block").orderBy("pos")
     words = words.withColumn("key", F.replace("token", F.lit("."), F.lit(""))).withColumn("lower", F.lower("bare"))
     ahead_of_token = F.coalesce(F.lead("token").over(w).isNotNull(), F.lit(False))
@@ -155,8 +157,9 @@ def expansions(rows: DataFrame, w: Window) -> DataFrame:
     within = o.getField("close").getField("pos") == o.getField("pos")
     size = F.length(o.getField("first")) + (o.getField("close").getField("before") - o.getField("upto")) + F.length(o.getField("close").getField("last"))
     fits = F.col("token").isNotNull() & o.isNotNull() & ~within & (size == F.length("key"))
-    # The initials from here on; words without one are no part of the frame's text.
-    ahead = F.collect_list(F.when(F.col("ini") != "", F.struct("pos", "ini"))).over(w.rowsBetween(1, LONGEST))
+    # The initials from here on, in blocks that hold a bracket; words without one are no part of the frame's text.
+    rows = rows.withColumn("brackets", F.max(raw.startswith("(")).over(Window.partitionBy("doc", "block")))
+    ahead = F.collect_list(F.when(F.col("brackets") & (F.col("ini") != ""), F.struct("pos", "ini"))).over(w.rowsBetween(1, LONGEST))
     between = F.filter(ahead, lambda x: (x.getField("pos") > o.getField("pos")) & (x.getField("pos") < o.getField("close").getField("pos")))
     spelt = F.concat(o.getField("first"), F.array_join(F.transform(between, lambda x: x.getField("ini")), ""), o.getField("close").getField("last"))
     one_word = F.col("token").isNotNull() & o.isNotNull() & within & (o.getField("whole") == F.col("key"))
