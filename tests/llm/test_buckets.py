@@ -9,16 +9,16 @@ from prosegauge.llm import minhash_dedup
 
 def test_a_large_bucket_is_split_without_losing_a_pair(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    n = 3000
+    n = 900
     digests = rng.integers(-(2**62), 2**62, (n, 24))
-    near = [(int(a), int(b)) for a, b in rng.integers(0, n, (60, 2)) if a != b]
+    near = [(int(a), int(b)) for a, b in rng.integers(0, n, (30, 2)) if a != b]
     for a, b in near:
         digests[b] = digests[a]
     rows = [(7, k, k, 100, digests[k].tolist(), [7]) for k in range(n)]
     schema = "band bigint, node bigint, component bigint, size bigint, digest array<bigint>, bands array<bigint>"
     named = spark.createDataFrame(rows, schema).repartition(4)
     want = {(a, b) for v in _groups(digests).values() for i, a in enumerate(v) for b in v[i + 1 :]}
-    for cell in (10**9, 400):
+    for cell in (10**9, 120):
         monkeypatch.setattr(minhash_dedup, "CELL", cell)
         got = [(r.a, r.b) for r in minhash_dedup.apart(named, 85).collect()]
         assert len(got) == len(set(got)) and set(got) == want
