@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import bpe, decontamination, html_text, language_id, license_scan, minhash_dedup, quality_classifier, quality_rules, token_tables, warc
+from prosegauge.llm import (
+    bpe,
+    decontamination,
+    html_text,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    ranked_search,
+    spelling_variants,
+    token_tables,
+    warc,
+)
 from prosegauge.llm.common import table
 
 #: A file of the public tokenizers, which lie at the same place on every machine.
@@ -55,6 +69,18 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("shard")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -67,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_tables": op10_token_tables,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_personal_data": op12_personal_data,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -76,4 +105,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_dedup": minhash_dedup.sql(),
         "op7_warc": warc.sql(),
         "op9_quality_rules": quality_rules.sql(),
+        "op11_ranked_search": ranked_search.sql(),
+        "op13_spelling_variants": spelling_variants.sql(),
     }
