@@ -138,6 +138,8 @@ def features(text: str, span: Span) -> list[int]:
     letters = sum(c.isalpha() for c in s)
     before = text[max(0, start - BEFORE) : start].lower()
     ahead, behind = text[start - 1 : start], text[end : end + 1]
+    # A group of digits on the other side of a blank: the candidate may be part of something longer.
+    beside = [int(c.isdigit()) for c in (text[max(0, start - 2) : max(0, start - 1)], text[end + 1 : end + 2])]
     lower, upper = sum(c.islower() for c in s), sum(c.isupper() for c in s)
     return [
         *(int(kind == k) for k in range(len(KINDS))),
@@ -145,7 +147,7 @@ def features(text: str, span: Span) -> list[int]:
         int(len(digits) > 1 and luhn(digits)), int(kind == 4 and _iban(s)), int(bool(digits) and digits[:2] in ("19", "20")), int(digits[:1] or 10),
         len(set(s)), s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count(":"), s.count("("), lower, upper,
         int(all(c in "0123456789abcdefABCDEF" for c in s)), int(lower > 0 and upper > 0 and bool(digits)), int(any(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))),
-        *(int(bool(c.search(before))) for c in CUE),
+        *(int(bool(c.search(before))) for c in CUE), *beside,
         int(ahead in "\"'=:" and ahead != ""), int(ahead in ".,-/$€#" and ahead != ""), int(behind in "\"'" and behind != ""), int(behind in "%$€-/" and behind != ""),
     ]
 
@@ -229,12 +231,16 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The least threshold of 0.5 or more that keeps the precision asked for; beyond 1 where none does."""
+    """A threshold of 0.5 or more, as low as the precision asked for allows: midway between the last score taken and the
+    next; beyond 1 where none has that precision."""
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
     ends = np.append(np.diff(p[order]) != 0, True) if len(p) else np.zeros(0, bool)
     fits = np.flatnonzero((right >= PRECISION) & ends & (p[order] >= 0.5))
-    return float(p[order][fits[-1]]) if len(fits) else 2.0
+    if not len(fits):
+        return 2.0
+    taken, left = p[order][fits[-1]], np.append(p[order], 0.0)[fits[-1] + 1]
+    return max(0.5, float(taken + left) / 2)
 
 
 class Planter:
