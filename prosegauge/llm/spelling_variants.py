@@ -4,8 +4,9 @@ Pivotal grams (Deng, Li and Feng 2014) find the pairs. Bigrams are ranked by how
 them. A word's *prefix* is its three rarest bigrams, with all places of the last of them; its *pivots* are two bigrams
 of the prefix that share no character, picked by dynamic programming for the least sum of occurrences. One edit touches
 one pivot at most, so of two near words the one whose prefix ends at the lower rank keeps a pivot that stands in the
-other's prefix, at a place and length that the edit allows. That is an equality join of pivots with prefixes; the
-distance itself confirms what it finds.
+other's prefix, at a place and length that the edit allows. The edit is on one side of that pivot, so all on the other
+side, pivot included, is alike too: pivots are joined with prefixes by the length and a checksum of that side, which
+tells place and bigram as well. The distance itself confirms what the join finds.
 
 Occurrences are counted within tasks first, so a frequent word is a row a task. The one thing that is sent to all tasks
 is the table of bigram ranks, which the alphabet bounds at 90 x 90 entries. Chains of forms at least double the count
@@ -33,8 +34,6 @@ SHORTEST, FEWEST, ONE_IN = 5, 3, 97
 RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{SHORTEST},}}")
 #: Words held by a task before it passes their counts on.
 HELD = 300_000
-#: Where a bigram that an edit leaves alone stands in the other word: shift of place, change of length.
-SHIFTS = [(0, 0), (0, 1), (1, 1), (0, -1), (-1, -1)]
 
 
 def words_of(doc_id: str | None, text: str) -> Iterator[tuple[str, int]]:
@@ -92,41 +91,53 @@ def pivots(prefix: list[tuple[int, int]]) -> list[int]:
     return pair
 
 
-def signature(word: str, ranks: dict[str, tuple[int, int]]) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
-    """(rank at which the prefix ends, prefix, pivots), the last two as (rank, place)."""
+def halves(word: str) -> tuple[list[int], list[int]]:
+    """Checksums of word[:k] and of word[k:] for each k, in one pass each way."""
+    raw = word.encode("utf-16-le")  # two bytes a character
+    ahead, behind = [0], [0]
+    for k in range(0, len(raw), 2):
+        ahead.append(zlib.crc32(raw[k : k + 2], ahead[-1]))
+        behind.append(zlib.crc32(raw[len(raw) - k - 2 : len(raw) - k], behind[-1]))
+    return ahead, behind[::-1]
+
+
+def key(checksum: int, side: int, length: int) -> int:
+    return checksum | side << 32 | length << 33
+
+
+def signature(word: str, ranks: dict[str, tuple[int, int]]) -> tuple[int, list[int], list[int]]:
+    """(rank at which the prefix ends, keys of the prefix, keys of the pivots). A key is a word's length with all up to
+    a bigram, or all from it on; a pivot has one for each length that its partner may have."""
     grams = [(*ranks[word[k : k + 2]], k) for k in range(len(word) - 1)]
     last = sorted(r for r, _, _ in grams)[2]
-    prefix = [(r, k, n) for r, n, k in grams if r <= last]
-    chosen = pivots([(k, n) for _, k, n in prefix])
-    return last, [(r, k) for r, k, _ in prefix], [prefix[i][:2] for i in chosen]
+    prefix = [(k, n) for r, n, k in grams if r <= last]
+    ahead, behind = halves(word)
+    keys = lambda at, size: [key(ahead[at + 2], 0, size), key(behind[at], 1, size)]
+    held = [x for at, _ in prefix for x in keys(at, len(word))]
+    asked = [x for i in pivots(prefix) for size in (len(word) - 1, len(word), len(word) + 1) for x in keys(prefix[i][0], size)]
+    return last, held, asked
 
 
 def signatures(words: DataFrame, ranked: list[tuple[str, int]]) -> DataFrame:
-    """(word, n, len, last, prefix, pivots) of each word."""
+    """(word, n, last, held, asked) of each word."""
     ranks = {g: (k, n) for k, (g, n) in enumerate(ranked)}
-    places = pa.list_(pa.struct([("gram", pa.int32()), ("at", pa.int32())]))
-    names = ["word", "n", "len", "last", "prefix", "pivots"]
+    keys = pa.list_(pa.int64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            made = [signature(w, ranks) for w in texts]
-            as_rows = lambda k: pa.array([[{"gram": g, "at": p} for g, p in m[k]] for m in made], places)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, texts), pa.int32()), pa.array((m[0] for m in made), pa.int32()), as_rows(1), as_rows(2)], names=names)
+            last, held, asked = zip(*(signature(w, ranks) for w in batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last, pa.int32()), pa.array(held, keys), pa.array(asked, keys)], names=["word", "n", "last", "held", "asked"])
 
-    at = "array<struct<gram:int,at:int>>"
-    return words.select("word", "n").mapInArrow(work, f"word string, n bigint, len int, last int, prefix {at}, pivots {at}")
+    return words.select("word", "n").mapInArrow(work, "word string, n bigint, last int, held array<bigint>, asked array<bigint>")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n), a < b: all pairs of words at distance 1. words: (word, n), read more than once."""
     signed = signatures(words, gram_ranks(words))
-    shifts = F.array(*(F.struct(F.lit(s).alias("shift"), F.lit(d).alias("grown")) for s, d in SHIFTS))
-    ask = signed.select("word", "n", "len", "last", F.explode("pivots").alias("g")).select("*", F.explode(shifts).alias("s"))
-    ask = ask.select(F.col("g.gram").alias("gram"), (F.col("g.at") + F.col("s.shift")).alias("at"), (F.col("len") + F.col("s.grown")).alias("len"), F.col("word").alias("x"), F.col("n").alias("x_n"), F.col("last").alias("x_last"))
-    held = signed.select("word", "n", "len", "last", F.explode("prefix").alias("g")).select(F.col("g.gram").alias("gram"), F.col("g.at").alias("at"), "len", F.col("word").alias("y"), F.col("n").alias("y_n"), F.col("last").alias("y_last"))
+    ask = signed.select(F.explode("asked").alias("key"), F.col("word").alias("x"), F.col("n").alias("x_n"), F.col("last").alias("x_last"))
+    held = signed.select(F.explode("held").alias("key"), F.col("word").alias("y"), F.col("n").alias("y_n"), F.col("last").alias("y_last"))
     near = (F.col("x_last") <= F.col("y_last")) & (F.col("x") != F.col("y")) & (F.levenshtein("x", "y", 1) == 1)
-    found = ask.join(held, ["gram", "at", "len"]).where(near)
+    found = ask.join(held, "key").where(near)
     first = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     return found.select(pick("x", "y").alias("a"), pick("x_n", "y_n").alias("a_n"), pick("y", "x").alias("b"), pick("y_n", "x_n").alias("b_n")).distinct()
