@@ -1,17 +1,21 @@
 """Acronyms that a document uses before it says what they stand for.
 
-Looks back and ahead are windows over the words of a block: a few words for numerals, islands for runs of capitals, the
-nearest closing bracket and running counts of initials for expansions. Definitions are looked for line by line, in all
-lines that show, within the document's row, and travel with its words. First uses and definitions meet in one aggregate
-by document and acronym. So the rule is one scan and two shuffles.
+The rule is one column over a parsed document, as all others are. A block's words become an array of small structs, and
+only blocks with capitals in a row are cut up. Looks back and ahead are places in that array; runs of capitals are runs
+of one letter in a *class string*, which has a character for each word; expansions are read from a second array, of the
+words that have an initial or close a bracket, as many of them as the acronym has letters. Uses and definitions of the
+document then meet in one sorted array, in which the first entry of an acronym tells all. So nothing is shuffled, no
+window is opened, and a document is scanned with its other rules.
 
-Only documents with capitals in a row are cut into words. Whether a word is an everyday word is asked for words in
-capitals and the words before them alone.
+Work is linear in a block but for one odd mixture: many dotted acronyms of the letter A alone (whose letters count as
+small words and so as no initials) between many brackets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicon as lex
@@ -22,10 +26,14 @@ from prosegauge.operators.structure import parsed
 #: The shapes of an acronym, and of one that a bracket holds behind its meaning.
 SHAPE = r"^(?:[A-Z]{2,6}|[A-Z]\.(?:[A-Z]\.)+)$"
 DEFINED = r"\(([A-Z][A-Z.]{1,5})\)"
-#: Documents without this can't have an acronym and are not cut into words.
+#: Blocks without this can't have an acronym and are not cut into words.
 CANDIDATE = r"[A-Z]{2}|[A-Z]\.[A-Z]\."
-#: Words with an initial that are read for an expansion: an acronym has at most as many letters.
-LONGEST = 64
+#: What an entry of a document is; at one place a definition comes first.
+SAID, USED = 0, 1
+#: Tables of everyday words up to this size become part of the plan; larger ones are joined.
+LISTED = 50_000
+
+Test = Callable[[Column], Column]
 
 
 def initials(text: Column) -> Column:
@@ -41,25 +49,153 @@ def word_initials(raw: Column) -> Column:
     return F.when(raw.rlike("^[^A-Za-z]*+[A-Za-z]*+[^A-Za-z]*+$"), one).otherwise(initials(raw))
 
 
-#: A word of a document, or a definition (then in block -1, with what it defines in `said`).
-ITEM = "array<struct<block:int,line:int,at:int,raw:string,said:string>>"
+def _event(key: Column, line: Column, at: Column, kind: Column, token: Column) -> Column:
+    place = F.shiftleft(line.cast("bigint"), 32) + at
+    return F.struct(key.alias("key"), place.alias("pos"), kind.alias("kind"), line.alias("line"), token.alias("token"))
 
 
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, f"[{WS}]+"), lambda w: w != "")
 
 
-def block_words() -> Column:
-    """The words of all blocks, in order."""
+def bare(raw: Column) -> Column:
+    return F.regexp_replace(raw, "[^A-Za-z]++", "")
+
+
+def token_of(raw: Column) -> Column:
+    """The acronym that a word between blanks is, without what stands around it; null for other words."""
+    core = F.regexp_replace(F.regexp_replace(raw, r"^[\"'“‘(\[{<]+", ""), r"(?<![\"'”’)\]}>,:;!?])[\"'”’)\]}>,:;!?]++$", "")
+    return let(F.when(core.rlike(SHAPE), core).otherwise(F.regexp_replace(core, r"\.$", "")), lambda c: F.when(c.rlike(SHAPE), c))
+
+
+def in_capitals(raw: Column) -> Column:
+    core = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "(?<![^A-Za-z.])[^A-Za-z.]++$", "")
+    return let(core, lambda c: c.rlike(SHAPE) | c.rlike("^[A-Z]{2,}$"))
+
+
+def _raw_words(b: Column) -> Column:
+    """(line, at, raw) of a block's words, in order."""
+    lines = F.split(F.replace(b.getField("text"), F.lit("\x04"), F.lit("")), "\n")
+    return F.flatten(F.transform(lines, lambda t, k: F.transform(_words(t), lambda w, i: F.struct((b.getField("line") + k).alias("line"), i.alias("at"), w.alias("raw")))))
+
+
+def _judged(words: Column, common: Test, brackets: Column) -> Column:
+    """Adds what each word alone decides. Only words with capitals in a row are looked at closely; initials are needed
+    in blocks with brackets."""
+
+    def one(x: Column) -> Column:
+        raw = x.getField("raw")
+        hot = raw.rlike(r"[A-Z]{2}|[A-Z]\.[A-Z]")
+        token, caps = F.when(hot, token_of(raw)), hot & in_capitals(raw)
+        return let(
+            F.struct(token.alias("token"), caps.alias("caps")),
+            lambda j: F.struct(
+                x.getField("line").alias("line"), x.getField("at").alias("at"), raw.alias("raw"), j.getField("token").alias("token"), j.getField("caps").alias("caps"),
+                (j.getField("caps") | j.getField("token").isNotNull()) & common(F.lower(bare(raw))),
+                raw.startswith("(").alias("opens"), raw.contains(")").alias("closes"), F.when(brackets, word_initials(raw)).otherwise("").alias("ini"),
+            ),
+        )
+
+    kind = "array<struct<line:int,at:int,raw:string,token:string,caps:boolean,common:boolean,opens:boolean,closes:boolean,ini:string>>"
+    return F.transform(words, one).cast(kind)
+
+
+def _shouted(words: Column) -> Column:
+    """For each word whether it is part of a run of capitals that is shouting: mostly everyday words. In the class
+    string C is an everyday word in capitals, c another one, and a point any other word."""
+    classes = F.array_join(F.transform(words, lambda x: F.when(x.getField("caps") & x.getField("common"), "C").when(x.getField("caps"), "c").otherwise(".")), "")
+
+    def verdict(run: Column) -> Column:
+        n, usual = F.length(run), F.length(F.replace(run, F.lit("c"), F.lit("")))
+        return ~run.startswith(".") & (n >= 2) & F.when(n == 2, usual == 2).otherwise(2 * usual >= n)
+
+    return F.flatten(F.transform(F.regexp_extract_all(classes, F.lit("[Cc]++|[.]++"), F.lit(0)), lambda run: F.array_repeat(verdict(run), F.length(run))))
+
+
+def _numeral(words: Column, i: Column, key: Column, common: Test) -> Column:
+    """Numbering words or titles up to three words back, a name just before, or a clear numeral beside."""
+
+    def judge(near: Column) -> Column:
+        back = [near.getField(f"b{k}") for k in range(1, 6)]
+        clear = lambda c: (F.length(c) >= 4) & c.rlike(lex.ROMAN) & ~c.isin(lex.NUMERAL_EXCEPTIONS)
+        numbering = lambda c: F.lower(c).isin(lex.NUMBERING)
+        name = back[0].rlike("^[A-Z][a-z]{4,}$") & ~common(F.lower(back[0])) & ~numbering(back[0])
+        listed = lambda k: back[k].rlike(lex.ROMAN) & (back[k] != "") & numbering(back[k + 1])
+        joined = F.lower(back[0]).isin("and", "or", "to", "through") & (listed(1) | listed(2) | listed(3) | clear(back[1]) | clear(back[2]) | clear(back[3]))
+        titles = lambda k: numbering(back[k]) | back[k].isin(lex.NAMED_BY_NUMERAL)
+        return clear(key) | titles(0) | titles(1) | titles(2) | name | clear(back[0]) | clear(near.getField("after")) | joined
+
+    at = lambda k: F.coalesce(bare(F.get(words, i + k).getField("raw")), F.lit(""))
+    near = F.struct(*(at(-k).alias(f"b{k}") for k in range(1, 6)), at(1).alias("after"))
+    return F.when(key.rlike(lex.ROMAN), let(near, judge)).otherwise(False)
+
+
+def _candidates(words: Column, known: list[str], common: Test) -> Column:
+    """Adds key and shouted to the words that may be uses (key is null for all others), and their place."""
+
+    def mark(shouted: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            key = F.replace(x.getField("token"), F.lit("."), F.lit(""))
+            use = x.getField("token").isNotNull() & ~x.getField("common")
+            key = F.when(use, let(key, lambda k: F.when(~k.isin(known) & ~_numeral(words, i, k, common), k)))
+            return F.struct(*(x.getField(f).alias(f) for f in ("line", "at", "raw", "token", "opens", "closes", "ini")), i.alias("i"), key.alias("key"), F.get(shouted, i).alias("shouted"))
+
+        return F.transform(words, one)
 
-    def of_line(b: Column, text: Column, k: Column) -> Column:
-        return F.transform(_words(text), lambda w, i: F.struct(b.getField("line").alias("block"), (b.getField("line") + k).alias("line"), i.alias("at"), w.alias("raw"), F.lit(None).cast("string").alias("said")))
+    return let(_shouted(words), mark)
 
-    one = lambda b: F.flatten(F.transform(F.split(F.replace(b.getField("text"), F.lit("\x04"), F.lit("")), "\n"), lambda t, k: of_line(b, t, k)))
-    return F.flatten(F.transform("blocks", one)).cast(ITEM)
 
+def _counts(x: Column) -> Column:
+    """Whether a word is one of the short array: it has an initial, closes a bracket or may be a use."""
+    return (x.getField("ini") != "") | x.getField("closes") | x.getField("key").isNotNull()
 
-def definitions() -> Column:
+
+def _expanded(words: Column, short: Column, x: Column, j: Column, spare: Column) -> Column:
+    """Whether a bracket that opens one of the next three words spells the acronym up to its first closing one. j: the
+    word's place in the short array; spare: how many words of that array may have no initial."""
+    key, i = x.getField("key"), x.getField("i")
+    word = lambda k: F.get(words, i + k)
+    opens = lambda k: F.coalesce(word(k).getField("opens"), F.lit(False))
+    ahead = F.when(opens(1), 1).when(opens(2), 2).when(opens(3), 3)
+
+    def spelt(k: Column) -> Column:
+        raw = F.substr(word(k).getField("raw"), F.lit(2))
+        skipped = sum((F.when((k >= n) & _counts(word(n)), 1).otherwise(0) for n in (1, 2, 3)), F.lit(0))
+
+        def within(rest: Column) -> Column:
+            ends = F.get(F.filter(F.transform(rest, lambda e, n: F.when(e.getField("closes"), n)), lambda n: n.isNotNull()), F.lit(0))
+            whole = lambda n: F.concat(initials(raw), F.array_join(F.transform(F.slice(rest, F.lit(1), n), lambda e: e.getField("ini")), ""), initials(F.substring_index(F.get(rest, n).getField("raw"), ")", 1)))
+            return let(ends, lambda n: F.when(n.isNotNull(), whole(n)))
+
+        inside = let(F.slice(short, j + skipped + 2, F.length(key) + 1 + spare), within)
+        return F.when(raw.contains(")"), initials(F.substring_index(raw, ")", 1))).otherwise(inside)
+
+    return let(ahead, lambda k: F.coalesce(F.when(k.isNotNull(), spelt(k) == key), F.lit(False)))
+
+
+def _uses(b: Column, known: list[str], common: Test) -> Column:
+    """A block's entries: uses, and acronyms that a bracket behind them spells."""
+
+    def entries(words: Column, brackets: Column) -> Column:
+        def of_short(short: Column) -> Column:
+            def one(x: Column, j: Column, spare: Column) -> Column:
+                kind = F.when(brackets & _expanded(words, short, x, j, spare), SAID).when(~x.getField("shouted"), USED)
+                return F.when(x.getField("key").isNotNull(), let(kind, lambda k: F.when(k.isNotNull(), _event(x.getField("key"), x.getField("line"), x.getField("at"), k, x.getField("token")))))
+
+            blank = F.size(F.filter(short, lambda x: (x.getField("ini") == "") & ~x.getField("closes")))
+            return let(blank, lambda spare: F.filter(F.transform(short, lambda x, j: one(x, j, spare)), lambda e: e.isNotNull()))
+
+        return let(F.filter(words, _counts), of_short)
+
+    def of_words(brackets: Column) -> Column:
+        judged = _judged(_raw_words(b), common, brackets)
+        return let(judged, lambda w: let(_candidates(w, known, common), lambda c: entries(c, brackets)))
+
+    # Whether the text has a bracket is asked once, not for each word.
+    return let(b.getField("text").contains("("), of_words)
+
+
+def _definitions() -> Column:
     """`Alpha Beta Charlie (ABC)` in the lines that show; a plain document's are those of its blocks. Small words don't
     count, so words without an initial go before the last few are read."""
     line_of = lambda line, text: F.struct(line.alias("line"), text.alias("text"))
@@ -79,88 +215,61 @@ def definitions() -> Column:
             return F.filter(F.transform(words, one), lambda w: w.isNotNull())
 
         kept = F.filter(F.transform(_words(x.getField("text")), word), lambda w: (w.getField("ini") != "") | (w.getField("key") != ""))
-        return F.transform(let(kept, spelt), lambda w: F.struct(F.lit(-1).alias("block"), x.getField("line").alias("line"), w.getField("at").alias("at"), F.lit("").alias("raw"), w.getField("key").alias("said")))
+        return F.transform(let(kept, spelt), lambda w: _event(w.getField("key"), x.getField("line"), w.getField("at"), F.lit(SAID), F.lit("")))
+
+    return F.flatten(F.transform(lines, of_line))
+
+
+def undefined(known: list[str] | None = None, common: Test | None = None) -> Column:
+    """The rule's findings in a parsed document, in order of acronyms."""
+    test = common or listed(everyday())
+    every = [*lex.KNOWN_ACRONYMS, *(known or [])]
+    uses = F.flatten(F.transform(F.filter("blocks", lambda b: b.getField("text").rlike(CANDIDATE)), lambda b: _uses(b, every, test)))
+
+    def first(events: Column) -> Column:
+        def one(e: Column, n: Column) -> Column:
+            begins = (n == 0) | (F.get(events, n - 1).getField("key") != e.getField("key"))
+            detail = F.concat(F.lit('define acronym "'), e.getField("token"), F.lit('" on first use'))
+            return F.when(begins & (e.getField("kind") == USED), F.struct(e.getField("line").cast("int").alias("line"), detail.alias("detail"), e.getField("pos").alias("ord")))
+
+        return F.filter(F.transform(events, one), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(lines, of_line)).cast(ITEM)
+    found = lambda u: let(F.sort_array(F.concat(u, _definitions())), first)
+    return let(uses, lambda u: F.when(F.size(u) > 0, found(u)).otherwise(F.array().cast("array<struct<line:int,detail:string,ord:bigint>>")))
 
 
-def with_common(words: DataFrame, common: list[str] | DataFrame | None) -> DataFrame:
-    """Adds whether `lower` is an everyday word, where `asked`. A list is looked up in place. A table is cut down to the
-    words that are asked for first, and words that are not asked for are spread over keys of their own."""
+def listed(words: list[str] | tuple[str, ...]) -> Test:
+    """A test for the words of a list. Small words are everyday words in any list."""
+    every = sorted({*words, *lex.EXPANSION_STOP_WORDS})
+    return lambda w: w.isin(every)
+
+
+def everyday_test(rows: DataFrame, common: list[str] | tuple[str, ...] | DataFrame | None) -> tuple[DataFrame, Test]:
+    """Parsed documents and the test for everyday words. A list, or a table (word) of up to LISTED rows, is part of the
+    plan. A larger table is joined with the words that are asked for; each document then carries those of its own."""
+    if common is None:
+        return rows, listed(everyday())
     if not isinstance(common, DataFrame):
-        return words.withColumn("common", F.col("asked") & F.col("lower").isin(list(everyday() if common is None else common)))
-    spread = F.concat(F.lit("\x01"), F.pmod(F.xxhash64("doc", "pos"), F.lit(4096)).cast("string"))
-    words = words.withColumn("look", F.when(F.col("asked"), F.col("lower")).otherwise(spread))
-    asked = words.where("asked").select(F.col("lower").alias("look")).distinct()
-    known = asked.join(common.select(F.col("word").alias("look")).distinct(), "look", "left_semi").withColumn("common", F.lit(True))
-    return words.join(known, "look", "left").withColumn("common", F.coalesce("common", F.lit(False))).drop("look")
+        return rows, listed(common)
+    table = common.select("word").where("word is not null").distinct()
+    few = [r.word for r in table.limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:
+        return rows, listed(few)
+    hot = F.filter("blocks", lambda b: b.getField("text").rlike(CANDIDATE))
+
+    def asked(b: Column) -> Column:
+        by = lambda w: F.transform(w, lambda x, i: F.when(x.getField("raw").rlike("[A-Z]{2}|[A-Z][.][A-Z]") | F.coalesce(F.get(w, i + 1).getField("raw").rlike("[A-Z]{2}|[A-Z][.][A-Z]"), F.lit(False)), F.lower(bare(x.getField("raw")))))
+        return let(_raw_words(b), by)
+
+    words = barrier(rows.select("doc", F.array_distinct(F.flatten(F.transform(hot, asked))).alias("w"))).select("doc", F.explode("w").alias("word")).distinct()
+    of = words.join(table, "word", "left_semi").groupBy("doc").agg(F.collect_set("word").alias("everyday")).withColumnRenamed("doc", "d")
+    joined = rows.join(of, rows.doc.eqNullSafe(of.d), "left").drop("d")
+    small = list(lex.EXPANSION_STOP_WORDS)
+    return joined, lambda w: w.isin(small) | F.coalesce(F.array_contains(F.col("everyday"), w), F.lit(False))
 
 
 def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None) -> DataFrame:
-    """Violations of acronym-undefined; known are the project's own acronyms."""
-    rows = parsed(corpus.where(F.col("text").rlike(CANDIDATE)))
-    items = barrier(rows.select("doc", F.concat(block_words(), definitions()).alias("items"))).select("doc", F.inline("items"))
-    items = items.withColumn("pos", F.shiftleft(F.col("line").cast("bigint"), 32) + F.col("at"))
-    raw, bare = F.col("raw"), F.col("bare")
-    core = F.regexp_replace(F.regexp_replace(raw, r"^[\"'“‘(\[{<]+", ""), r"(?<![\"'”’)\]}>,:;!?])[\"'”’)\]}>,:;!?]++$", "")
-    core = F.when(core.rlike(SHAPE), core).otherwise(F.regexp_replace(core, r"\.$", ""))
-    caps = F.regexp_replace(F.regexp_replace(raw, "^[^A-Za-z]+", ""), "(?<![^A-Za-z.])[^A-Za-z.]++$", "")
-    # All that a word alone decides comes before the shuffle.
-    words = items.select("*", word_initials(raw).alias("ini"), F.regexp_replace("raw", "[^A-Za-z]", "").alias("bare"), F.when(core.rlike(SHAPE), core).alias("token"), (caps.rlike(SHAPE) | caps.rlike("^[A-Z]{2,}$")).alias("caps"))
-    # The windows are work on processors more than on bytes, so their partitions are not merged by size.
-    words = words.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "block")
-    w = Window.partitionBy("doc", "block").orderBy("pos")
-    words = words.withColumn("key", F.replace("token", F.lit("."), F.lit(""))).withColumn("lower", F.lower("bare"))
-    ahead_of_token = F.coalesce(F.lead("token").over(w).isNotNull(), F.lit(False))
-    rows = with_common(words.withColumn("asked", F.col("caps") | F.col("token").isNotNull() | ahead_of_token), common)
-    # Runs of capitals: shouted words are mostly everyday words.
-    rows = rows.withColumn("run", F.sum((~F.col("caps")).cast("int")).over(w))
-    run = Window.partitionBy("doc", "block", "run", "caps")
-    n, usual = F.count("*").over(run), F.sum(F.col("common").cast("int")).over(run)
-    rows = rows.withColumn("shouted", F.col("caps") & (n >= 2) & F.when(n == 2, usual == 2).otherwise(2 * usual >= n))
-    # Numerals: numbering words or titles up to three words back, a name just before, or a clear numeral beside.
-    back = [F.coalesce(F.lag(bare, k).over(w), F.lit("")) for k in range(1, 6)]
-    after = F.coalesce(F.lead(bare, 1).over(w), F.lit(""))
-    clear = lambda c: (F.length(c) >= 4) & c.rlike(lex.ROMAN) & ~c.isin(lex.NUMERAL_EXCEPTIONS)
-    numbering = lambda c: F.lower(c).isin(lex.NUMBERING)
-    name = back[0].rlike("^[A-Z][a-z]{4,}$") & ~F.coalesce(F.lag("common", 1).over(w), F.lit(False)) & ~numbering(back[0])
-    listed = lambda k: back[k].rlike(lex.ROMAN) & (back[k] != "") & numbering(back[k + 1])
-    joined = F.lower(back[0]).isin("and", "or", "to", "through") & (listed(1) | listed(2) | listed(3) | clear(back[1]) | clear(back[2]) | clear(back[3]))
-    evidence = numbering(back[0]) | numbering(back[1]) | numbering(back[2]) | back[0].isin(lex.NAMED_BY_NUMERAL) | back[1].isin(lex.NAMED_BY_NUMERAL) | back[2].isin(lex.NAMED_BY_NUMERAL) | name | clear(back[0]) | clear(after) | joined
-    rows = rows.withColumn("numeral", F.col("key").rlike(lex.ROMAN) & (clear(F.col("key")) | evidence))
-    rows = expansions(rows, w)
-    used = F.col("token").isNotNull() & ~F.col("key").isin([*lex.KNOWN_ACRONYMS, *(known or [])]) & ~F.col("numeral")
-    rows = rows.where(F.col("said").isNotNull() | used)
-    eligible = F.col("said").isNull() & ~F.col("shouted") & ~F.col("common") & ~F.col("expanded")
-    first = rows.groupBy("doc", F.coalesce("said", "key").alias("key")).agg(
-        F.min(F.when(eligible, F.struct("pos", "line", "token"))).alias("use"),
-        F.min(F.when(F.col("said").isNotNull() | F.col("expanded"), F.col("pos"))).alias("said"),
-    )
-    rows = first.where(F.col("use").isNotNull() & (F.col("said").isNull() | (F.col("said") > F.col("use.pos"))))
-    detail = F.concat(F.lit('define acronym "'), F.col("use.token"), F.lit('" on first use'))
-    return rows.select("doc", F.lit("acronym-undefined").alias("rule"), F.col("use.line").cast("int").alias("line"), detail.alias("detail"), F.lit(lex.RULES.index("acronym-undefined")).alias("phase"), F.col("use.pos").alias("ord"))
-
-
-def expansions(rows: DataFrame, w: Window) -> DataFrame:
-    """Adds whether a bracket that opens one of the next three words spells the acronym up to its first closing one.
-    The running number of initials tells whether it can, so only brackets of the right size are read."""
-    raw = F.col("raw")
-    rows = rows.withColumn("upto", F.sum(F.length("ini")).over(w))
-    # From the end of the block: the nearest word with a closing bracket, from here on.
-    back = Window.partitionBy("doc", "block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    closing = F.when(raw.contains(")"), F.struct("pos", (F.col("upto") - F.length("ini")).alias("before"), initials(F.substring_index("raw", ")", 1)).alias("last")))
-    rows = rows.withColumn("close", F.last(closing, ignorenulls=True).over(back))
-    opening = F.when(raw.startswith("(") & F.col("close").isNotNull(), F.struct("pos", "upto", initials(F.substr(raw, F.lit(2))).alias("first"), initials(F.substring_index(F.substr(raw, F.lit(2)), ")", 1)).alias("whole"), "close"))
-    opens = F.when(raw.startswith("("), F.struct(F.lit(True).alias("seen"), opening.alias("o")))
-    rows = rows.withColumn("open", F.coalesce(*(F.lead(opens, k).over(w) for k in (1, 2, 3))).getField("o"))
-    o = F.col("open")
-    within = o.getField("close").getField("pos") == o.getField("pos")
-    size = F.length(o.getField("first")) + (o.getField("close").getField("before") - o.getField("upto")) + F.length(o.getField("close").getField("last"))
-    fits = F.col("token").isNotNull() & o.isNotNull() & ~within & (size == F.length("key"))
-    # The initials from here on, in blocks that hold a bracket; words without one are no part of the frame's text.
-    rows = rows.withColumn("brackets", F.max(raw.startswith("(")).over(Window.partitionBy("doc", "block")))
-    ahead = F.collect_list(F.when(F.col("brackets") & (F.col("ini") != ""), F.struct("pos", "ini"))).over(w.rowsBetween(1, LONGEST))
-    between = F.filter(ahead, lambda x: (x.getField("pos") > o.getField("pos")) & (x.getField("pos") < o.getField("close").getField("pos")))
-    spelt = F.concat(o.getField("first"), F.array_join(F.transform(between, lambda x: x.getField("ini")), ""), o.getField("close").getField("last"))
-    one_word = F.col("token").isNotNull() & o.isNotNull() & within & (o.getField("whole") == F.col("key"))
-    return rows.withColumn("expanded", F.coalesce(one_word | (fits & (spelt == F.col("key"))), F.lit(False)))
+    """Violations of acronym-undefined alone; known are the project's own acronyms."""
+    from prosegauge.plans.audit import audit
+
+    return audit(corpus, common, known, only=["acronym-undefined"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prosegauge.functions.lexicon import RULES
 from prosegauge.functions.text import barrier, config_hash, phrase_pattern
 from prosegauge.operators import rules
-from prosegauge.operators.acronyms import CANDIDATE, acronym_undefined
+from prosegauge.operators.acronyms import everyday_test, undefined
 from prosegauge.operators.rules import ON_PHRASES, ON_SENTENCES
 from prosegauge.operators.sentences import marked
 from prosegauge.operators.structure import Parsed, parsed
@@ -36,21 +36,22 @@ def _named(rule: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(rule).alias("rule"), x.getField("line").alias("line"), x.getField("detail").alias("detail"), F.lit(RULES.index(rule)).alias("phase"), x.getField("ord").alias("ord")))
 
 
-def document_findings(rows: DataFrame, names: list[str]) -> DataFrame:
+def document_findings(rows: DataFrame, names: list[str], columns: dict[str, Callable[[], Column]] = OPERATORS) -> DataFrame:
     """(doc, rule, line, detail, phase, ord) of the named rules over parsed documents: one scan, no shuffle."""
-    found = F.flatten(F.array(*(_named(n, OPERATORS[n]()) for n in names)))
+    found = F.flatten(F.array(*(_named(n, columns[n]()) for n in names)))
     return barrier(prepared(rows, names).select("doc", found.alias("found"))).select("doc", F.inline("found"))
 
 
 def audit(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """(doc, rule, line, detail, phase, ord) of a corpus (doc, text). common: everyday words for the acronym rule, a
     list or a table (word), by default `prosegauge.functions.everyday`; known: the project's acronyms; only: the rules
-    to run. The acronym rule scans a second time, for the documents that hold capitals in a row."""
-    names = [n for n in OPERATORS if only is None or n in only]
-    parts = [document_findings(parsed(corpus), names)] if names else []
-    if only is None or ACRONYM in only:
-        parts.append(acronym_undefined(corpus, common, known))
-    return reduce(DataFrame.unionByName, parts)
+    to run."""
+    rows, columns = parsed(corpus), OPERATORS
+    names = [n for n in RULES if only is None or n in only]
+    if ACRONYM in names:
+        rows, test = everyday_test(rows, common)
+        columns = OPERATORS | {ACRONYM: lambda: undefined(known, test)}
+    return document_findings(rows, names, columns)
 
 
 def totals(violations: DataFrame) -> DataFrame:
