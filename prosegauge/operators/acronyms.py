@@ -244,28 +244,27 @@ def listed(words: list[str] | tuple[str, ...]) -> Test:
     return lambda w: w.isin(every)
 
 
-def everyday_test(rows: DataFrame, common: list[str] | tuple[str, ...] | DataFrame | None) -> tuple[DataFrame, Test]:
-    """Parsed documents and the test for everyday words. A list, or a table (word) of up to LISTED rows, is part of the
+def everyday_test(rows: DataFrame, common: list[str] | tuple[str, ...] | DataFrame | None) -> tuple[DataFrame, Test, tuple[str, ...] | None]:
+    """Parsed documents, the test for everyday words, and the words if they are part of the plan. A list, or a table (word) of up to LISTED rows, is part of the
     plan. A larger table is joined with the words that are asked for; each document then carries those of its own."""
-    if common is None:
-        return rows, listed(everyday())
     if not isinstance(common, DataFrame):
-        return rows, listed(common)
+        words = everyday() if common is None else tuple(sorted(set(common)))
+        return rows, listed(words), words
     table = common.select("word").where("word is not null").distinct()
     few = [r.word for r in table.limit(LISTED + 1).collect()]
     if len(few) <= LISTED:
-        return rows, listed(few)
+        return rows, listed(few), tuple(sorted(few))
     hot = F.filter("blocks", lambda b: b.getField("text").rlike(CANDIDATE))
 
     def asked(b: Column) -> Column:
         by = lambda w: F.transform(w, lambda x, i: F.when(x.getField("raw").rlike("[A-Z]{2}|[A-Z][.][A-Z]") | F.coalesce(F.get(w, i + 1).getField("raw").rlike("[A-Z]{2}|[A-Z][.][A-Z]"), F.lit(False)), F.lower(bare(x.getField("raw")))))
         return let(_raw_words(b), by)
 
-    words = barrier(rows.select("doc", F.array_distinct(F.flatten(F.transform(hot, asked))).alias("w"))).select("doc", F.explode("w").alias("word")).distinct()
-    of = words.join(table, "word", "left_semi").groupBy("doc").agg(F.collect_set("word").alias("everyday")).withColumnRenamed("doc", "d")
+    asked_for = barrier(rows.select("doc", F.array_distinct(F.flatten(F.transform(hot, asked))).alias("w"))).select("doc", F.explode("w").alias("word")).distinct()
+    of = asked_for.join(table, "word", "left_semi").groupBy("doc").agg(F.collect_set("word").alias("everyday")).withColumnRenamed("doc", "d")
     joined = rows.join(of, rows.doc.eqNullSafe(of.d), "left").drop("d")
     small = list(lex.EXPANSION_STOP_WORDS)
-    return joined, lambda w: w.isin(small) | F.coalesce(F.array_contains(F.col("everyday"), w), F.lit(False))
+    return joined, lambda w: w.isin(small) | F.coalesce(F.array_contains(F.col("everyday"), w), F.lit(False)), None
 
 
 def acronym_undefined(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None) -> DataFrame:

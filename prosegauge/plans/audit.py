@@ -36,9 +36,21 @@ def _named(rule: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(rule).alias("rule"), x.getField("line").alias("line"), x.getField("detail").alias("detail"), F.lit(RULES.index(rule)).alias("phase"), x.getField("ord").alias("ord")))
 
 
-def document_findings(rows: DataFrame, names: list[str], columns: dict[str, Callable[[], Column]] = OPERATORS) -> DataFrame:
-    """(doc, rule, line, detail, phase, ord) of the named rules over parsed documents: one scan, no shuffle."""
-    found = F.flatten(F.array(*(_named(n, columns[n]()) for n in names)))
+_built: dict[tuple, Column] = {}
+
+
+def built(rows: DataFrame, key: tuple, make: Callable[[], Column]) -> Column:
+    """The same column without building it again: columns name no table, and a rule's takes long to put together."""
+    key = (rows.sparkSession.sparkContext.applicationId, *key)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def document_findings(rows: DataFrame, names: list[str], columns: dict[str, Callable[[], Column]] = OPERATORS, of: tuple = ()) -> DataFrame:
+    """(doc, rule, line, detail, phase, ord) of the named rules over parsed documents: one scan, no shuffle. of: what
+    the columns were made from, where they are not OPERATORS alone."""
+    found = built(rows, (*names, of), lambda: F.flatten(F.array(*(_named(n, columns[n]()) for n in names))))
     return barrier(prepared(rows, names).select("doc", found.alias("found"))).select("doc", F.inline("found"))
 
 
@@ -46,12 +58,12 @@ def audit(corpus: DataFrame, common: list[str] | DataFrame | None = None, known:
     """(doc, rule, line, detail, phase, ord) of a corpus (doc, text). common: everyday words for the acronym rule, a
     list or a table (word), by default `prosegauge.functions.everyday`; known: the project's acronyms; only: the rules
     to run."""
-    rows, columns = parsed(corpus), OPERATORS
+    rows, columns, of = parsed(corpus), OPERATORS, ()
     names = [n for n in RULES if only is None or n in only]
     if ACRONYM in names:
-        rows, test = everyday_test(rows, common)
-        columns = OPERATORS | {ACRONYM: lambda: undefined(known, test)}
-    return document_findings(rows, names, columns)
+        rows, test, words = everyday_test(rows, common)
+        columns, of = OPERATORS | {ACRONYM: lambda: undefined(known, test)}, (tuple(known or ()), words)
+    return document_findings(rows, names, columns, of)
 
 
 def totals(violations: DataFrame) -> DataFrame:
