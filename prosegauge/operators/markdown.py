@@ -10,6 +10,7 @@ over what this returns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 #: Marks code spans for the sentence splitter: a stop in front of it ends no sentence.
@@ -99,18 +100,23 @@ class Outline:
         return end + 1
 
     def inside(self, line: str) -> tuple[str, int]:
-        """A line without the marks of the open boxes that still hold it, and the number of these."""
+        """A line without the marks of the open boxes that still hold it, and the number of these. The line is cut once:
+        `at` is where the boxes so far end, `edge` the next place that is no blank."""
+        end, size = len(line.rstrip()), len(line)
+        at, edge = 0, size - len(line.lstrip(" "))
         for k, column in enumerate(self.boxes):
             if column == 0:
-                mark = QUOTE.match(line)
+                mark = QUOTE.match(line, at)
                 if not mark:
-                    return line, k
-                line = line[mark.end() :]
-            elif line.strip():
-                if len(line) - len(line.lstrip(" ")) < column:
-                    return line, k
-                line = line[column:]
-        return line, len(self.boxes)
+                    return line[at:], k
+                at = edge = mark.end()
+                while edge < size and line[edge] == " ":
+                    edge += 1
+            elif edge < end:
+                if edge - at < column:
+                    return line[at:], k
+                at += column
+        return line[at:], len(self.boxes)
 
     def leave(self, held: int) -> None:
         self.open = None
@@ -261,10 +267,40 @@ class Link(NamedTuple):
     image: bool
     kind: str
     label: str
+    whole: bool  # the label is not cut
     target: str
     shown: bool  # not within the text of an image
 
 
+#: Labels up to this length are kept as they are. Of longer ones, of which a text of nested links has many, what shows
+#: is cut after so many characters, unless it is an address: rules read no more of them.
+LABEL, SHOWN = 1000, 64
+#: What a reader does not see of a label, as well as blanks.
+UNSEEN = re.compile(r"(?:[*_~`\s]|<(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>|&nbsp;|&#0*160;|&#x0*a0;)++", re.I)
+MARKS = re.compile(r"[*_~`\s]+|&nbsp;|&#0*160;|&#x0*a0;", re.I)
+ADDRESS = re.compile(r"<?(?:https?://|www\.)", re.I)
+
+
+def label_of(text: str, start: int, close: int) -> tuple[str, bool]:
+    """A link's label and whether it is whole."""
+    if close - start <= LABEL:
+        return text[start:close], True
+    lead = UNSEEN.match(text, start, close)
+    at = lead.end() if lead else start
+    if ADDRESS.match(text, at, close):
+        return text[start:close], True
+    window = text[at : min(close, at + 4 * SHOWN)]
+    if "<" not in window and len(MARKS.sub("", window)) > SHOWN:
+        return window, False
+    shown = 0
+    while at < close and shown <= SHOWN:
+        shown += 1
+        at += 1
+        if lead := UNSEEN.match(text, at, close):
+            at = lead.end()
+    return text[start:at] if shown <= SHOWN else text[start:at][-4 * SHOWN :], shown <= SHOWN
+
+
 def links(text: str) -> list[Link]:
     """Links and images of a text whose escapes and code are blanked, in order. A destination ends at the first `)`;
     brackets in it are no labels."""
@@ -302,7 +338,7 @@ def links(text: str) -> list[Link]:
             kind, target = "reference", text[close + 2 : end - 1]
         elif text.startswith(("(", "["), close + 1):
             continue
-        link = Link(start - image, close, end, image, kind, text[start + 1 : close], target, not images)
+        link = Link(start - image, close, end, image, kind, *label_of(text, start + 1, close), target, not images)
         found.append(link)
         if kind == "shortcut":
             past = end
@@ -312,6 +348,12 @@ def links(text: str) -> list[Link]:
     return found
 
 
+def names(link: Link) -> str | None:
+    """The reference that a link names, in its normal form. No definition has a label as long as those that are cut."""
+    named = link.target if link.kind == "reference" else ""
+    return normal(named) if named else normal(link.label) if link.whole else None
+
+
 TAG = r"</[A-Za-z][A-Za-z0-9-]*+[ \t\n]*+>|<[A-Za-z][A-Za-z0-9-]*+(?:[ \t\n]++[A-Za-z_:][A-Za-z0-9_.:-]*+(?:[ \t\n]*+=[ \t\n]*+(?:[^ \t\n\"'=<>`]++|'[^']*+'|\"[^\"]*+\"))?+)*+[ \t\n]*+/?>"
 TOKEN = re.compile(rf"(?P<escape>{ESCAPE})|(?P<ticks>`+)|(?P<tag>{TAG})|(?P<hush><!--|<\?|<![A-Z])")
 BLANKED = str.maketrans("!<>[]()", " " * 7)
@@ -390,7 +432,7 @@ class Inline:
         """The readers' text with links cut down to their labels; line ends of what is cut stay behind the label."""
         cuts = []
         for link in links(self.mask):
-            if link.kind == "inline" or normal((link.target if link.kind == "reference" else "") or link.label) in labels:
+            if link.kind == "inline" or names(link) in labels:
                 first = link.start + link.image + 1
                 cuts += [(link.start, first, ""), (link.close, link.end, "\n" * self.mask.count("\n", link.close, link.end))]
         out, at = [], 0
@@ -432,9 +474,9 @@ def structure(text: str) -> dict:
             if not target:
                 return
         else:
-            target = target or label if link.kind == "reference" else label
-            if normal(target) not in outline.labels:
+            if names(link) not in outline.labels:
                 return
+            target = target or label if link.kind == "reference" else label
         found.append({"line": line, "at": at, "image": link.image, "kind": link.kind, "label": link.label, "target": link.target if link.kind == "inline" else target})
 
     for k, v in enumerate(outline.view):
@@ -445,10 +487,14 @@ def structure(text: str) -> dict:
     markup = "\n".join(t or "" for t in tags)
     if "](" in markup:
         line = past = 0
+        ends = [m.start() for m in re.finditer("\n", markup)]
+        gaps = [m.span(1) for m in re.finditer(r"(?=(\n[ \t]*+\n))", markup)]
+        crosses = lambda link: (k := bisect_left(ends, link.start)) < len(ends) and ends[k] < link.close
+        broken = lambda link: (k := bisect_left(gaps, (link.start, 0))) < len(gaps) and gaps[k][1] <= link.end
         for link in links(markup):
             line += markup.count("\n", past, link.start)
             past = link.start
-            if link.shown and not link.image and link.kind == "inline" and "\n" in link.label and "\n" not in link.target and not re.search(r"\n[ \t]*+\n", markup[link.start : link.end]):
+            if link.shown and not link.image and link.kind == "inline" and crosses(link) and "\n" not in link.target and not broken(link):
                 add(line + 1, (1 << 30) + link.start, link)
     out = {
         "blocks": blocks,

@@ -80,7 +80,11 @@ HOSTILE = {
     "stop and markers": "a." + "*" * 1_000_000 + " B",
     "quotes": "> " * 20_000 + "x",
     "items": "- " * 20_000 + "x",
-    "nested labels": "[" * 400 + "x" + "](y)" * 400,
+    "nested labels": "[" * 200_000 + "x" + "](y)" * 200_000,
+    "nested images": "![" * 50_000 + "x" + "](y)" * 50_000,
+    "nested references": "[" * 50_000 + "x" + "][]" * 50_000 + "\n\n[x]: /y",
+    "nested labels over lines": "[ \n" * 50_000 + "x" + "](y)" * 50_000,
+    "deep items": "\n".join("  " * k + "- x" for k in range(1500)),
     "comments": "<!-- x --> y " * 20_000,
     "open comments": "<!-- " * 50_000,
     "tags": "<a href='x'>" * 20_000,
@@ -101,6 +105,37 @@ def test_hostile_documents_neither_fail_nor_stall(spark):
     assert time.time() - began < 180
 
 
+def test_long_labels_are_judged_alike(spark):
+    """Labels are cut where no rule reads on: blank ones, vague ones and addresses are found at any length."""
+    gap = " " * 3000
+    texts = {
+        f"[{gap}](/x)": "link has no text",
+        f"[click{gap}here](/x)": '"click here"',
+        f"[**{gap}https://a.b/{'c' * 2000}**](/x)": "https://a.b/ccc",
+        f"[click here {'and more ' * 300}](/x)": None,
+        f"[{'and more ' * 300}click here](/x)": None,
+        f"![{gap}](/x)": "image has no alternative text",
+        f"![{'a view ' * 300}](/x)": None,
+        "[a [b](/c) " + "d " * 600 + "](/e)": None,
+    }
+    rows = audit(spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string"), only=["link-text", "image-alt"]).collect()
+    got = {r.doc: r.detail for r in rows}
+    for k, want in enumerate(texts.values()):
+        assert (want is None) == (k not in got) and (want is None or want in got[k]), k
+
+
+def test_nested_links_and_items_in_reasonable_time():
+    def seconds(make, n):
+        began = time.time()
+        out = structure(make(n))
+        return time.time() - began, sum(len(x["label"]) for x in out["links"])
+
+    for make in (lambda n: "[" * n + "x" + "](y)" * n, lambda n: "[`" * n + "a" + "](x)" * n):
+        took, size = seconds(make, 30_000)
+        assert took < 15 and size < 300 * 30_000
+    assert seconds(lambda n: "\n".join("  " * k + "- x" for k in range(n)), 2000)[0] < 10
+
+
 def test_findings_far_down_have_their_line(spark):
     text = "ok\n\n" * 3000 + " ".join(["word"] * 31) + ".\n\n" + "ok\n\n" * 3000 + "We shall utilise it in order to go."
     rows = audit(spark.createDataFrame([(1, text)], "doc bigint, text string")).collect()
