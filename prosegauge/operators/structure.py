@@ -72,9 +72,12 @@ SPREAD_FROM, SPREAD_TO = 2 << 20, 1 << 30
 def spread(corpus: DataFrame) -> DataFrame:
     """A small file is often a single row group, which one task reads however many cores wait. Below a GB, moving the
     texts once costs less than that; larger inputs have row groups enough and stay where they are."""
+    if corpus.isStreaming:
+        return corpus
     size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus.repartition(cores, "doc") if SPREAD_FROM < size < SPREAD_TO else corpus
+    # By row, as rows without an id or with the same one would meet in one task.
+    return corpus.repartition(cores) if SPREAD_FROM < size < SPREAD_TO else corpus
 
 
 def parsed(corpus: DataFrame) -> DataFrame:

@@ -66,6 +66,16 @@ def audit(corpus: DataFrame, common: list[str] | DataFrame | None = None, known:
     return document_findings(rows, names, columns, of)
 
 
+def document_counts(corpus: DataFrame, common: list[str] | DataFrame | None = None, known: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(doc, counts) of every document, counts being a map from each rule to the number of its findings. One row in,
+    one row out, so it works on streams too."""
+    names = [n for n in RULES if only is None or n in only]
+    rows, test, words = everyday_test(parsed(corpus), common)
+    columns = OPERATORS | {ACRONYM: lambda: undefined(known, test)}
+    sizes = lambda: F.map_from_arrays(F.array(*(F.lit(n) for n in names)), F.array(*(F.size(columns[n]()) for n in names)))
+    return prepared(rows, names).select("doc", built(rows, ("counts", *names, tuple(known or ()), words), sizes).alias("counts"))
+
+
 def totals(violations: DataFrame) -> DataFrame:
     """(rule, n); rules without a finding have no row."""
     return violations.groupBy("rule").agg(F.count("*").alias("n"))
