@@ -5,6 +5,9 @@ this source lists with lstat instead. The driver only lists names; tasks read th
 `node_modules` and `.git` are left out at any depth, links are never followed, and what can't be listed or read comes
 back as a row with an error and no text. Options: `path` (a folder or one file that every machine reaches) and `mode`,
 `documents` (.md, .markdown and .txt) or `all` (every file, links followed, for evidence sweeps).
+
+Filters on `path` (equal, in a list, beginning, end or part, as an extension is an end) reach the source where
+`spark.sql.python.filterPushdown.enabled` is on: files that they rule out are listed and not opened.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ import json
 import os
 import re
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from prosegauge.functions.lexicon import AUDITED, WORKFLOW_PATH
 
@@ -33,6 +36,10 @@ class Files(InputPartition):
 class CorpusReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root, self.mode = options["path"], options.get("mode", "documents")
+        self.tests: list[Callable[[str], bool]] = []
+
+    def _shown(self, name: str) -> str:
+        return (name or os.path.basename(self.root)).replace(os.sep, "/")
 
     def _list(self) -> tuple[list[str], list[tuple[str, str]]]:
         names, failed = [], []
@@ -68,13 +75,15 @@ class CorpusReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         names, failed = self._list()
+        wanted = lambda name: all(test(self._shown(name)) for test in self.tests)
+        names, failed = [n for n in names if wanted(n)], [f for f in failed if wanted(f[0])]
         cuts = [Files(names[k : k + FILES_A_TASK], []) for k in range(0, len(names), FILES_A_TASK)]
         return [*cuts, Files([], failed)] if failed or not cuts else cuts
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for name in partition.names:
             path = os.path.join(self.root, name) if name else self.root
-            shown = (name or os.path.basename(self.root)).replace(os.sep, "/")
+            shown = self._shown(name)
             try:
                 # Of all files only workflows are read: for the rest the path decides.
                 wanted = self.mode == "documents" or re.search(WORKFLOW_PATH, shown.lower())
@@ -86,6 +95,24 @@ class CorpusReader(DataSourceReader):
             yield name.replace(os.sep, "/"), None, why
 
 
+class FilteredReader(CorpusReader):
+    """The same with filters taken in. Spark lets no reader have this method where pushdown is off."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            if getattr(f, "attribute", None) != ("path",) or not isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)):
+                yield f
+                continue
+            # Bound as defaults, each test keeps its own value.
+            self.tests.append({
+                EqualTo: lambda p, v=f.value: p == v,
+                In: lambda p, v=f.value: p in v,
+                StringStartsWith: lambda p, v=f.value: p.startswith(v),
+                StringEndsWith: lambda p, v=f.value: p.endswith(v),
+                StringContains: lambda p, v=f.value: v in p,
+            }[type(f)])
+
+
 class CorpusSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -95,12 +122,13 @@ class CorpusSource(DataSource):
         return "path string, text string, error string"
 
     def reader(self, schema) -> CorpusReader:  # noqa: ANN001
-        return CorpusReader(self.options)
+        return (FilteredReader if self.options.get("pushdown") == "true" else CorpusReader)(self.options)
 
 
 def read_folder(spark: SparkSession, path: str, mode: str = "documents") -> DataFrame:
     spark.dataSource.register(CorpusSource)
-    return spark.read.format("corpus").option("mode", mode).load(path)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("corpus").option("mode", mode).option("pushdown", pushdown).load(path)
 
 
 def documents(rows: DataFrame) -> DataFrame:
