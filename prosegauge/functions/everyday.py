@@ -1,7 +1,7 @@
 """Everyday words for the acronym rule: a run of capitals made of these is shouting, not a row of acronyms.
 
-A short list of our own: words of notices, forms and headings, with the words that the rules' own lists hold. It is
-fixed, so a document has the same findings alone and in any corpus. A project with more words passes its own list or
+A list of our own: words of notices, forms and headings, with the words that the rules' own lists hold, and the regular
+forms of all these (plurals, tenses, comparisons, adverbs), which a rule makes. It is fixed, so a document has the same findings alone and in any corpus. A project with more words passes its own list or
 table (`common` of `prosegauge.plans.audit.audit`); `words_of_corpus` makes one from a corpus.
 """
 
@@ -18,7 +18,7 @@ OWN = """
 about act add alarm always answer apply are ask attention away back bad be been best big build button buy by call can car card care caution change
 check child city clean clear close cold come copy cost could cut danger data date day delete did do does done door down drive emergency enter error
 exit fail fast file fire first food free full get give go good great had hand has have heavy help high home hot hour house important information is
-job keep key know large last late left light line list live long look lost low mail make man many may me message money month move must my name near
+job keep key know large last late left less light line list live long look lost low mail make man many may me message money month move must my name near
 need never new night notice number office old open order out page pay people phone place plan please point press price private public pull push put
 question quiet read ready remove report rest right road room rule run safe sale save say school see sell send service set shop should show sign size
 small smoking sold start state stay step stop store street take team test thank time today top train true try turn up update urgent use used very
@@ -28,11 +28,33 @@ view visit wait walk want warning was watch water way week well will win word wo
 NOT_EVERYDAY = {"it", "us", "ai"}
 
 
+def forms(word: str) -> set[str]:
+    """A word with its regular forms. Words of one or two letters have none, as theirs would look like acronyms."""
+    if len(word) < 3 or not word.isalpha():
+        return {word}
+    last, before = word[-1], word[-2]
+    vowels = "aeiou"
+    if last == "y" and before not in vowels:
+        plural, stem, open_ = word[:-1] + "ies", word[:-1] + "i", word
+    else:
+        plural = word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")
+        stem = open_ = word[:-1] if last == "e" else word
+        # A single vowel before a single consonant: stop, stopped.
+        if len(word) <= 4 and last not in "aeiouwxy" and before in vowels and word[-3] not in vowels:
+            stem = open_ = word + last
+    made = {word, plural, stem + "ed", open_ + "ing", open_ + "ings", stem + "er", stem + "ers", stem + "est"}
+    adverb = word[:-1] + "ily" if stem == word[:-1] + "i" else word[:-1] + "y" if word.endswith("le") else word + "ly"
+    return made | {adverb, "un" + word, "re" + word, "un" + stem + "ed", "re" + stem + "ed", "re" + open_ + "ing"}
+
+
 @cache
 def everyday() -> tuple[str, ...]:
     phrases = (*lex.WORDY, *lex.WORDY.values(), *lex.DOUBLETS, *lex.DOUBLE_NEGATIVES, *lex.VAGUE_LINKS, *lex.LEGALESE, *lex.COMPLEX_WORDS, *lex.COMPLEX_WORDS.values())
     words = {*OWN, *lex.STARTERS, *lex.EXPANSION_STOP_WORDS, *lex.ORDINALS, *lex.NUMBERING, *lex.NAMED_WORK, *(w for p in phrases for w in p.split())}
-    return tuple(sorted(words - NOT_EVERYDAY))
+    small = {*lex.STARTERS, *lex.EXPANSION_STOP_WORDS}
+    every = set().union(*map(forms, words - small - NOT_EVERYDAY))
+    known = {a.lower() for a in lex.KNOWN_ACRONYMS}
+    return tuple(sorted((every - known | words) - NOT_EVERYDAY))
 
 
 def words_of_corpus(corpus: DataFrame, share: float = 0.01) -> DataFrame:

@@ -240,8 +240,9 @@ def undefined(known: list[str] | None = None, common: Test | None = None) -> Col
 
 def listed(words: list[str] | tuple[str, ...]) -> Test:
     """A test for the words of a list. Small words are everyday words in any list."""
-    every = sorted({*words, *lex.EXPANSION_STOP_WORDS})
-    return lambda w: w.isin(every)
+    # One text with a mark around each word: a plan of one literal, however long the list.
+    every = F.lit("".join(f"|{w}" for w in sorted({*words, *lex.EXPANSION_STOP_WORDS})) + "|")
+    return lambda w: every.contains(F.concat(F.lit("|"), w, F.lit("|"))) & (w != "")
 
 
 def everyday_test(rows: DataFrame, common: list[str] | tuple[str, ...] | DataFrame | None) -> tuple[DataFrame, Test, tuple[str, ...] | None]:

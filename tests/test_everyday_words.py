@@ -1,6 +1,6 @@
 """The acronym rule's everyday words do not depend on the corpus, unless a list or a table is given."""
 
-from prosegauge.functions.everyday import everyday, words_of_corpus
+from prosegauge.functions.everyday import everyday, forms, words_of_corpus
 from prosegauge.plans.audit import audit
 
 DOCS = [(1, "The GNU tools and the ABOUT page go on."), (2, "PLEASE SAVE everything."), (3, "The AWS IAM service."), (4, "Plain words.")]
@@ -35,3 +35,21 @@ def test_words_of_a_corpus_are_a_share_of_distinct_texts(spark):
 def test_fixed_list():
     assert len(set(everyday())) == len(everyday()) and {"a", "please", "save", "the"} <= set(everyday())
     assert not {"it", "us", "gnu", "api"} & set(everyday())
+
+
+def test_the_list_is_of_real_size_and_made_by_rule():
+    assert len(everyday()) >= 5000
+    assert forms("stop") >= {"stops", "stopped", "stopping", "stopper"} and forms("carry") >= {"carries", "carried", "carrying"} and forms("save") >= {"saved", "saving", "saves"}
+    assert forms("push") >= {"pushes", "pushed"} and forms("it") == {"it"}
+    assert not {"ids", "tvs", "uris"} & set(everyday())
+
+
+SHOUTED = [
+    "PLEASE STOP ADDING ORDERS TO THE LISTS.", "WARNING: DOORS OPENING QUICKLY.", "DO NOT ENTER WHEN LIGHTS ARE CHANGED.", "CHANGES WERE SAVED AND FILES REMOVED.",
+    "SIGNS SHOWING PRICES MUST BE REMOVED TODAY.", "CALLERS WAITING LONGER THAN HOURS PAY LESS.", "THE HOTTEST DAYS OF THE YEARS", "PUSHING AND PULLING IS DANGEROUS",
+]
+
+
+def test_shouted_sentences_give_no_finding(spark):
+    assert details(spark, list(enumerate(SHOUTED))) == []
+    assert details(spark, [(1, "PLEASE STOP THE AWS IAM GNU SSO TTL.")]) != []
