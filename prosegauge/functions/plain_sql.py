@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.functions.text import let, phrase_pattern
+from prosegauge.functions.text import let
 from prosegauge.operators import rules
 from prosegauge.operators.acronyms import undefined
 from prosegauge.operators.sentences import AMBIGUOUS, SPLIT, marked, sentence_lines
@@ -53,8 +53,7 @@ def findings_sql() -> str:
     on[ACRONYM] = undefined
     found = sql_of(F.flatten(F.array(*(_named(n, make()) for n, make in on.items()))))
     marks = sql_of(F.transform("blocks", lambda b: F.struct(b.getField("line").alias("line"), marked(b.getField("text")).alias("m"))))
-    pattern = phrase_pattern(rules.PHRASE_RULES)
-    hot = sql_of(F.filter("blocks", lambda b: b.getField("text").rlike(pattern)))
+    hot = sql_of(F.filter("blocks", lambda b: b.getField("text").rlike(rules.ANY_PHRASE)))
     none = ", ".join(f"CAST(array() AS {kind}) AS {name}" for name, kind in (("headings", HEADING), ("rows", BLOCK), ("links", LINK)))
     shared = f"SELECT blocks, {marks} AS marks, {hot} AS hot, {none}, '' AS markup FROM (SELECT {_blocks()} AS blocks)"
     return f"SELECT rule, line, detail FROM (SELECT inline({found}) FROM ({shared}))"

@@ -82,7 +82,9 @@ def sentence_average() -> Column:
 
 # Phrases. `hot` has the blocks in which any phrase of these rules stands: few, in most corpora none.
 
-PHRASE_RULES = (*lex.LEGALESE, *lex.COMPLEX_WORDS, *lex.DOUBLE_NEGATIVES, *lex.WORDY, *lex.DOUBLETS)
+#: A complex word is a whole run of letters and apostrophes, so one in the genitive is another word.
+COMPLEX = f"(?i)(?<![A-Za-z'])({'|'.join(lex.COMPLEX_WORDS)})(?![A-Za-z'])"
+ANY_PHRASE = phrase_pattern((*lex.LEGALESE, *lex.DOUBLE_NEGATIVES, *lex.WORDY, *lex.DOUBLETS)) + "|" + COMPLEX
 
 
 def _places(text: Column, pattern: str, build: Callable[[Column, Column, Column], Column]) -> Column:
@@ -98,10 +100,10 @@ def _places(text: Column, pattern: str, build: Callable[[Column, Column, Column]
     return let(F.regexp_replace(text, pattern, "\x01$1\x02"), cut)
 
 
-def _phrases(phrases: list[str], build: Callable[[Column, Column, Column], Column], by_line: bool = False) -> Column:
+def _phrases(phrases: list[str], build: Callable[[Column, Column, Column], Column], by_line: bool = False, pattern: str | None = None) -> Column:
     """Findings of phrases in the hot blocks. A phrase that quotes hold alone is named and not used; named spans are
     looked for in a line or in a whole block, as the rule reads it."""
-    pattern = phrase_pattern(phrases)
+    pattern = pattern or phrase_pattern(phrases)
 
     def of_block(b: Column) -> Column:
         text = b.getField("text")
@@ -126,7 +128,7 @@ def legalese() -> Column:
 
 
 def complex_word() -> Column:
-    return _phrases(list(lex.COMPLEX_WORDS), lambda p, line, i: finding(line, _text('"', p, '" where "', _lookup(lex.COMPLEX_WORDS, F.lower(p)), '" would do'), place(line, i)), by_line=True)
+    return _phrases(list(lex.COMPLEX_WORDS), lambda p, line, i: finding(line, _text('"', p, '" where "', _lookup(lex.COMPLEX_WORDS, F.lower(p)), '" would do'), place(line, i)), by_line=True, pattern=COMPLEX)
 
 
 def _phrase_order(b_line: Column, values: list[str], phrase: Column, i: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions.lexicon import RULES
-from prosegauge.functions.text import barrier, config_hash, phrase_pattern
+from prosegauge.functions.text import barrier, config_hash
 from prosegauge.operators import rules
 from prosegauge.operators.acronyms import everyday_test, undefined
 from prosegauge.operators.rules import ON_PHRASES, ON_SENTENCES
@@ -27,8 +27,7 @@ def prepared(rows: DataFrame, names: list[str]) -> DataFrame:
     if ON_SENTENCES & set(names):
         more.append(texts(marked).alias("marks"))
     if ON_PHRASES & set(names):
-        pattern = phrase_pattern(rules.PHRASE_RULES)
-        more.append(F.filter("blocks", lambda b: b.getField("text").rlike(pattern)).alias("hot"))
+            more.append(F.filter("blocks", lambda b: b.getField("text").rlike(rules.ANY_PHRASE)).alias("hot"))
     return barrier(rows.select("*", *more)) if more else rows
 
 

@@ -165,3 +165,9 @@ def test_clean_null_and_empty_documents_stay_listed(spark):
 def test_empty_corpus(spark):
     corpus = spark.createDataFrame([], "doc bigint, text string")
     assert audit(corpus).count() == 0
+
+
+def test_complex_words_are_whole_runs_of_letters_and_apostrophes(spark):
+    texts = {"We utilise's it.": 0, "We utilise2 it.": 1, "We 'utilise it.": 0, "We utilise_ it.": 1, "We Utilise, it.": 1, "We utilised it.": 0, 'The word "utilise" is long.': 0}
+    rows = audit(spark.createDataFrame(list(enumerate(texts)), "doc int, text string"), only=["complex-word"]).collect()
+    assert [sum(r.doc == k for r in rows) for k in range(len(texts))] == list(texts.values())
