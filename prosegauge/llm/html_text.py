@@ -5,8 +5,12 @@ table row or cell ends the one before; blocks end a paragraph; what is left open
 `Layout` walks the tree and writes what a reader would see: block boundaries as line breaks, an empty line around
 paragraphs, bullets and numbers by list depth, preformatted text as it stands, tables with cells padded to columns.
 All visible text is kept, navigation and footers too; what is hidden (scripts, styles, heads, templates, comments,
-`hidden`, `display:none`, `aria-hidden`) is not. `visibility` is inherited, and a visible element inside a hidden one
-shows.
+`hidden`, `display:none`, a closed `dialog`) is not; `aria-hidden` hides nothing from eyes, and buttons show their values.
+`visibility` is inherited, and a visible element inside a hidden one shows.
+
+A table's columns are as wide as their widest cell of up to WIDEST characters, and no gap in a row is wider than GAP, so
+layout tables with one long cell, or with cells that span thousands of rows, do not grow: a page's text has at most some
+fifty times the characters of the page.
 
 Cases: null and empty pages give an empty text; broken markup never fails: a `<` that opens no tag is text, an
 unclosed tag or comment at the end is dropped, a quote opens a value only after `=`, spans that are no number count as
@@ -23,6 +27,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +38,9 @@ DEPTH = 100
 VALUE = r"=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>{VALUE}|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-HIDING = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: A declaration of a style; what quotes hold ends none and is none.
+DECLARATION = re.compile(r"\s*([-\w]+)\s*:((?:[^;\"']|\"[^\"]*\"|'[^']*')*)")
+WIDEST, GAP = 60, 120
 #: The most columns and rows that HTML lets a cell span.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
@@ -184,20 +190,25 @@ def parse(page: str) -> Node:
     return tree.root
 
 
+def declared(style: str) -> dict[str, str]:
+    """Properties of a style attribute; the last of one name counts."""
+    return {m[1].lower(): m[2].replace("!important", "").strip().lower() for m in DECLARATION.finditer(style)}
+
+
 def visible(node: Node) -> bool:
     """Whether an element has a box at all."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
+        return False
+    if node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset"):
         return False
-    return not (node.tag == "input" or ("style" in a and HIDING.search(a["style"])))
+    return not ("style" in a and declared(a["style"]).get("display") == "none")
 
 
 def visibility(node: Node, inherited: bool) -> bool:
-    """Whether an element's own text shows: the last `visibility` of its style, else what the box around it has."""
-    if "style" not in node.attrs:
-        return inherited
-    said = VISIBILITY.findall(node.attrs["style"])
-    return said[-1].lower() == "visible" if said else inherited
+    """Whether an element's own text shows: the `visibility` of its style, else what the box around it has."""
+    said = declared(node.attrs["style"]).get("visibility") if "style" in node.attrs else None
+    return said == "visible" if said in ("visible", "hidden", "collapse") else inherited
 
 
 class Layout:
@@ -275,6 +286,9 @@ def render(node: Node, out: Layout, seen: bool = True) -> None:
         elif tag == "img":
             if shown and child.attrs.get("alt", "").strip():
                 out.text(child.attrs["alt"])
+        elif tag == "input":
+            if shown:
+                out.text(child.attrs.get("value", ""))
         elif tag == "table":
             out.block(True)
             out.verbatim(table_lines(child, shown))
@@ -368,13 +382,20 @@ def table_lines(table: Node, seen: bool = True) -> list[str]:
     widths = {k: 0 for k in columns}
     for r in rows:
         for k, cell in r.items():
-            widths[k] = max(widths[k], *map(len, cell), 0)
+            widths[k] = max(widths[k], *(len(c) for c in cell if len(c) <= WIDEST), 0)
+    starts = dict(zip(columns, accumulate((widths[k] + 2 for k in columns), initial=0)))
     out = caption + lines_of(loose, seen)
     for r in rows:
-        last = max(r)
-        upto = [k for k in columns if k <= last]
+        left = sorted(r)
         for n in range(max(map(len, r.values())) or 1):
-            out.append("  ".join((r[k][n] if k in r and n < len(r[k]) else "").ljust(widths[k]) for k in upto).rstrip())
+            left = [k for k in left if n < len(r[k])]
+            line, end = [], 0
+            for k in left:
+                if r[k][n]:
+                    at = max(starts[k], end + 2) if line else starts[k]
+                    line += [" " * min(at - end, GAP), r[k][n]]
+                    end = at + len(r[k][n])
+            out.append("".join(line).rstrip())
     return out
 
 

@@ -8,7 +8,7 @@ from prosegauge.llm.html_text import DEPTH, extract, page_text
 
 
 @pytest.mark.parametrize("depth", [0, 5, DEPTH - 2, DEPTH, DEPTH + 50])
-@pytest.mark.parametrize("hide", ["hidden", "style='display:none'", "style='visibility: hidden'", "aria-hidden=true"])
+@pytest.mark.parametrize("hide", ["hidden", "style='display:none'", "style='visibility: hidden'"])
 def test_hidden_text_never_shows_at_any_depth(depth, hide):
     down, up = "<div>" * depth, "</div>" * depth
     assert "".join(page_text(f"{down}a<div {hide}>SECRET<div>SECRET</div>SECRET</div>b{up}c").split()) == "abc"
@@ -56,3 +56,50 @@ def test_odd_tables_of_pages(spark):
     got = sorted(((r.page_id, r.n_chars, r.text[:3]) for r in extract(pages).collect()), key=str)
     assert got == sorted([(None, 1, "x"), (1, 0, ""), (1, 0, ""), (2, 1, "y"), (2, 1, "y"), (3, 79999, "w\nw")], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_what_shows_and_what_does_not():
+    for page, want in {
+        "<p aria-hidden=true>icon</p>": "icon",
+        "<form><input type=submit value=Send><input type=text value=x></form>": "Send",
+        "<p style=\"content:'display:none'\">shown</p>": "shown",
+        "<p style='DISPLAY : none !important'>gone</p>": "",
+        "<p style='color:red;display:none;display:block'>shown</p>": "shown",
+        "<dialog>gone</dialog><dialog open>shown</dialog>": "shown",
+    }.items():
+        assert page_text(page).strip() == want, page
+
+
+def test_tables_do_not_grow():
+    wide = "<table><tr><td>" + "x" * 100_000 + "<td>y" + "<tr><td>a<td>b" * 1000 + "</table>"
+    text = page_text(wide)
+    assert len(text) < 120_000 and text.count("a  b") == 1000
+    spans = "<table>" + "<tr><td rowspan=65534>a" * 3000 + "</table>"
+    assert len(page_text(spans)) < 50 * len(spans)
+    tall = "<table><tr>" + "<td>a" * 2000 + "<td>" + "b<br>" * 5000 + "</table>"
+    assert len(page_text(tall)) < 50 * len(tall)
+
+
+def plain_table(rows):
+    """Each cell at the place where its column begins, a column as wide as its widest cell of up to 60 characters."""
+    width = [max([len(r[k]) for r in rows if k < len(r) and len(r[k]) <= 60], default=0) for k in range(max(map(len, rows)))]
+    out = []
+    for r in rows:
+        line = ""
+        for k, cell in enumerate(r):
+            if cell:
+                at = sum(w + 2 for w in width[:k])
+                line = line.ljust(max(at, len(line) + 2) if line else at) + cell
+        out.append(line)
+    return "\n".join(out)
+
+
+def test_tables_equal_a_plain_layout():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = [["x" * rng.choice([0, 1, 2, 3, 9, 60, 61, 75]) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+        got = page_text(page)
+        assert got.strip("\n") == plain_table(rows).strip("\n"), rows
