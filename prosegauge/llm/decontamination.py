@@ -5,10 +5,13 @@ passage by an error budget of k edits (one in EDIT_SHARE characters). Cut into k
 then stands in the passage unchanged: one Aho-Corasick automaton of all pieces finds these in a single pass over a
 document, and Myers' bit-parallel distance, free to begin and end anywhere in the window around a hit, confirms.
 
-The items are the stated query set. They are reduced in tasks, dealt into blocks of about BLOCK_CHARS characters by
-their hash and written as a table; the driver reads one block at a time and broadcasts it, and the documents go through
-one Python stage for each block. So what is held at once is bounded however many items there are, and a benchmark of
-up to BLOCK_CHARS characters takes one stage.
+The items are the stated query set. They are reduced in tasks, repeats go, and the rest is dealt by a hash of the text
+into blocks of about BLOCK_CHARS characters, each a folder of one stored table. A task reads its documents in parts of
+about HELD_BYTES of text and searches each part for one block after another: it loads a block from the shared folder,
+builds its automaton, and lets it go before the next. So a task holds one part and one block however many blocks there
+are, nothing of the benchmark passes through the driver, and with a single block (any benchmark of up to BLOCK_CHARS
+characters) workers keep the automaton over all their tasks. Items of one text are searched for once; only their ids
+are kept apart.
 
 Cases: null and empty texts match nothing; items of fewer than SHORTEST reduced characters have no budget and match
 whole words alone, as with edits they would match ordinary prose; items that keep no character match nothing; a null
@@ -23,15 +26,19 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as ds
 import regex
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import materialize
+from prosegauge.llm.common import materialize, shared_path, small_parts
 
 EDIT_SHARE = 25
 SHORTEST = 30
 BLOCK_CHARS = 2_000_000
+#: Text that a task holds while it goes through the blocks, where there are several; one longer text is a part alone.
+HELD_BYTES = 64 << 20
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -73,7 +80,10 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST) -> None:
         self.shortest = shortest
-        self.items = [(i, text, len(text) // EDIT_SHARE if len(text) >= shortest else 0) for i, text in items]
+        ids: dict[str, list[int]] = {}
+        for i, text in items:
+            ids.setdefault(text, []).append(i)
+        self.items = [(own, text, len(text) // EDIT_SHARE if len(text) >= shortest else 0) for text, own in ids.items()]
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
@@ -112,7 +122,7 @@ class Matcher:
                     held.append((low, high))
         found = []
         for n, held in windows.items():
-            item_id, item, budget = self.items[n]
+            ids, item, budget = self.items[n]
             best = budget + 1
             for low, high in held:
                 window = text[low:high]
@@ -120,22 +130,52 @@ class Matcher:
                 if best == 0:
                     break
             if best <= budget:
-                found.append((item_id, best))
+                found.extend((i, best) for i in ids)
         return found
 
 
-def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(block, item, text) of the usable items, reduced, as a stored table, and the number of blocks."""
+_held: list = []
+
+
+def block_matcher(folder: str, shortest: int) -> Matcher:
+    """The matcher of a stored block. A worker keeps the last one only, and lets it go before it builds another."""
+    if not _held or _held[0] != (folder, shortest):
+        _held.clear()
+        system, path = fs.FileSystem.from_uri(folder)
+        rows = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["item", "text"])
+        _held.extend([(folder, shortest), Matcher(list(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist())), shortest)])
+    return _held[1]
+
+
+def search_parts(parts: list[pa.RecordBatch], folders: list[str], shortest: int) -> list[list[list[tuple[int, int]]]]:
+    """For each row of each part (its second column is the text): (item, distance) of the items of all blocks."""
+    texts = [[reduced(t.as_py()) if t.is_valid else "" for t in part.column(1)] for part in parts]
+    found: list[list[list[tuple[int, int]]]] = [[[] for _ in rows] for rows in texts]
+    for folder in folders:
+        search = block_matcher(folder, shortest).search
+        for rows, hits in zip(texts, found):
+            for text, hit in zip(rows, hits):
+                hit.extend(search(text))
+        del search  # so that this block goes before the next comes
+    return found
+
+
+def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """The folders of the blocks of usable items: (item, text), reduced, without repeats."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reduced(t.as_py()) for t in batch.column(1)], pa.string())], names=["item", "text"])
 
     rows = items.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null and item is not null")
-    small = materialize(rows.mapInArrow(work, "item bigint, text string").where("text <> ''"), "items")
-    total = small.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
-    n = -(-total // BLOCK_CHARS)
-    return small.select(F.pmod(F.xxhash64("item", "text"), F.lit(max(n, 1))).alias("block"), "item", "text"), n
+    small = materialize(rows.mapInArrow(work, "item bigint, text string").where("text <> ''").distinct(), "items")
+    total = small.select("text").distinct().agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    n = max(1, -(-total // BLOCK_CHARS))
+    path = shared_path(items.sparkSession, "blocks")
+    dealt = small.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
+    dealt.repartition(min(n, 200), "block").write.partitionBy("block").parquet(path)
+    used = dealt.select("block").distinct().orderBy("block").collect()
+    return [f"{path}/block={r.block}" for r in used]
 
 
 def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, shortest: int = SHORTEST) -> DataFrame:
@@ -144,27 +184,29 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     reduced characters match whole words exactly."""
     head = "row" if carry else "doc_id"
     first = F.struct(*docs.columns).alias("row") if carry else F.col(id_col).alias("doc_id")
-    rows = docs.select(first, F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<struct<item:bigint,distance:int>>").alias("found"))
-    schema = f"{head} {rows.schema[head].dataType.simpleString()}, text string, found array<struct<item:bigint,distance:int>>"
+    rows = docs.select(first, F.col(text_col).cast("string").alias("text"))
+    schema = f"{head} {rows.schema[head].dataType.simpleString()}, found array<struct<item:bigint,distance:int>>"
     kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())]))
-    sets, n = blocks(items)
-    for k in range(n):
-        shared = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in sets.where(F.col("block") == k).orderBy("item", "text").collect()])
-        last = k == n - 1
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            matcher = Matcher(shared.value, shortest)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    found = []
-                    for text, before in zip(part.column(1), part.column(2).to_pylist()):
-                        new = matcher.search(reduced(text.as_py())) if text.is_valid else []
-                        found.append([*(before or []), *({"item": i, "distance": d} for i, d in new)])
-                    texts = pa.nulls(part.num_rows, pa.string()) if last else part.column(1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(found, kind)], names=[head, "text", "found"])
-
-        rows = rows.mapInArrow(work, schema)
+    folders, most = blocks(items), HELD_BYTES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def searched(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, hits in zip(parts, search_parts(parts, folders, shortest)):
+                found = pa.array([[{"item": i, "distance": d} for i, d in hit] for hit in hits], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=[head, "found"])
+
+        held, size = [], 0
+        for batch in batches:
+            for part in small_parts(batch, 1):
+                held.append(part)
+                size += part.column(1).nbytes
+                if len(folders) < 2 or size >= most:
+                    yield from searched(held)
+                    held, size = [], 0
+        if held:
+            yield from searched(held)
+
+    rows = rows.mapInArrow(work, schema)
     ids = F.array_sort(F.array_distinct(F.transform("found", lambda x: x.getField("item"))))
     out = rows.select(head, F.coalesce(ids, F.array().cast("array<bigint>")).alias("item_ids"), F.array_min(F.transform("found", lambda x: x.getField("distance"))).alias("distance"))
     return out.select(head, (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "distance")
