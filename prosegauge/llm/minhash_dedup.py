@@ -8,8 +8,9 @@
    lower any of them, and the document stops early.
 3. `links`: classes that agree on all rows of a band meet in a bucket. Each member is paired with the bucket's hub, the
    member with the most company over all its buckets, as the original of a group of copies has. Members of a bucket
-   that are in different components after that meet in a join whose condition compares sizes and digests of the
-   signatures, so that only pairs that may well be similar leave it; buckets of many such members are split over a grid.
+   that are in different components after that are compared by sizes and digests of the signatures where they meet, so
+   that only pairs that may well be similar go on: buckets of up to SMALL members in a join, larger ones in cells of a
+   grid, whose members' digests are compared in Arrow batches, bit by bit for all slots at once (`_near_in_cell`).
 4. `verify`: 100 * intersection >= `similar` * union on the full sets.
 5. `components`: union-find inside each partition contracts the links, then rounds of the large-star and small-star
    rules join what the partitions hold, until nothing changes.
@@ -46,8 +47,9 @@ ROWS = 5
 SLOTS = 384
 #: Probability with which a pair at the threshold may share no band.
 MISSED = 1e-7
-#: Members of a bucket that one key of the join compares with one another; larger buckets are split.
-CELL = 1000
+#: Members of a bucket that meet in a plain join; larger buckets are compared in cells of twice CELL members at most.
+SMALL = 64
+CELL = 8000
 #: Edges that one task contracts; components of fewer need no rounds between tasks.
 TASK_EDGES = 500_000
 
@@ -184,6 +186,60 @@ def _near_digests(a: str, b: str, similar: int) -> Column:
     return total <= different(similar)
 
 
+def _planes(digests: np.ndarray) -> np.ndarray:
+    """(bits, words, rows): bit b of all slots of a digest, 64 slots in a word. Slots differ where any plane differs."""
+    n = len(digests)
+    slots = (digests.view(np.uint64)[:, :, None] >> np.arange(0, 64, DIGEST_BITS, dtype=np.uint64)).astype(np.uint8).reshape(n, -1)
+    packed = [np.packbits(slots >> b & 1, axis=1) for b in range(DIGEST_BITS)]
+    packed = [np.pad(p, ((0, 0), (0, -p.shape[1] % 8))) for p in packed]
+    return np.ascontiguousarray(np.stack([np.ascontiguousarray(p).view(np.uint64).T for p in packed]))
+
+
+def _near_in_cell(cell: pa.Table, similar: int) -> pa.Table:
+    """Pairs (a, b) of one cell, of members of different components whose sizes and digests are near and whose first
+    common band this is. Members are in order of size, so each meets only the range of sizes that it can be similar to;
+    a few thousand comparisons are made at once, in memory of a few MB."""
+    col = lambda name: cell.column(name).combine_chunks()
+    wide = lambda name: col(name).flatten().to_numpy().reshape(cell.num_rows, -1)
+    size = col("size").to_numpy()
+    order = np.argsort(size, kind="stable")
+    size, part = size[order], col("part").to_numpy()[order]
+    # Ids may be of any type: components are compared by their places in a dictionary.
+    nodes, components = col("node").take(pa.array(order)), col("component").take(pa.array(order)).dictionary_encode().indices.to_numpy()
+    bands, planes, here = wide("bands")[order], _planes(wide("digest")[order]), col("band")[0].as_py()
+    diagonal = cell.column("lo")[0].as_py() == cell.column("hi")[0].as_py()
+    left, right = (np.arange(len(size)),) * 2 if diagonal else (np.flatnonzero(part == cell.column(k)[0].as_py()) for k in ("lo", "hi"))
+    if not len(left) or not len(right):
+        left, right = left[:0], right[:0]
+    other, sizes = np.ascontiguousarray(planes[:, :, right]), size[right]
+    one, two, limit = [], [], different(similar)
+    step = max(1, 100_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        low = np.searchsorted(sizes, -(-similar * size[rows[0]] // 100), "left")
+        high = np.searchsorted(sizes, 100 * size[rows[-1]] // similar, "right")
+        if low >= high:
+            continue
+        total = np.zeros((len(rows), high - low), np.uint16)
+        for w in range(planes.shape[1]):
+            unlike = planes[0, w, rows, None] ^ other[0, w, None, low:high]
+            for b in range(1, DIGEST_BITS):
+                unlike |= planes[b, w, rows, None] ^ other[b, w, None, low:high]
+            total += np.bitwise_count(unlike)
+        i, j = np.nonzero(total <= limit)
+        i, j = rows[i], right[low + j]
+        fits = (components[i] != components[j]) & (100 * size[i] >= similar * size[j]) & (100 * size[j] >= similar * size[i])
+        if diagonal:
+            fits &= i < j
+        i, j = i[fits], j[fits]
+        common = bands[i] == bands[j]
+        mine = bands[i, common.argmax(axis=1)] == here
+        one.append(i[mine])
+        two.append(j[mine])
+    empty = np.zeros(0, np.int64)
+    return pa.table({"node": nodes.take(pa.array(np.concatenate([empty, *one]))), "node2": nodes.take(pa.array(np.concatenate([empty, *two])))})
+
+
 def _band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     bits = least[:, : bands * ROWS].copy().view(np.uint64).reshape(len(least), bands, ROWS)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * U(_BASE), (len(least), bands))
@@ -331,22 +387,23 @@ def apart(named: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different components and may well be similar; named has
     (band, node, component, size, digest, bands).
 
-    A bucket of more than CELL members is split over a grid: its members fall into g parts by their hash, and the pairs
-    of two parts (or of one) meet in a cell of their own. So a large bucket is the work of g * (g + 1) / 2 keys."""
-    crowd = named.groupBy("band").agg(F.count("*").alias("n"))
-    large = materialize(crowd.where(F.col("n") > CELL).select("band", F.ceil(F.col("n") / CELL).cast("int").alias("g")), "large")
-    dealt = named.join(large, "band", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
-    one = dealt.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("g") - 1)))
-    two = dealt.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("part"))))
-    two = two.select(F.col("band").alias("band2"), F.col("first").alias("part2"), F.col("part").alias("other2"), *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "digest", "bands")))
-    # Once a pair: in one cell, and in the first band that it shares.
-    cell = (F.col("band") == F.col("band2")) & (F.col("part") == F.col("part2")) & (F.col("other") == F.col("other2"))
-    once = (F.col("part") != F.col("other")) | (F.col("node") < F.col("node2"))
+    A bucket of more than SMALL members falls into g parts of about CELL by a hash of its members, and the pairs of two
+    parts (or of one) meet in a cell of their own: g * (g + 1) / 2 groups, none of them larger than two parts."""
+    crowd = named.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    large = materialize(crowd.select("band", F.ceil(F.col("n") / CELL).cast("int").alias("g")), "large")
+    few = named.join(large, "band", "left_anti")
+    two = few.select(F.col("band").alias("band2"), *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "digest", "bands")))
+    # Once a pair: in the first band that it shares.
     first = F.get(F.array_intersect("bands", "bands2"), F.lit(0)) == F.col("band")
     near = (100 * F.col("size") >= similar * F.col("size2")) & (100 * F.col("size2") >= similar * F.col("size")) & _near_digests("digest", "digest2", similar)
-    met = one.join(two, cell & once & (F.col("component") != F.col("component2")) & near & first)
-    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    meets = (F.col("band") == F.col("band2")) & (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
+    met = few.join(two, meets & near & first).select("node", "node2")
+    dealt = named.join(large, "band").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = dealt.select("band", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "node", "component", "size", "digest", "bands")
+    kind = named.schema["node"].dataType.simpleString()
+    grid = cells.groupBy("band", "lo", "hi").applyInArrow(lambda cell: _near_in_cell(cell, similar), f"node {kind}, node2 {kind}")
+    return met.union(grid).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
