@@ -13,6 +13,7 @@ small words and so as no initials) between many brackets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ CANDIDATE = r"[A-Z]{2}|[A-Z]\.[A-Z]\."
 SAID, USED = 0, 1
 #: Tables of everyday words up to this size become part of the plan; larger ones are joined.
 LISTED = 50_000
+#: Between the words of a list, and between its parts.
+MARK, PART = "|", ";"
 
 Test = Callable[[Column], Column]
 
@@ -240,9 +243,16 @@ def undefined(known: list[str] | None = None, common: Test | None = None) -> Col
 
 def listed(words: list[str] | tuple[str, ...]) -> Test:
     """A test for the words of a list. Small words are everyday words in any list."""
-    # One text with a mark around each word: a plan of one literal, however long the list.
-    every = F.lit("".join(f"|{w}" for w in sorted({*words, *lex.EXPANSION_STOP_WORDS})) + "|")
-    return lambda w: every.contains(F.concat(F.lit("|"), w, F.lit("|"))) & (w != "")
+    # One text of parts, in each the words of one checksum with a mark around them: a plan of one literal, however long
+    # the list, of which a word is looked up in a few characters.
+    every = {w for w in (*words, *lex.EXPANSION_STOP_WORDS) if MARK not in w and PART not in w}
+    n = len(every) // 2 + 1
+    parts = [""] * n
+    for w in sorted(every):
+        k = zlib.crc32(w.encode()) % n
+        parts[k] = (parts[k] or MARK) + w + MARK
+    table = F.split(F.lit(PART.join(parts)), PART)
+    return lambda w: F.get(table, F.crc32(w) % n).contains(F.concat(F.lit(MARK), w, F.lit(MARK))) & (w != "")
 
 
 def everyday_test(rows: DataFrame, common: list[str] | tuple[str, ...] | DataFrame | None) -> tuple[DataFrame, Test, tuple[str, ...] | None]:

@@ -1,6 +1,10 @@
 """The acronym rule's everyday words do not depend on the corpus, unless a list or a table is given."""
 
+from pyspark.sql import functions as F
+
 from prosegauge.functions.everyday import everyday, forms, words_of_corpus
+from prosegauge.functions.lexicon import EXPANSION_STOP_WORDS
+from prosegauge.operators.acronyms import listed
 from prosegauge.plans.audit import audit
 
 DOCS = [(1, "The GNU tools and the ABOUT page go on."), (2, "PLEASE SAVE everything."), (3, "The AWS IAM service."), (4, "Plain words.")]
@@ -53,3 +57,13 @@ SHOUTED = [
 def test_shouted_sentences_give_no_finding(spark):
     assert details(spark, list(enumerate(SHOUTED))) == []
     assert details(spark, [(1, "PLEASE STOP THE AWS IAM GNU SSO TTL.")]) != []
+
+
+def test_a_word_is_in_the_list_or_not(spark):
+    own = ["gnu", "it's", "a|b", "x;y", "naïve", ""]
+    asked = [*everyday()[::7], *everyday()[:40], *(w + "x" for w in everyday()[::50]), "gnu", "b", "x", "|", ";", "naïve", ""]
+    rows = spark.createDataFrame([(w,) for w in asked] + [(None,)], "w string")
+    for words in ((), tuple(own), everyday(), (*own, *everyday())):
+        want = {w for w in asked if w in {*words, *EXPANSION_STOP_WORDS} and w != ""}
+        got = rows.where(listed(words)(F.col("w"))).collect()
+        assert {r.w for r in got} == want
