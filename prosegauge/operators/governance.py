@@ -35,14 +35,26 @@ def maturity(answers: DataFrame) -> DataFrame:
 
     A level holds if its criterion and all below are met: the level is one less than the first that is not. Only true
     counts; what is not answered or unknown is not met. An organisation appears once it has any answer.
+
+    One aggregation without a join: an organisation's met criteria are the bits of one number. Joined with the answers,
+    organisations looked small to the planner, as it does not see rows multiply, and went to the driver to be broadcast.
     """
-    given = answers.where("met").select("organisation", "dimension", "criterion").distinct()
-    organisations = answers.select("organisation").distinct()
-    asked = organisations.select("organisation", F.explode(catalogue()).alias("m")).select("organisation", "m.*")
-    met = asked.join(given.withColumn("met", F.lit(True)), ["organisation", "dimension", "criterion"], "left")
-    gap = F.min(F.when(F.col("met").isNull(), F.struct("level", "criterion"))).alias("gap")
-    rows = met.groupBy("organisation", "dimension", "dim_ord").agg(gap)
-    return rows.select("organisation", "dimension", "dim_ord", F.coalesce(F.col("gap.level") - 1, F.lit(4)).alias("level"), F.coalesce("gap.criterion", F.lit("")).alias("missing"))
+    asked = [(d, c) for d, cs in lex.MATURITY.items() for c in cs]
+    number = F.array_position(F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(c).alias("criterion")) for d, c in asked)), F.struct("dimension", "criterion"))
+    bit = F.element_at(F.array(*(F.lit(1 << k).cast("bigint") for k in range(len(asked)))), F.nullif(number, F.lit(0)).cast("int"))
+    # Unknown organisations are one row, but nobody's answers.
+    met = F.bit_or(F.when(F.col("met") & F.col("organisation").isNotNull(), bit))
+    rows = answers.groupBy("organisation").agg(F.coalesce(met, F.lit(0)).alias("met"))
+
+    def reached(d: str, i: int, criteria: list[str]) -> Column:
+        level, missing = F.lit(len(criteria)), F.lit("")
+        for k in reversed(range(len(criteria))):
+            has = F.col("met").bitwiseAND(F.lit(1 << asked.index((d, criteria[k]))).cast("bigint")) != 0
+            level, missing = F.when(has, level).otherwise(F.lit(k)), F.when(has, missing).otherwise(F.lit(criteria[k]))
+        return F.struct(F.lit(d).alias("dimension"), F.lit(i).alias("dim_ord"), level.alias("level"), missing.alias("missing"))
+
+    levels = F.array(*(reached(d, i, list(cs)) for i, (d, cs) in enumerate(lex.MATURITY.items())))
+    return rows.select("organisation", F.inline(levels))
 
 
 def overall(levels: DataFrame) -> DataFrame:
