@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prosegauge.functions.text import let
 from prosegauge.operators import rules
 from prosegauge.operators.acronyms import undefined
-from prosegauge.operators.sentences import AMBIGUOUS, SPLIT, marked, sentence_lines
+from prosegauge.operators.sentences import AMBIGUOUS, SPLIT, marked, measured, sentence_lines
 from prosegauge.operators.structure import BLOCK, HEADING, LINK, normalised, plain_blocks
 from prosegauge.plans.audit import ACRONYM, _named
 
@@ -52,7 +52,7 @@ def findings_sql() -> str:
     on = {n: make for n, make in rules.OPERATORS.items() if n not in ("heading-depth", "heading-skip", "heading-style", "table-header", "link-text", "image-alt")}
     on[ACRONYM] = undefined
     found = sql_of(F.flatten(F.array(*(_named(n, make()) for n, make in on.items()))))
-    marks = sql_of(F.transform("blocks", lambda b: F.struct(b.getField("line").alias("line"), marked(b.getField("text")).alias("m"))))
+    marks = sql_of(F.transform("blocks", measured))
     hot = sql_of(F.filter("blocks", lambda b: b.getField("text").rlike(rules.ANY_PHRASE)))
     none = ", ".join(f"CAST(array() AS {kind}) AS {name}" for name, kind in (("headings", HEADING), ("rows", BLOCK), ("links", LINK)))
     shared = f"SELECT blocks, {marks} AS marks, {hot} AS hot, {none}, '' AS markup FROM (SELECT {_blocks()} AS blocks)"
