@@ -54,7 +54,7 @@ def findings_sql() -> str:
     found = sql_of(F.flatten(F.array(*(_named(n, make()) for n, make in on.items()))))
     marks = sql_of(F.transform("blocks", measured))
     hot = sql_of(F.filter("blocks", lambda b: b.getField("text").rlike(rules.ANY_PHRASE)))
-    none = ", ".join(f"CAST(array() AS {kind}) AS {name}" for name, kind in (("headings", HEADING), ("rows", BLOCK), ("links", LINK)))
+    none = ", ".join(f"CAST(array() AS {kind}) AS {name}" for name, kind in (("headings", HEADING), ("rows", BLOCK), ("links", LINK), ("said", rules.SAID)))
     shared = f"SELECT blocks, {marks} AS marks, {hot} AS hot, {none}, '' AS markup FROM (SELECT {_blocks()} AS blocks)"
     return f"SELECT rule, line, detail FROM (SELECT inline({found}) FROM ({shared}))"
 
